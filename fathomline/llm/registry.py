@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fathomline.llm import bpe
+from fathomline.llm import bpe, matroska, mixing, token_counts
 from fathomline.llm.common import table
 
 
@@ -14,7 +14,10 @@ def vocabulary_path(name: str) -> str:
 
 
 QUERIES = {
+    "op2_matroska": lambda spark, d: matroska.digests(table(spark, d, "documents")),
+    "op7_token_counts": lambda spark, d: token_counts.report(table(spark, d, "documents"), vocabulary_path("byte_bpe_50k.tiktoken")),
+    "op8_mixing": lambda spark, d: mixing.plan(table(spark, d, "documents")),
     "op9_bpe": lambda spark, d: bpe.digests(table(spark, d, "documents"), vocabulary_path("byte_bpe_50k.json")),
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op8_mixing": mixing.ORACLE}
