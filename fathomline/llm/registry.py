@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fathomline.llm import bpe, matroska, mixing, token_counts
+from fathomline.llm import bpe, matroska, mixing, token_counts, toxicity
 from fathomline.llm.common import table
 
 
@@ -15,6 +15,7 @@ def vocabulary_path(name: str) -> str:
 
 QUERIES = {
     "op2_matroska": lambda spark, d: matroska.digests(table(spark, d, "documents")),
+    "op3_toxicity": lambda spark, d: toxicity.judged(table(spark, d, "documents"), table(spark, d, "labels")),
     "op7_token_counts": lambda spark, d: token_counts.report(table(spark, d, "documents"), vocabulary_path("byte_bpe_50k.tiktoken")),
     "op8_mixing": lambda spark, d: mixing.plan(table(spark, d, "documents")),
     "op9_bpe": lambda spark, d: bpe.digests(table(spark, d, "documents"), vocabulary_path("byte_bpe_50k.json")),
