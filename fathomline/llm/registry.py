@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fathomline.llm import bpe, matroska, mixing, token_counts, toxicity
+from fathomline.llm import bpe, matroska, mixing, token_counts, toxicity, wrappers
 from fathomline.llm.common import table
 
 
@@ -19,6 +19,7 @@ QUERIES = {
     "op7_token_counts": lambda spark, d: token_counts.report(table(spark, d, "documents"), vocabulary_path("byte_bpe_50k.tiktoken")),
     "op8_mixing": lambda spark, d: mixing.plan(table(spark, d, "documents")),
     "op9_bpe": lambda spark, d: bpe.digests(table(spark, d, "documents"), vocabulary_path("byte_bpe_50k.json")),
+    "op10_wrappers": lambda spark, d: wrappers.articles(table(spark, d, "pages")),
 }
 
 ORACLE: dict[str, str] = {"op8_mixing": mixing.ORACLE}
