@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fathomline.llm import bpe, matroska, mixing, simhash, token_counts, toxicity, wrappers
+from fathomline.llm import bpe, matroska, mixing, permutation_index, simhash, token_counts, toxicity, wrappers
 from fathomline.llm.common import table
 
 
@@ -14,6 +14,7 @@ def vocabulary_path(name: str) -> str:
 
 
 QUERIES = {
+    "op1_permutation_index": lambda spark, d: permutation_index.neighbours(table(spark, d, "embeddings")),
     "op2_matroska": lambda spark, d: matroska.digests(table(spark, d, "documents")),
     "op3_toxicity": lambda spark, d: toxicity.judged(table(spark, d, "documents"), table(spark, d, "labels")),
     "op4_simhash": lambda spark, d: simhash.classes(table(spark, d, "documents")),

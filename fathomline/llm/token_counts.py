@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import small_batches
+from fathomline.llm.common import small_batches, written
 
 #: Lengths of one block of the suffix sums: sums run inside blocks and over block totals, never over all lengths at once.
 BLOCK = 1024
@@ -90,4 +90,4 @@ def quantiles(hist: DataFrame, shares: list[float]) -> DataFrame:
 
 def report(docs: DataFrame, path: str) -> DataFrame:
     """The suffix sums of every length that a document of the table has."""
-    return suffix_sums(histogram(docs, path))
+    return suffix_sums(written(histogram(docs, path)))
