@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fathomline.llm import bpe, matroska, mixing, permutation_index, simhash, suffix_dedup, token_counts, toxicity, wrappers
+from fathomline.llm import bpe, kneser_ney, matroska, mixing, permutation_index, simhash, suffix_dedup, token_counts, toxicity, wrappers
 from fathomline.llm.common import table
 
 
@@ -18,6 +18,7 @@ QUERIES = {
     "op2_matroska": lambda spark, d: matroska.digests(table(spark, d, "documents")),
     "op3_toxicity": lambda spark, d: toxicity.judged(table(spark, d, "documents"), table(spark, d, "labels")),
     "op4_simhash": lambda spark, d: simhash.classes(table(spark, d, "documents")),
+    "op5_kneser_ney": lambda spark, d: kneser_ney.quality(table(spark, d, "documents"), table(spark, d, "labels")),
     "op6_suffix_dedup": lambda spark, d: suffix_dedup.digests(table(spark, d, "documents")),
     "op7_token_counts": lambda spark, d: token_counts.report(table(spark, d, "documents"), vocabulary_path("byte_bpe_50k.tiktoken")),
     "op8_mixing": lambda spark, d: mixing.plan(table(spark, d, "documents")),
