@@ -29,8 +29,8 @@ FANOUT = 8
 LARGE, SPLITS = 4096, 3
 #: Fingerprints whose groups are searched in one go, at least; a group is never cut.
 AT_ONCE = 1 << 16
-#: (query, node) pairs that a search holds at once.
-FRONT = 1 << 20
+#: (query, node) pairs that a search holds at once; queries between two looks at which nodes are one label by now.
+FRONT, CROWD = 1 << 20, 1 << 13
 
 
 def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
@@ -77,41 +77,39 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def links(group: np.ndarray, fp: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i < j) of rows of one group whose fingerprints differ in at most limit bits.
+def rising(group: np.ndarray, fp: np.ndarray, limit: int, label: np.ndarray | None = None, at_once: int = FRONT // 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i < j) of rows of one group whose fingerprints differ in at most limit bits, some queries at a time.
 
-    Rows must be sorted by group and Gray rank. One tree for each group, all of the same height, built bottom up.
+    Rows must be sorted by group and Gray rank. One tree for each group, all of the same height, built bottom up. With
+    label, nodes whose members all bear the query's own label are left too; the caller may change it between yields.
     """
     n = len(fp)
-    levels = []
     bound = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-    start, ones, zeros, owner = np.arange(n), fp, ~fp, np.repeat(np.arange(len(bound)), np.diff(np.append(bound, n)))
-    levels.append((np.zeros(n, dtype=np.uint64), ones | zeros, ones))
-    spans = []
+    sizes = np.diff(np.append(bound, n))
+    ones, zeros, owner = fp, ~fp, np.repeat(np.arange(len(bound)), sizes)
+    shared, spans = [(ones | zeros, ones)], []
     while len(owner) > len(bound):
         first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
         within = np.arange(len(owner)) - np.repeat(first, np.diff(np.append(first, len(owner))))
         cut = np.flatnonzero(within % FANOUT == 0)
         spans.append(np.append(cut, len(owner)))
         ones, zeros, owner = np.bitwise_and.reduceat(ones, cut), np.bitwise_and.reduceat(zeros, cut), owner[cut]
-        levels.append((np.zeros(len(cut), dtype=np.uint64), ones | zeros, ones))
+        shared.append((ones | zeros, ones))
     # a node's own bits: those its members share, less those that its parent holds
-    held = []
-    for k, (_, mask, pattern) in enumerate(levels):
-        above = np.repeat(levels[k + 1][1], np.diff(spans[k])) if k < len(spans) else np.zeros(len(mask), dtype=np.uint64)
-        held.append((mask & ~above, pattern))
-    left, right = [], []
-    query = np.arange(n)
-    node = np.repeat(np.arange(len(bound)), np.diff(np.append(bound, n)))
-    last = start
-    ends = np.arange(n)
-    tops = []  # the last row under each node of each level, to leave nodes that lie wholly before the query
-    for k in range(len(levels)):
-        if k:
-            ends = ends[spans[k - 1][1:] - 1]
-        tops.append(ends)
-    for q0 in range(0, n, FRONT // 16):
-        stack = [(len(levels) - 1, query[q0 : q0 + FRONT // 16], node[q0 : q0 + FRONT // 16], np.zeros(min(FRONT // 16, n - q0), dtype=np.uint8))]
+    held = [(mask & ~(np.repeat(shared[k + 1][0], np.diff(spans[k])) if k < len(spans) else np.uint64(0)), pattern) for k, (mask, pattern) in enumerate(shared)]
+    ends = [np.arange(n)]  # the last row under each node, to leave nodes that lie wholly before the query
+    for cut in spans:
+        ends.append(ends[-1][cut[1:] - 1])
+    root = np.repeat(np.arange(len(bound)), sizes)
+    for q0 in range(0, n, at_once):
+        if label is not None:
+            lows, highs = [label], [label]
+            for cut in spans:
+                lows.append(np.minimum.reduceat(lows[-1], cut[:-1]))
+                highs.append(np.maximum.reduceat(highs[-1], cut[:-1]))
+        query = np.arange(q0, min(n, q0 + at_once))
+        stack = [(len(shared) - 1, query, root[query], np.zeros(len(query), dtype=np.uint8))]
+        left, right = [], []
         while stack:
             k, q, v, seen = stack.pop()
             if len(q) > FRONT:
@@ -120,7 +118,9 @@ def links(group: np.ndarray, fp: np.ndarray, limit: int) -> tuple[np.ndarray, np
                 continue
             own, pattern = held[k]
             seen = seen + np.bitwise_count((fp[q] ^ pattern[v]) & own[v])
-            go = (seen <= limit) & (tops[k][v] > q)
+            go = (seen <= limit) & (ends[k][v] > q)
+            if label is not None:
+                go &= (lows[k][v] != label[q]) | (highs[k][v] != label[q])
             q, v, seen = q[go], v[go], seen[go]
             if not len(q):
                 continue
@@ -132,8 +132,35 @@ def links(group: np.ndarray, fp: np.ndarray, limit: int) -> tuple[np.ndarray, np
             at = np.repeat(np.arange(len(q)), size)
             step = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
             stack.append((k - 1, q[at], low[at] + step, seen[at]))
-    del last
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
+        if left:
+            yield np.concatenate(left), np.concatenate(right)
+
+
+def links(group: np.ndarray, fp: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs that rising finds."""
+    found = list(rising(group, fp, limit))
+    none = np.empty(0, dtype=np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none)
+
+
+def connected(group: np.ndarray, fp: np.ndarray, limit: int) -> np.ndarray:
+    """A label for each row that rows linked within their group share; rows sorted by group and Gray rank.
+
+    Neighbours in the Gray order of turned fingerprints are linked first, so that crowds of like fingerprints are one
+    label before the search, which then leaves whole nodes of that label.
+    """
+    i, j = [], []
+    for turn in (0, 16, 32, 48):
+        turned = fp if not turn else fp << np.uint64(turn) | fp >> np.uint64(64 - turn)
+        order = np.lexsort((gray_rank(turned), group))
+        a, b = order[:-1], order[1:]
+        near = (group[a] == group[b]) & (np.bitwise_count(fp[a] ^ fp[b]) <= limit)
+        i.append(a[near])
+        j.append(b[near])
+    label = forest(len(fp), np.concatenate(i), np.concatenate(j))
+    for q, v in rising(group, fp, limit, label, CROWD):
+        label[:] = forest(len(fp), label[q], label[v])[label]
+    return label
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -169,48 +196,44 @@ def choices(free: tuple[int, ...], limit: int, keep: int) -> list[tuple[int, ...
 
 
 def routed(nodes: DataFrame, limit: int, keep: int) -> DataFrame:
-    """(group binary key, family, fp, node) with a row for every group of more than one fingerprint a node belongs to.
+    """(key, fp, node): a row for every group a node belongs to; key is a hash of the family, the choice and its bits.
 
     Groups larger than LARGE are split by blocks of their free bits, up to SPLITS times: a pair that agrees on a
     group's bits and differs in at most limit others agrees on one of the finer choices as well.
     """
-    ready, masks = None, [()]
-    all_bits = tuple(range(64))
-    here = nodes.withColumn("way", F.lit(0)).withColumn("group", F.array(F.lit(0).cast("long")))
+    ready, fixed = None, [()]
+    here = nodes.select("family", "fp", "node", F.lit(0).alias("way"))
     for depth in range(SPLITS):
-        finer, spread = [], []
-        for w, fixed in enumerate(masks):
-            free = tuple(b for b in all_bits if b not in fixed)
-            for bits in choices(free, limit, keep if depth == 0 else 1):
-                spread.append((w, len(finer), mask_of(bits)))
-                finer.append((*fixed, *bits))
-        step = F.array(*[F.struct(F.lit(w).alias("from"), F.lit(k).alias("to"), F.lit(m).cast("long").alias("mask")) for w, k, m in spread])
-        here = here.withColumn("s", F.explode(F.filter(step, lambda s: s["from"] == F.col("way"))))
-        here = here.select("family", "fp", "node", F.col("s.to").alias("way"), F.concat("group", F.array(F.col("s.to").cast("long"), F.col("fp").bitwiseAND(F.col("s.mask")))).alias("group"))
-        masks = finer
-        sizes = here.groupBy("family", "group").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        if depth == SPLITS - 1:
-            done = here.join(sizes, ["family", "group"]).select("family", "group", "fp", "node")
-            ready = done if ready is None else ready.unionByName(done)
-            break
-        sizes = written(sizes)
-        done = here.join(sizes.filter(F.col("size") <= LARGE), ["family", "group"]).select("family", "group", "fp", "node")
+        spread, finer = [], []
+        for w, bits in enumerate(fixed):
+            free = tuple(b for b in range(64) if b not in bits)
+            for more in choices(free, limit, keep if depth == 0 else 1):
+                spread.append((w, len(finer), mask_of((*bits, *more))))
+                finer.append((*bits, *more))
+        fixed = finer
+        steps = F.array(*[F.struct(F.lit(w).alias("from"), F.lit(k).alias("to"), F.lit(m).cast("long").alias("mask")) for w, k, m in spread])
+        own = steps if depth == 0 else F.filter(steps, lambda x: x["from"] == F.col("way"))
+        here = here.withColumn("s", F.explode(own)).select("family", "fp", "node", F.col("s.to").alias("way"), F.xxhash64("family", "s.to", F.col("fp").bitwiseAND(F.col("s.mask"))).alias("key"))
+        large = None
+        if depth < SPLITS - 1:
+            large = written(here.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > LARGE).select("key"))
+            if large.isEmpty():
+                large = None
+        done = (here if large is None else here.join(large, "key", "left_anti")).select("key", "fp", "node")
         ready = done if ready is None else ready.unionByName(done)
-        large = sizes.filter(F.col("size") > LARGE)
-        if large.isEmpty():
-            break
-        here = here.join(large.select("family", "group"), ["family", "group"])
+        if large is None:
+            return ready
+        here = here.join(large, "key", "left_semi").drop("key")
     return ready
 
 
 def edges(nodes: DataFrame, limit: int = LIMIT, keep: int = 1) -> DataFrame:
     """(a, b): a spanning forest of the links between nodes; a links to the smallest node of its group's component.
 
-    nodes: family, fp (distinct in a family), node. Links hold within a family.
+    nodes: family, fp (distinct in a family), node. Links hold within a family. keep: blocks that a group agrees on.
     """
-    rows = routed(nodes, limit, keep).withColumn("key", F.xxhash64("family", "group"))
-    # groups of one task lie side by side; a key shared by two groups costs time, no result
-    rows = rows.select("key", "fp", "node").repartition("key").sortWithinPartitions("key")
+    # groups of one task lie side by side; a key shared by two groups of a family costs time, no result
+    rows = routed(nodes, limit, keep).repartition("key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -218,18 +241,16 @@ def edges(nodes: DataFrame, limit: int = LIMIT, keep: int = 1) -> DataFrame:
 
         def solve(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
             key, fp, node = (np.concatenate(x) for x in zip(*parts, strict=True))
-            fp = fp.view(np.uint64)
-            order = np.lexsort((node, gray_rank(fp), key))
+            same = key[1:] == key[:-1]
+            some = np.concatenate((same, [False])) | np.concatenate(([False], same))
+            key, fp, node = key[some], fp[some].view(np.uint64), node[some]
+            order = np.lexsort((gray_rank(fp), key))
             key, fp, node = key[order], fp[order], node[order]
-            i, j = links(key, fp, limit)
-            # rows in the order of their nodes make the smallest row the smallest node
-            by_node = np.argsort(node, kind="stable")
-            place = np.empty(len(node), dtype=np.int64)
-            place[by_node] = np.arange(len(node))
-            root = forest(len(node), place[i], place[j])
-            lone = root != np.arange(len(root))
-            names = node[by_node]
-            return pa.RecordBatch.from_arrays([pa.array(names[lone]), pa.array(names[root[lone]])], names=["a", "b"])
+            label = connected(key, fp, limit) if len(fp) else np.empty(0, dtype=np.int64)
+            least = np.full(len(node), np.iinfo(np.int64).max)
+            np.minimum.at(least, label, node)
+            far = least[label] != node
+            return pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(least[label][far])], names=["a", "b"])
 
         for b in batches:
             cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
@@ -244,7 +265,7 @@ def edges(nodes: DataFrame, limit: int = LIMIT, keep: int = 1) -> DataFrame:
         if held:
             yield solve(held)
 
-    return rows.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def components(links_: DataFrame) -> DataFrame:
@@ -288,3 +309,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     first = made.select("id", F.element_at("fp", 1).alias("fp")).join(nodes.filter("family = 0").select("fp", "node"), "fp", "left")
     out = first.join(joined, "node", "left").select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("id").isNotNull(), F.coalesce("component", "node")).alias("component_id"))
     return out.withColumnRenamed("id", id_col)
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs whose id is the smallest of its class, and those without an id. how: as for classes.
+
+    Rows that share an id stay or go together.
+    """
+    dropped = classes(docs, id_col, text_col, **how).filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_dropped")).distinct()
+    return docs.join(written(dropped), F.col(id_col) == F.col("_dropped"), "left_anti")

@@ -186,44 +186,56 @@ class Batch:
             begin = end
 
 
-def batches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(batch, ids, lengths, text): documents packed together in the order they are read. Nothing is shuffled."""
-    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+def batches(docs: DataFrame, id_col: str, text_col: str, carry: list[str], limit: int) -> DataFrame:
+    """(batch, ids, lengths, text, rows): documents packed together in the order they are read. Nothing is shuffled.
+
+    rows: the carried columns, as an Arrow stream.
+    """
+    carried = F.struct(*carry) if carry else F.struct(F.lit(True).alias("none"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), carried.alias("row"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, size, count = [], [], 0, 0
+        ids, texts, held, size, count = [], [], [], 0, 0
         base = TaskContext.get().partitionId() << 32
 
         def pack() -> pa.RecordBatch:
-            nonlocal ids, texts, size, count
+            nonlocal ids, texts, held, size, count
+            sink = pa.BufferOutputStream()
+            whole = pa.RecordBatch.from_arrays([pa.concat_arrays(held)], names=["row"])
+            with pa.ipc.new_stream(sink, whole.schema) as stream:
+                stream.write_batch(whole)
             out = pa.RecordBatch.from_arrays([
                 pa.array([base + count], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([size], pa.int64()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()),
                 pa.array([np.array(list(map(len, texts)), "<i8").tobytes()], pa.binary()), pa.array([squeeze(b"".join(texts))], pa.binary()),
-            ], names=["batch", "n", "bytes", "ids", "lengths", "text"])
-            ids, texts, size, count = [], [], 0, count + 1
+                pa.array([squeeze(sink.getvalue().to_pybytes())], pa.binary()),
+            ], names=["batch", "n", "bytes", "ids", "lengths", "text", "rows"])
+            ids, texts, held, size, count = [], [], [], 0, count + 1
             return out
 
         for b in parts:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if size + len(t) > BATCH and ids:
+            for k, (i, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                if size + len(t) > limit and ids:
                     yield pack()
+                held.append(b.column(2).slice(k, 1))
                 ids.append(NO_ID if i is None else i)
                 texts.append(t)
                 size += len(t)
         if ids:
             yield pack()
 
-    return written(rows.mapInArrow(run, "batch long, n long, bytes long, ids binary, lengths binary, text binary"), "uncompressed")
+    return written(rows.mapInArrow(run, "batch long, n long, bytes long, ids binary, lengths binary, text binary, rows binary"), "uncompressed")
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, spans array<start, end>, kept binary) of every row: the removed byte spans and what is left.
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), batch_bytes: int = BATCH) -> DataFrame:
+    """(id, n_bytes, spans array<start, end>, kept binary, row) of every row: the removed byte spans and what is left.
+
+    row: a struct of the columns named in carry.
 
     A null text is empty; a null id counts as larger than all others; rows of the same id never remove from each
-    other. Texts shorter than LENGTH bytes stay whole. Other columns are left out.
+    other. Texts shorter than LENGTH bytes stay whole. Columns not carried are left out.
     """
     spark = docs.sparkSession
-    packed = batches(docs, id_col, text_col)
+    packed = batches(docs, id_col, text_col, list(carry), batch_bytes)
     total = packed.agg(F.sum("bytes")).first()[0] or 0
     shards = max(1, -(-total // PER_SHARD))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # rows are whole batches of documents
@@ -273,14 +285,17 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 batch = Batch(r["ids"], r["lengths"], r["text"], shards)
                 batch.shared([(f["shard"], f["bits"]) for f in r["flags"] or ()])
                 found = list(batch.results(batch.covered([(f["shard"], f["told"]) for f in r["replies"] or ()])))
+                with pa.ipc.open_stream(expand(r["rows"])) as stream:
+                    rows = stream.read_next_batch().column(0)
                 for k in range(0, len(found), 256):
                     ids, spans, kept = zip(*found[k : k + 256], strict=True)
                     ids = [None if i == NO_ID else i for i in ids]
                     sizes = batch.lengths[k : k + 256]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()), rows.slice(k, 256)], names=["id", "n_bytes", "spans", "kept", "row"])
 
-    both = packed.select("batch", "ids", "lengths", "text").join(flagged.join(replies, "batch", "left"), "batch")
-    out = both.mapInArrow(finish, "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    row = docs.select(F.struct(*carry) if carry else F.struct(F.lit(True).alias("none"))).schema[0].dataType
+    both = packed.select("batch", "ids", "lengths", "text", "rows").join(flagged.join(replies, "batch", "left"), "batch")
+    out = both.mapInArrow(finish, f"id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, row {row.simpleString()}")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -333,6 +348,19 @@ def judge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"batch": pdf["batch"], "shard": key[0], "told": told})
 
 
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the removed spans cut out of the texts; a character of which a part was removed goes whole."""
+    out = removals(docs, id_col, text_col, tuple(c for c in docs.columns if c not in (id_col, text_col)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [x.decode("utf-8", "ignore") for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), b.column(2)], names=["id", "text", "row"])
+
+    cut = out.select(id_col, "kept", "row").mapInArrow(run, f"id long, text string, row {out.schema['row'].dataType.simpleString()}")
+    return cut.select(*[F.col("id").alias(c) if c == id_col else F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the remaining bytes."""
     out = removals(docs)

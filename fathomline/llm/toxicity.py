@@ -283,6 +283,17 @@ def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: s
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double, matches {MATCHES}").withColumnRenamed("id", id_col)
 
 
+def accepted(docs: DataFrame, grammar: Grammar, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores below threshold. Nothing is shuffled."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([grammar.score(grammar.matches((t or "").lower())) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return small_batches(docs).mapInArrow(run, docs.schema)
+
+
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, n_matches of every document."""
     scored = score(docs, fit(docs, labels))
