@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import small_batches, written
+from fathomline.llm.common import bucketed, small_batches, written
 from fathomline.llm.suffix_dedup import expand, mixed, squeeze
 
 #: Bytes of an n-gram; what stands before and after a text.
@@ -239,7 +239,7 @@ def packed(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFr
         if held:
             yield pack()
 
-    return written(rows.mapInArrow(run, "batch long, ids array<long>, lengths binary, langs array<string>, text binary"), "uncompressed")
+    return bucketed(rows.mapInArrow(run, "batch long, ids array<long>, lengths binary, langs array<string>, text binary"), "batch")
 
 
 def each_text(r: dict) -> Iterator[tuple[int | None, str, bytes]]:
@@ -283,7 +283,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         told = log_probabilities(every, keys, n, low.get(key[0])).astype("<f4")
         return pd.DataFrame({"batch": asked["batch"], "lang": key[0], "asked": asked["asked"], "told": [squeeze(told[np.searchsorted(every, p)].tobytes()) for p in parts]})
 
-    asked = batches.repartition("batch").mapInArrow(ask, "batch long, lang string, shard int, asked binary")
+    asked = batches.mapInArrow(ask, "batch long, lang string, shard int, asked binary")
     told = asked.groupBy("lang", "shard").cogroup(table.groupBy("lang", "shard")).applyInPandas(answer, "batch long, lang string, asked binary, told binary")
     told = told.groupBy("batch").agg(F.collect_list(F.struct("lang", "asked", "told")).alias("answers"))
 

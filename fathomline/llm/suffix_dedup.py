@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm import induced
-from fathomline.llm.common import small_batches, written
+from fathomline.llm.common import bucketed, small_batches, written
 
 #: Bytes of a judged string, and of the parts whose least hash deals it out.
 LENGTH, GRAM = 50, 20
@@ -223,7 +223,7 @@ def batches(docs: DataFrame, id_col: str, text_col: str, carry: list[str], limit
         if ids:
             yield pack()
 
-    return written(rows.mapInArrow(run, "batch long, n long, bytes long, ids binary, lengths binary, text binary, rows binary"), "uncompressed")
+    return bucketed(rows.mapInArrow(run, "batch long, n long, bytes long, ids binary, lengths binary, text binary, rows binary"), "batch")
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), batch_bytes: int = BATCH) -> DataFrame:
@@ -260,7 +260,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
             at += len(v)
         return pd.DataFrame({"batch": pdf["batch"], "shard": key[0], "bits": bits})
 
-    flags = packed.select("batch", "ids", "lengths", "text").repartition(F.col("batch")).mapInArrow(hashes, "batch long, shard int, values binary, several binary")
+    flags = packed.select("batch", "ids", "lengths", "text").mapInArrow(hashes, "batch long, shard int, values binary, several binary")
     flags = flags.groupBy("shard").applyInPandas(shared, "batch long, shard int, bits binary").groupBy("batch").agg(F.collect_list(F.struct("shard", "bits")).alias("flags"))
     flagged = written(packed.select("batch").join(flags, "batch", "left"))
 
