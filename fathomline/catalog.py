@@ -1,6 +1,9 @@
-"""Registry of the queries outside the llm subpackage, each with its oracle where SQL has one."""
+"""Registry of the queries outside the llm subpackage, each with its DuckDB statement where SQL has one."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from fathomline.plans import search
+
+PARTS = (search,)
+QUERIES: dict = {name: query for part in PARTS for name, query in part.QUERIES.items()}
+ORACLE: dict = {name: sql for part in PARTS for name, sql in part.ORACLE.items()}
