@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.llm.common import small_batches, written
@@ -265,7 +265,17 @@ def edges(nodes: DataFrame, limit: int = LIMIT, keep: int = 1) -> DataFrame:
         if held:
             yield solve(held)
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    found = rows.mapInArrow(run, "a long, b long").distinct()
+    return drawn_in(drawn_in(found))
+
+
+def drawn_in(links_: DataFrame) -> DataFrame:
+    """Fewer links (a > b) that connect the same: a keeps its smallest b, to which its other ends are linked instead.
+
+    A node has as many links as it has groups at most, so no window grows with the data.
+    """
+    seen = links_.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+    return seen.select("a", F.col("m").alias("b")).union(seen.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")).distinct()
 
 
 def components(links_: DataFrame) -> DataFrame:
