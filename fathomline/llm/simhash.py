@@ -326,5 +326,5 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows that share an id stay or go together.
     """
-    dropped = classes(docs, id_col, text_col, **how).filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_dropped")).distinct()
-    return docs.join(written(dropped), F.col(id_col) == F.col("_dropped"), "left_anti")
+    dropped = classes(docs, id_col, text_col, **how).filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("gone")).distinct()
+    return docs.alias("d").join(written(dropped).alias("x"), F.col(f"d.{id_col}") == F.col("x.gone"), "left_anti")
