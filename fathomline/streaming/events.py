@@ -39,8 +39,8 @@ def first_seen(events: DataFrame, keys: list[str], within: str) -> DataFrame:
     return events.withWatermark("ts", within).dropDuplicatesWithinWatermark(keys)
 
 
-def token_bucket(events: DataFrame, per_minute: int, idle_minutes: int = 60) -> DataFrame:
-    """(user_id, event_id, wait): a bucket for each user, kept as state and dropped after idle time.
+def token_bucket(events: DataFrame, per_minute: int, idle_minutes: int = 60, late: str = "10 minutes") -> DataFrame:
+    """(user_id, event_id, wait): a bucket for each user, kept as state and dropped once event time has left it idle.
 
     A batch's events of a user are taken in time order. wait is 0 for an admitted event, else seconds.
     """
@@ -58,10 +58,11 @@ def token_bucket(events: DataFrame, per_minute: int, idle_minutes: int = 60) ->
             waits.append(0.0 if have >= 1 else (1 - have) * 60 / per_minute)
             have -= have >= 1
         state.update((float(have), float(last)))
-        state.setTimeoutDuration(idle_minutes * 60_000)
+        state.setTimeoutTimestamp(int(max(last * 1000, state.getCurrentWatermarkMs())) + idle_minutes * 60_000)
         yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "wait": waits})
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, wait double", "have double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    seen = events.withWatermark("ts", late).groupBy("user_id")
+    return seen.applyInPandasWithState(step, "user_id long, event_id long, wait double", "have double, last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def newest_state(events: DataFrame) -> DataFrame:
