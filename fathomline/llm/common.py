@@ -7,13 +7,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fathomline.sources.tables import spread
+
 #: Rows and bytes of an Arrow batch handed to Python: bounds a worker's memory whatever the row count.
 BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the input folder."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the input folder, dealt out to all cores where its files give fewer tasks."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def small_batches(df: DataFrame) -> DataFrame:
