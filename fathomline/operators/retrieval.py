@@ -6,6 +6,7 @@ limit. Every ranking is a total order: score, then id.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +19,6 @@ from fathomline.settings import DEFAULT, Settings
 
 #: Queries of one block, which travel to the tasks in a closure (512 x 64 doubles are 256 KB); more blocks, more passes.
 QUERY_BLOCK = 512
-#: Query terms up to which they are broadcast (about 64 bytes each); beyond that a shuffle joins them.
-BROADCAST_TERMS = 200_000
 
 
 def ranked(df: DataFrame, by: str, score: str, id_col: str, limit: int, rank: str = "rank") -> DataFrame:
@@ -64,32 +63,78 @@ def dense_top(vectors: DataFrame, queries: DataFrame, limit: int = DEFAULT.leg_l
     return ranked(found, "query_id", "score", "id", limit)
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, length, term, tf) of every document and term."""
-    each = docs.select(F.col(id_col).alias("id"), T.words(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
-    return each.select("id", F.size("w").alias("length"), F.explode("w").alias("term")).groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+def term_statistics(docs: DataFrame, terms: set[str]) -> tuple[int, float, dict[str, int]]:
+    """The number of documents, their mean length in words, and how many hold each of the given terms.
+
+    docs: w, a document's words. Tasks count for themselves, so the shuffle carries a row for each term and task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        n = length = 0
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                for w in b.column(0).slice(at, 256).to_pylist():
+                    n, length = n + 1, length + len(w)
+                    seen.update(terms.intersection(w))
+        rows = [("d", t, k) for t, k in seen.items()] + [("n", "", n), ("l", "", length)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["kind", "term", "n"])
+
+    found = {(r["kind"], r["term"]): r["n"] for r in docs.select("w").mapInArrow(run, "kind string, term string, n long").groupBy("kind", "term").agg(F.sum("n").alias("n")).collect()}
+    n = found.get(("n", ""), 0)
+    return n, found.get(("l", ""), 0) / max(n, 1) or 1.0, {t: k for (kind, t), k in found.items() if kind == "d"}
 
 
 def bm25_top(docs: DataFrame, queries: DataFrame, limit: int = DEFAULT.leg_limit, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", settings: Settings = DEFAULT) -> DataFrame:
     """(query_id, id, score, rank): each query's best documents by BM25 over its distinct terms, each of weight 1.
 
-    queries: query_id, text. Only occurrences of query terms leave a task; lengths and document counts come from the
-    same scan. where narrows what is ranked; term statistics are those of the whole table.
+    queries: query_id, text. Each task scores its documents against a block of queries and keeps the best of each, so
+    no row is made for a pair of query and document, and the shuffle carries limit rows for a query and task. where
+    narrows what is ranked; term statistics are those of the whole table.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("term"))
-    asked = terms.select("term").distinct()
-    many = asked.count() > BROADCAST_TERMS
-    tokens = docs.select(F.col(id_col).alias("id"), T.words(F.coalesce(F.col(text_col), F.lit(""))).alias("w"), (F.lit(True) if where is None else F.coalesce(where, F.lit(False))).alias("fits"))
-    facts = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("mean")).first()
-    n, mean = facts["n"], facts["mean"] or 1.0
-    each = tokens.select("id", "fits", F.size("w").alias("length"), F.explode("w").alias("term"))
-    each = each.join(asked if many else F.broadcast(asked), "term", "left_semi")
-    tf = each.groupBy("term", "id", "fits", "length").agg(F.count(F.lit(1)).alias("tf"))
-    idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    k1, b = settings.bm25_k1, settings.bm25_b
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
-    scored = tf.filter("fits").join(idf, "term").join(terms if many else F.broadcast(terms), "term").groupBy("query_id", "id").agg(F.round(F.sum(weight), 6).alias("score"))
-    return ranked(scored, "query_id", "score", "id", limit)
+    k1, b1 = settings.bm25_k1, settings.bm25_b
+    tokens = docs.select(F.col(id_col).cast("long").alias("id"), T.words(F.coalesce(F.col(text_col), F.lit(""))).alias("w"), (F.lit(True) if where is None else F.coalesce(where, F.lit(False))).alias("fits"))
+    asked = queries.select("query_id", F.array_distinct(T.words(F.col("text"))).alias("terms"))
+    blocks, found = max(1, -(-queries.count() // QUERY_BLOCK)), None
+    for k in range(blocks):
+        rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).collect()
+        number = {t: j for j, t in enumerate(sorted({t for r in rows for t in r["terms"]}))}
+        if not number:
+            continue
+        n, mean, df = term_statistics(tokens, set(number))
+        idf = np.array([np.log(1 + (n - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5)) for t in number])
+        q_ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
+        pairs = np.array(sorted((number[t], q) for q, r in enumerate(rows) for t in r["terms"]), dtype=np.int64)
+        begin, of_query = np.searchsorted(pairs[:, 0], np.arange(len(number) + 1)), pairs[:, 1]
+
+        def run(batches: Iterator[pa.RecordBatch], number: dict = number, idf: np.ndarray = idf, begin: np.ndarray = begin, of_query: np.ndarray = of_query, q_ids: np.ndarray = q_ids, mean: float = mean) -> Iterator[pa.RecordBatch]:
+            best_ids, best = np.empty((len(q_ids), 0), dtype=np.int64), np.empty((len(q_ids), 0))
+            for b in batches:
+                every_id = b.column(0).to_numpy(zero_copy_only=False)
+                for at in range(0, b.num_rows, 256):
+                    ids, words = every_id[at : at + 256], b.column(1).slice(at, 256).to_pylist()
+                    counts = [Counter(x for x in map(number.get, w) if x is not None) for w in words]
+                    doc = np.repeat(np.arange(len(ids)), [len(c) for c in counts])
+                    term = np.array([t for c in counts for t in c], dtype=np.int64)
+                    tf = np.array([f for c in counts for f in c.values()], dtype=float)
+                    length = np.array([len(w) for w in words], dtype=float)
+                    weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b1 + b1 * length[doc] / mean))
+                    each = begin[term + 1] - begin[term]
+                    place = np.repeat(begin[term], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                    cell = of_query[place] * len(ids) + np.repeat(doc, each)
+                    score = np.round(np.bincount(cell, np.repeat(weight, each), len(q_ids) * len(ids)).reshape(len(q_ids), len(ids)), 6)
+                    score[score <= 0] = -np.inf
+                    both_ids, both = np.hstack([best_ids, np.broadcast_to(ids, score.shape)]), np.hstack([best, score])
+                    order = np.lexsort((both_ids, -both), axis=1)[:, :limit]
+                    best_ids, best = np.take_along_axis(both_ids, order, 1), np.take_along_axis(both, order, 1)
+            keep = np.isfinite(best)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, keep.sum(1)).astype(np.int64)), pa.array(best_ids[keep]), pa.array(best[keep])], names=["query_id", "id", "score"])
+
+        part = tokens.filter("fits").select("id", "w").mapInArrow(run, "query_id long, id long, score double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = docs.sparkSession.createDataFrame([], "query_id long, id long, score double")
+    return ranked(found, "query_id", "score", "id", limit)
 
 
 def fuse(legs: list[DataFrame], limit: int = DEFAULT.fused_limit, k: int = DEFAULT.rrf_k) -> DataFrame:
