@@ -13,9 +13,9 @@ from fathomline.llm import bpe, mixing, simhash, suffix_dedup, toxicity
 from fathomline.llm.common import table, written
 from fathomline.llm.registry import vocabulary_path
 
-#: Near-duplicates link if the fingerprints of one of these seeds differ in so few bits. Copies of which 85 % of the
-#: five-word shingles are shared link nearly always, those of 80 % mostly, texts that share under two thirds hardly ever.
-SEEDS, LIMIT, KEEP = (42, 43, 44), 5, 2
+#: Near-duplicates link if the fingerprints of one of these families differ in so few bits. Texts that share 90 % of
+#: their five-word shingles link nearly always, at 85 % mostly, at 80 % two in three, under 65 % hardly ever.
+FAMILIES, LIMIT, KEEP = 6, 4, 2
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of exact and near copies."""
-    return simhash.representatives(docs, seeds=SEEDS, limit=LIMIT, keep=KEEP)
+    return simhash.representatives(docs, families=FAMILIES, limit=LIMIT, keep=KEEP)
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

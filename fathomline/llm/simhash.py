@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from fathomline.llm.common import small_batches, written
 
-#: Words of a shingle, hash seed and greatest number of differing bits, unless given.
+#: Words of a shingle, hash seed, and greatest number of differing bits unless given.
 WORDS, SEED, LIMIT = 3, 42, 2
 #: Members of a tree node.
 FANOUT = 8
@@ -33,37 +33,47 @@ AT_ONCE = 1 << 16
 FRONT, CROWD = 1 << 20, 1 << 13
 
 
-def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
+def mixed(x: np.ndarray, family: int) -> np.ndarray:
+    """Further hashes of hashes, one for each family; family 0: the hashes themselves."""
+    if not family:
+        return x
+    x = (x + np.uint64(family) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+def fingerprint(text: str, words: int = WORDS, families: int = 1) -> list[int]:
     """The SimHash of a text's word shingles, repeats included: a bit is set if it is in over half of the hashes.
 
     A-Z are lower-cased; words are what stands between ASCII white space. Fewer words than a shingle has: one shingle
-    of all of them. No words: 0.
+    of all of them. No words: 0. Further families give further fingerprints of the same shingles.
     """
     parts = text.encode().lower().split()
     if not parts:
-        return 0
+        return [0] * families
     joined = b" ".join(parts)
-    n = len(parts) - words + 1
-    if n <= 1:
-        return xxhash.xxh64_intdigest(joined, seed)
+    n = max(1, len(parts) - words + 1)
     ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist(), strict=True)), dtype=np.uint64, count=n)
-    counts = np.zeros(64, dtype=np.int64)
-    for k in range(0, n, 1 << 16):
-        part = hashes[k : k + (1 << 16)]
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
-    """(id, fp array<long>): a fingerprint for each seed, as signed 64-bit integers. Null texts are empty: 0."""
+    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[min(words, len(parts)) - 1 :].tolist(), strict=True)), dtype=np.uint64, count=n)
+    out = []
+    for family in range(families):
+        counts = np.zeros(64, dtype=np.int64)
+        for k in range(0, n, 1 << 16):
+            part = mixed(hashes[k : k + (1 << 16)], family)
+            counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0]))
+    return out
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, families: int = 1) -> DataFrame:
+    """(id, fp array<long>): a fingerprint for each family, as signed 64-bit integers. Null texts are empty: 0."""
     rows = small_batches(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [[np.uint64(fingerprint(t, words, s)).astype(np.int64) for s in seeds] for t in b.column(1).to_pylist()]
+            found = [np.array(fingerprint(t, words, families), dtype=np.uint64).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "fp"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp array<long>")
@@ -300,19 +310,19 @@ def components(links_: DataFrame) -> DataFrame:
             return label.select("node", F.col("label").alias("component"))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, seeds: tuple[int, ...] = (SEED,), limit: int = LIMIT, keep: int = 1) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, families: int = 1, limit: int = LIMIT, keep: int = 1) -> DataFrame:
     """(id, fingerprint, component): one row for each document; component is the smallest id reachable by links.
 
-    Documents link if the fingerprints of any one seed differ in at most limit bits. fingerprint: 16 hex digits of the
-    first seed's. Null and empty texts have fingerprint 0 and link like others. Equal fingerprints are one node, so
+    Documents link if the fingerprints of any one family differ in at most limit bits. fingerprint: 16 hex digits of the
+    first family's. Null and empty texts have fingerprint 0 and link like others. Equal fingerprints are one node, so
     copies cost no pairs. Rows with a null id get no component; repeated ids count as one document.
     """
-    made = written(fingerprints(docs, id_col, text_col, words, seeds))
+    made = written(fingerprints(docs, id_col, text_col, words, families))
     each = made.filter("id is not null").select(F.col("id").cast("long").alias("id"), F.posexplode("fp").alias("family", "fp"))
     nodes = written(each.groupBy("family", "fp").agg(F.min("id").alias("node")))
     found = edges(nodes, limit, keep)
-    if len(seeds) > 1:
-        # a document ties its fingerprints of different seeds together
+    if families > 1:
+        # a document ties its fingerprints of different families together
         own = each.join(nodes, ["family", "fp"]).select(F.col("id").alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()
         found = found.union(own)
     joined = components(found)

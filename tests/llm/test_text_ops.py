@@ -103,7 +103,7 @@ def test_simhash_tables(spark, sf, monkeypatch):
 
 def test_representatives_keep_clean_rows(spark):
     rows = [(k, prose(k % 10, 300), "en", "a") for k in range(40)] + [(100, prose(3, 300).replace("owls", "birds", 1), "en", "a"), (None, "free", None, None)]
-    kept = simhash.representatives(docs(spark, rows), seeds=(42, 43, 44), limit=5, keep=2)
+    kept = simhash.representatives(docs(spark, rows), families=6, limit=4, keep=2)
     assert kept.columns == docs(spark, []).columns
     assert sorted(str(r.doc_id) for r in kept.select("doc_id").collect()) == sorted([str(k) for k in range(10)] + ["None"])
 
