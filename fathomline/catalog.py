@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from fathomline.plans import documents, evaluation, logs, parsing, search
+from fathomline.plans import curation, documents, evaluation, logs, parsing, search
 
-PARTS = (search, documents, evaluation, logs, parsing)
+PARTS = (search, documents, evaluation, logs, parsing, curation)
 QUERIES: dict = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 ORACLE: dict = {name: sql for part in PARTS for name, sql in part.ORACLE.items()}
