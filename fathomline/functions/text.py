@@ -14,6 +14,8 @@ WIDTHLESS = "­​⁠﻿"
 CHARS_PER_TOKEN, MESSAGE_TOKENS, WORD_TOKENS = 3, 4, 1.6
 #: Characters of a section label and of an excerpt.
 LABEL, EXCERPT = 120, 200
+#: Fixed value: a citation marker: numbers and ranges, separated by commas, in brackets.
+MARKER = r"\[(\d{1,6}(?:\s*[-–]\s*\d{1,6})?(?:\s*,\s*\d{1,6}(?:\s*[-–]\s*\d{1,6})?)*)\]"
 #: Fixed value: the URL namespace of name-based ids.
 NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
 
@@ -94,7 +96,7 @@ def name_uuid(name: Column) -> Column:
 
 def cited_numbers(text: Column, most: Column) -> Column:
     """The distinct source numbers of [n], [n, m] and [n-m] markers, ascending; ranges are cut at most, backward ones ignored."""
-    inner = F.regexp_extract_all(text, F.lit(r"\[(\d{1,6}(?:\s*[-–]\s*\d{1,6})?(?:\s*,\s*\d{1,6}(?:\s*[-–]\s*\d{1,6})?)*)\]"))
+    inner = F.regexp_extract_all(text, F.lit(MARKER))
     parts = F.flatten(F.transform(inner, lambda m: F.split(m, ",")))
 
     def expand(part: Column) -> Column:

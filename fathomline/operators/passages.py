@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -44,6 +46,7 @@ def rendered_rows(df: DataFrame, key: str, columns: list[str], per_section: int
     return rows.select("section_no", F.concat(F.lit("Rows "), F.col("first").cast("string"), F.lit("-"), F.col("last").cast("string")).alias("label"), "n_rows", F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("text"))
 
 
+#: Fixed value: where a text is cut into sentences (ends before a capital or digit, CJK ends, blank lines, table rows).
 SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[\"'(\[]?[A-Z0-9])|(?<=[。！？])\s*|\n{2,}|\n(?=\|)")
 _CJK, _MARK = re.compile(T.CJK), re.compile(r"[^\w\s]")
 
@@ -58,41 +61,28 @@ def tokens(text: str) -> int:
     return -int(-round(sum(map(word_tokens, text.split())), 6) // 1)
 
 
+def windows(units: list[tuple[str, int]], budget: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """(first, end) of each window: as many units as fit, at least one; the next goes back by at most overlap tokens.
+
+    On running sums, a window's end and the next one's start are two binary searches.
+    """
+    sums = [0, *accumulate(n for _, n in units)]
+    start, last = 0, len(units)
+    while start < last:
+        end = max(start + 1, bisect_right(sums, sums[start] + budget, start + 1) - 1)
+        yield start, end
+        start = last if end == last else bisect_left(sums, sums[end] - overlap, start + 1, end)
+
+
 def pieces(sentence: str, budget: int) -> list[tuple[str, int]]:
-    """A sentence within budget; a longer one by words, a longer word by characters."""
+    """A sentence within budget as it is; a longer one by words, words beyond the budget by characters."""
     n = tokens(sentence)
     if n <= budget:
         return [(sentence, n)]
-    words: list[tuple[str, int]] = []
-    for w in sentence.split():
-        step = len(w) if tokens(w) <= budget else max(1, budget // 2)
-        words += [(w[k : k + step], tokens(w[k : k + step])) for k in range(0, len(w), step)]
-    out, current, used = [], [], 0
-    for w, n in words:
-        if current and used + n > budget:
-            out.append((" ".join(current), used))
-            current, used = [], 0
-        current.append(w)
-        used += n
-    return [*out, (" ".join(current), used)]
-
-
-def windows(units: list[tuple[str, int]], budget: int, overlap: int) -> Iterator[tuple[int, int]]:
-    """(first, end) of each window: as many units as fit, at least one; the next steps back by at most overlap tokens."""
-    start = 0
-    while start < len(units):
-        end, used = start, 0
-        while end < len(units) and (end == start or used + units[end][1] <= budget):
-            used += units[end][1]
-            end += 1
-        yield start, end
-        if end >= len(units):
-            return
-        back, start_next = 0, end
-        while start_next > start + 1 and back + units[start_next - 1][1] <= overlap:
-            start_next -= 1
-            back += units[start_next][1]
-        start = start_next
+    short = max(1, budget // 2)
+    words = [x for w in sentence.split() for x in ([w] if tokens(w) <= budget else [w[k : k + short] for k in range(0, len(w), short)])]
+    sized = [(w, tokens(w)) for w in words]
+    return [(" ".join(words[a:e]), sum(n for _, n in sized[a:e])) for a, e in windows(sized, budget, 0)]
 
 
 def chunks(docs: DataFrame, settings: Settings = DEFAULT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -154,3 +154,21 @@ def test_streamed_quota_sessions_and_sinks(spark, sf, tmp_path):
     q = S.fan_out(stream, {k: str(tmp_path / k) for k in ("error", "click")}, str(tmp_path / "cp"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "error")).count() == int((e.event_type == "error").sum())
+
+
+def test_small_sections_gather(spark):
+    from fathomline.operators import curation as U
+
+    s = spark.createDataFrame([(1, k, w) for k, w in enumerate([10, 35, 5, 50, 3])] + [(2, 0, 1)], "d long, o long, words long")
+    assert sorted((r.d, r.o, r.section) for r in U.merged_sections(s, "d", "o", "words", 40).collect()) == [(1, 0, 1), (1, 1, 1), (1, 2, 2), (1, 3, 2), (1, 4, 3), (2, 0, 1)]
+
+
+def test_globs_tags_and_echoes(spark):
+    from fathomline.operators import curation as U
+
+    names = spark.createDataFrame([("a/b.md",), ("a/c/d.md",), ("e.txt",)], "name string")
+    assert sorted(r.name for r in U.matching(names, ["*.md"], []).collect()) == ["a/b.md", "a/c/d.md"]
+    assert [r.name for r in U.matching(names, ["a/*"], []).collect()] == ["a/b.md"]
+    assert [r.name for r in U.matching(names, [], ["**/c/**", "*.txt"]).collect()] == ["a/b.md"]
+    r = one(spark, tags=U.normalized_tags(F.array(F.lit(" A  b "), F.lit("a B"), F.lit(""), F.lit("x" * 41), F.lit("c"))), echo=U.without_echo(F.lit("> [1] filename=x; page=1\nReal [1].")))
+    assert r.tags == ["A b", "c"] and r.echo == "Real [1]."
