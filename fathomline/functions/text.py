@@ -139,3 +139,37 @@ def page_name(url: Column) -> Column:
     path = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     stem = F.concat(host(url), F.regexp_replace(path, "/", "_"))
     return F.concat(F.regexp_replace(F.regexp_replace(stem, r"[^A-Za-z0-9_.\-]+", "_"), r"^[._]+|[._]+$", ""), F.lit(".html"))
+
+
+#: Fixed value: where answers and passages are cut into sentences for quoting.
+SENTENCE_END = r"(?<=[.!?。！？])\s+|\n+"
+
+
+def sentences(text: Column) -> Column:
+    """A text's sentences, outer white space removed, blank ones dropped."""
+    return F.filter(F.transform(F.split(text, SENTENCE_END), lambda s: F.trim(s)), lambda s: s.rlike(r"\S"))
+
+
+def without_overlap(before: Column, after: Column, least: int = 20, most: int = 400) -> Column:
+    """after without its beginning where before ends with it: the shortest such overlap of whole words, least characters up."""
+    sizes = F.filter(F.sequence(F.lit(least), F.lit(most)), lambda n: (F.char_length(before) >= n) & (F.char_length(after) >= n) & (F.right(before, n) == F.left(after, n)) & F.substring(after, n + 1, F.lit(1)).rlike(r"^(\W|$)"))
+    cut = F.coalesce(F.get(sizes, F.lit(0)), F.lit(0))
+    return F.when(cut > 0, F.ltrim(F.substring(after, cut + 1, F.lit(1 << 30)))).otherwise(after)
+
+
+def name_problem(name: Column, suffixes: list[str]) -> Column:
+    """What is wrong with a document name; null if nothing is."""
+    suffix = F.lower(F.regexp_extract(name, r"(\.[^./]*)$", 1))
+    return (
+        F.when(F.coalesce(F.trim(name), F.lit("")) == "", "empty").when(name.rlike(r"\p{Cntrl}"), "control character").when(name.rlike(r"(^|/)\.\.?(/|$)"), "dots")
+        .when(name.rlike(r"(^|/)\."), "hidden").when(name.rlike(r"//|^/|/$"), "empty part").when(F.octet_length(name) > 255, "too long").when(~suffix.isin(suffixes), "unsupported")
+    )
+
+
+def front_matter_tags(text: Column) -> Column:
+    """Tags of a Markdown text's front matter: an inline list or lines of dashes; none where it is not closed."""
+    head = F.regexp_extract(text, r"(?s)^---\n(.*?)\n---(?:\n|$)", 1)
+    inline = F.regexp_extract(head, r"(?m)^tags:[ \t]*\[([^\]\n]*)\]", 1)
+    block = F.regexp_extract(head, r"(?m)^tags:[ \t]*\n((?:[ \t]*-[ \t]+[^\n]*(?:\n|$))+)", 1)
+    raw = F.when(inline != "", F.split(inline, ",")).otherwise(F.split(F.regexp_replace(block, r"(?m)^[ \t]*-[ \t]+", ""), "\n"))
+    return F.filter(F.transform(raw, lambda t: F.regexp_replace(F.trim(t), "^[\"']|[\"']$", "")), lambda t: t != "")

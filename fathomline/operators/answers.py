@@ -107,3 +107,31 @@ def joined_continuation(before: Column, after: Column) -> Column:
     rest = F.substring(after, tail, F.lit(1 << 30))
     space = F.when((n > 0) | before.rlike(r"\s$") | after.rlike(r"^[\s.,;:!?)]"), "").otherwise(" ")
     return F.concat(before, space, rest)
+
+
+def claims_by_source(answers: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """(answer_id, source_number, sentence_no): which sentences cite a source; markers that open a sentence belong to the one before.
+
+    answers: answer_id, answer.
+    """
+    leading = rf"^(?:\s*{MARKER})+"
+    each = answers.select("answer_id", F.posexplode(T.sentences(F.col("answer"))).alias("sentence_no", "s"))
+    opening = F.when(F.col("sentence_no") > 0, F.regexp_extract("s", rf"({leading})", 1)).otherwise("")
+    own = F.when(F.col("sentence_no") > 0, F.regexp_replace("s", leading, "")).otherwise(F.col("s"))
+    parts = each.select("answer_id", F.explode(F.array(F.struct((F.col("sentence_no") - 1).alias("no"), opening.alias("t")), F.struct(F.col("sentence_no").alias("no"), own.alias("t")))).alias("p"))
+    cited = parts.select("answer_id", F.col("p.no").cast("long").alias("sentence_no"), F.explode(T.cited_numbers(F.col("p.t"), F.lit(most))).alias("n"))
+    return cited.select("answer_id", "sentence_no", F.col("n").cast("long").alias("source_number")).distinct()
+
+
+def backfilled(answers: DataFrame, sources: DataFrame) -> DataFrame:
+    """(answer_id, sentence_no, source_number): the source that best covers each sentence without a marker.
+
+    answers: answer_id, answer; sources: answer_id, source_number, text. Three shared words, half of the sentence's, one
+    of four letters or more; then the highest coverage, the smallest number.
+    """
+    bare = answers.select("answer_id", F.posexplode(T.sentences(F.col("answer"))).alias("sentence_no", "s")).filter(~F.col("s").rlike(MARKER))
+    claims = bare.select("answer_id", "sentence_no", content_words(F.col("s")).alias("c")).filter(F.size("c") >= 3)
+    pairs = claims.join(sources.select("answer_id", "source_number", content_words(F.col("text")).alias("w")), "answer_id").withColumn("both", F.array_intersect("c", "w"))
+    good = pairs.filter((F.size("both") >= 3) & (F.size("both") >= 0.5 * F.size("c")) & F.exists("both", lambda x: (F.char_length(x) >= 4) | x.rlike(r"\d")))
+    best = good.groupBy("answer_id", "sentence_no").agg(F.max(F.struct((F.size("both") / F.size("c")).alias("v"), (-F.col("source_number")).alias("n"))).alias("b"))
+    return best.select("answer_id", F.col("sentence_no").cast("long").alias("sentence_no"), (-F.col("b.n")).alias("source_number"))

@@ -145,6 +145,33 @@ def url_redaction(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").groupBy(T.without_query(F.col("url")).alias("url")).agg(F.count(F.lit(1)).alias("pages"))
 
 
+def sentence_stats(spark: SparkSession, d: str) -> DataFrame:
+    s = T.sentences(F.col("text"))
+    return read(spark, d, "documents").select("doc_id", F.size(s).cast("long").alias("sentences"), F.array_max(F.transform(s, lambda x: F.char_length(x))).cast("long").alias("longest"))
+
+
+def overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of sentences and what is new in each against the one before."""
+    w = P.chunks(read(spark, d, "documents"))
+    before = w.select("doc_id", (F.col("ordinal") + 1).alias("ordinal"), F.col("text").alias("before"))
+    both = w.join(before, ["doc_id", "ordinal"])
+    return both.select("doc_id", "ordinal", F.char_length("text").cast("long").alias("n_chars"), F.char_length(T.without_overlap(F.col("before"), F.col("text"))).cast("long").alias("new_chars"))
+
+
+def name_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Document names with faults made by id."""
+    i = F.col("doc_id")
+    name = F.when(i % 7 == 0, F.concat(F.lit("."), i.cast("string"), F.lit(".md"))).when(i % 7 == 1, F.lit("a/../b.md")).when(i % 7 == 2, F.concat(F.rpad(F.lit("x"), 260, "x"), F.lit(".md"))).when(i % 7 == 3, F.lit("x.exe")).when(i % 7 == 4, F.lit(" ")).otherwise(F.concat("source", F.lit("/"), i.cast("string"), F.lit(".TXT")))
+    return read(spark, d, "documents").groupBy(F.coalesce(T.name_problem(name, [".md", ".txt"]), F.lit("fine")).alias("problem")).agg(F.count(F.lit(1)).alias("names"))
+
+
+def front_matter(spark: SparkSession, d: str) -> DataFrame:
+    """Documents under front matter in one of three layouts; the tags it gives."""
+    i, head = F.col("doc_id") % 3, F.concat(F.lit("---\ntitle: t\ntags:"))
+    text = F.when(i == 0, F.concat(head, F.lit(" ["), "lang", F.lit(", '"), "source", F.lit("']\n---\n"), "text")).when(i == 1, F.concat(head, F.lit("\n  - "), "lang", F.lit("\n  - b c\n---\n"), "text")).otherwise(F.concat(head, F.lit(" [x]\n"), "text"))
+    return read(spark, d, "documents").select("doc_id", F.array_join(T.front_matter_tags(text), "|").alias("tags"))
+
+
 LINES = r"""
 parts AS (SELECT doc_id, source, lang, text AS whole, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '\S')) AS l FROM documents),
 lines AS (
@@ -159,7 +186,7 @@ stored AS (
 
 QUERIES = {
     f.__name__: f
-    for f in (document_tokens, paragraph_sections, chunk_ids, excerpts, chunks, csv_rows, html_parts, url_parts, sitemap_select, catalogue, tag_facet, index_size, duplicates, missing_documents, consistency, listing_page, outline, around, neighbours, passage_labels, source_catalogue, round_robin_sample, upserted, url_redaction)
+    for f in (document_tokens, paragraph_sections, chunk_ids, excerpts, chunks, csv_rows, html_parts, url_parts, sitemap_select, catalogue, tag_facet, index_size, duplicates, missing_documents, consistency, listing_page, outline, around, neighbours, passage_labels, source_catalogue, sentence_stats, overlaps, name_problems, front_matter, round_robin_sample, upserted, url_redaction)
 }
 
 CJK = T.CJK
@@ -218,6 +245,10 @@ SELECT query_id, filename, ordinal, neighbour, ordinal AS kept_rank FROM near WH
 SELECT item_id, doc_id FROM b JOIN d ON contains(d.t, b.t)""",
     "source_catalogue": "SELECT source, lang, count(*) AS documents, sum(n_chars)::BIGINT AS chars, max(n_chars) AS longest FROM documents GROUP BY GROUPING SETS ((source, lang), (source), ())",
     "round_robin_sample": "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('7:' || doc_id), doc_id) AS r FROM documents) WHERE r <= 2",
+    "sentence_stats": r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?。！？])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: regexp_matches(x, '\S')) AS l FROM documents)
+SELECT doc_id, len(l) AS sentences, list_max(list_transform(l, lambda x: length(x))) AS longest FROM s""",
+    "name_problems": """SELECT CASE doc_id % 7 WHEN 0 THEN 'hidden' WHEN 1 THEN 'dots' WHEN 2 THEN 'too long' WHEN 3 THEN 'unsupported' WHEN 4 THEN 'empty' ELSE 'fine' END AS problem, count(*) AS names FROM documents GROUP BY 1""",
+    "front_matter": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN lang || '|' || source WHEN 1 THEN lang || '|b c' ELSE '' END AS tags FROM documents",
     "upserted": "SELECT doc_id, source, n_chars + CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 0 END AS n_chars FROM documents",
     "url_redaction": "SELECT regexp_replace(url, '[?#].*$', '') AS url, count(*) AS pages FROM pages GROUP BY 1",
 }

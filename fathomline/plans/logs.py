@@ -181,6 +181,21 @@ def batch_shares(spark: SparkSession, d: str) -> DataFrame:
     return M.batch_shares(n, "question", "conv_id", "need", 12)
 
 
+def claims_by_source(spark: SparkSession, d: str) -> DataFrame:
+    """Two sentences made of each assistant turn's letters, the first's marker opening the second."""
+    c = read(spark, d, "conversations").filter("role = 'assistant'")
+    bare = F.regexp_replace(F.expr("left(text, 60)"), r"[^\p{L} ]", "")
+    answer = F.concat(F.lit("A"), bare, F.lit(". ["), (F.col("turn") + 1).cast("string"), F.lit("] B"), bare, F.lit(" ["), (F.col("conv_id") % 3 + 1).cast("string"), F.lit("-4]."))
+    return A.claims_by_source(c.select((F.col("conv_id") * 100 + F.col("turn")).alias("answer_id"), answer.alias("answer")))
+
+
+def backfilled(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark texts as answers to which the documents that hold them are sources."""
+    docs, items = read(spark, d, "documents"), read(spark, d, "benchmark")
+    held = C.label_passages(docs, items).join(docs.select("doc_id", "text"), "doc_id").select(F.col("item_id").alias("answer_id"), F.col("doc_id").alias("source_number"), "text")
+    return A.backfilled(items.select(F.col("item_id").alias("answer_id"), F.col("text").alias("answer")), held)
+
+
 US = "epoch_us(ts)"
 ANSWERS = """
 answers AS (SELECT conv_id * 100 + turn AS answer_id, conv_id, turn, text || CASE WHEN turn % 4 <> 1 THEN format(' [{}, {}-{}] costs {},{:03d}.0 [9-2]', turn + 1, turn % 3 + 1, turn % 3 + 3, turn, conv_id % 1000) ELSE '' END AS answer
@@ -202,7 +217,7 @@ s AS (SELECT *, sum(fresh) OVER (PARTITION BY {key} ORDER BY ts, event_id) AS se
 
 QUERIES = {
     f.__name__: f
-    for f in (latency_summary, tumbling, sliding, sessions, latest_per_key, latest_turns, retention, usage_totals, props_extract, outcome_tallies, job_states, late_writes, backoff_due, due_queue, token_bucket, throttled, cache_hits, shared_runs, admitted, history_tail, exchanges, needs_condense, citations_used, unsupported_numbers, cited_sources, query_spans, fact_checks, continuations, summary_parts, batch_shares)
+    for f in (latency_summary, tumbling, sliding, sessions, latest_per_key, latest_turns, retention, usage_totals, props_extract, outcome_tallies, job_states, late_writes, backoff_due, due_queue, token_bucket, throttled, cache_hits, shared_runs, admitted, history_tail, exchanges, needs_condense, citations_used, unsupported_numbers, cited_sources, query_spans, claims_by_source, backfilled, fact_checks, continuations, summary_parts, batch_shares)
 }
 
 ORACLE = {
@@ -233,5 +248,7 @@ SELECT conv_id, turn, len(list_intersect(w, {A.POINTING})) > 0 OR len(list_filte
   CASE WHEN len(list_filter(marks, lambda x: x <= 5)) > 0 THEN 'answered' WHEN regexp_matches(answer, '{A.REFUSALS.replace(chr(39), chr(39) * 2)}') THEN 'insufficient_context' ELSE 'uncited' END AS status FROM cited""",
     "cited_sources": f"""WITH {ANSWERS}, {CITED}, m AS (SELECT answer_id, conv_id, turn, unnest(marks) AS source_number FROM cited)
 SELECT answer_id, source_number FROM m WHERE EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = m.conv_id AND c.turn < m.turn AND c.turn + 1 = m.source_number)""",
+    "claims_by_source": """WITH a AS (SELECT conv_id * 100 + turn AS answer_id, turn, conv_id FROM conversations WHERE role = 'assistant')
+SELECT answer_id, 0::BIGINT AS sentence_no, turn + 1 AS source_number FROM a UNION SELECT answer_id, 1::BIGINT, unnest(range(conv_id % 3 + 1, 5)) FROM a""",
     "continuations": f"WITH {ANSWERS} SELECT answer_id, true AS whole FROM answers WHERE length(answer) > 60",
 }

@@ -172,3 +172,19 @@ def test_globs_tags_and_echoes(spark):
     assert [r.name for r in U.matching(names, [], ["**/c/**", "*.txt"]).collect()] == ["a/b.md"]
     r = one(spark, tags=U.normalized_tags(F.array(F.lit(" A  b "), F.lit("a B"), F.lit(""), F.lit("x" * 41), F.lit("c"))), echo=U.without_echo(F.lit("> [1] filename=x; page=1\nReal [1].")))
     assert r.tags == ["A b", "c"] and r.echo == "Real [1]."
+
+
+def test_markers_that_open_a_sentence_belong_to_the_one_before(spark):
+    a = spark.createDataFrame([(1, "First claim. [2] Second one [1, 3]. Third."), (2, "[4] Alone.")], "answer_id long, answer string")
+    got = sorted((r.answer_id, r.sentence_no, r.source_number) for r in A.claims_by_source(a).collect())
+    assert got == [(1, 0, 2), (1, 1, 1), (1, 1, 3), (2, 0, 4)]
+    src = spark.createDataFrame([(1, 7, "the third claim mentions nothing"), (1, 8, "zebras")], "answer_id long, source_number long, text string")
+    bare = spark.createDataFrame([(1, "The third claim mentions zoos. Cited [1].")], "answer_id long, answer string")
+    assert [tuple(r) for r in A.backfilled(bare, src).collect()] == [(1, 0, 7)]
+
+
+def test_names_overlaps_and_front_matter(spark):
+    from fathomline.functions import text as T
+
+    r = one(spark, a=T.without_overlap(F.lit("One two three. Four five six seven eight."), F.lit("Four five six seven eight. Nine.")), b=T.without_overlap(F.lit("abc"), F.lit("abc def")), c=T.front_matter_tags(F.lit("---\ntags: [a, 'b']\n---\nx")), d=T.front_matter_tags(F.lit("---\ntags: [a]\nx")), e=T.name_problem(F.lit("ok/fine.md"), [".md"]))
+    assert r.a == "Nine." and r.b == "abc def" and r.c == ["a", "b"] and r.d == [] and r.e is None
