@@ -78,6 +78,11 @@ def test_templates_and_slots(spark):
     assert wrappers.articles(pages(spark, [])).count() == 0
 
 
+def test_an_article_keeps_its_own_header():
+    page = wrappers.read("<div class=site-header>Site</div><article><header class=entry-header><div class='post-header'><h1>Title</h1></div></header><p class=notice>Note</p><p>Body</p><ul><li>One<li>Two</ul><section class=comments><p>Me too</section></article>")
+    assert wrappers.main_text(page, set()) == "Title\n\nBody\n\nOne\n\nTwo"
+
+
 def test_real_pages_give_their_articles(spark, sf):
     rows = table(spark, sf, "pages").collect()
     got = {r.page_id: r.text for r in wrappers.articles(table(spark, sf, "pages")).collect()}
