@@ -68,8 +68,10 @@ class Vocabulary:
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks = keys[order], np.array([r for r, _ in self.merges.values()], dtype=np.int64)[order]
         self.no_merge = (len(self.merges), -1)
-        self._checked: dict[tuple[int, int], bool] = {}
+        self._seen: set[tuple[int, int]] = set()
+        self._apart: set[tuple[int, int]] = set()  # pairs seen that do not stand
         self._own: dict[int, bool] = {}
+        self._loose: set[int] = set()  # tokens seen that do not stand
         self.word = regex.compile(WORDS)
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
@@ -125,6 +127,8 @@ class Vocabulary:
         """Whether a token's bytes encode to that token."""
         if token not in self._own:
             self._own[token] = self.merge(self.bytes_of[token]) == [token]
+            if not self._own[token]:
+                self._loose.add(token)
         return self._own[token]
 
     def pairs_stand(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -153,18 +157,21 @@ class Vocabulary:
         """The ids of each word as little-endian unsigned 32-bit integers."""
         raw = [w.encode() for w in words]
         proposed = [self.propose(w) for w in raw]
-        fresh = {p for ids in proposed if len(ids) > 1 for p in zip(ids, ids[1:], strict=False)} - self._checked.keys()
+        fresh = {p for ids in proposed if len(ids) > 1 for p in zip(ids, ids[1:], strict=False)} - self._seen
         if fresh:
             pairs = np.array(list(fresh), dtype=np.int64)
-            for (x, y), fine in zip(fresh, self.pairs_stand(pairs[:, 0], pairs[:, 1]).tolist(), strict=True):
-                self._checked[x, y] = fine
-        ok, out = self._checked, []
+            self._apart.update(tuple(p) for p in pairs[~self.pairs_stand(pairs[:, 0], pairs[:, 1])].tolist())
+            self._seen |= fresh
+        for t in set().union(*proposed) - self._own.keys():
+            self.stands(t)
+        apart, loose, out = self._apart, self._loose, []
         for w, ids in zip(raw, proposed, strict=True):
-            if not (all(map(self.stands, ids)) and all(ok[p] for p in zip(ids, ids[1:], strict=False))):
+            if not (apart.isdisjoint(zip(ids, ids[1:], strict=False)) and loose.isdisjoint(ids)):
                 ids = self.merge(w)
             out.append(pack(f"<{len(ids)}I", *ids))
-        if len(ok) > 4 * REMEMBER:
-            ok.clear()
+        if len(self._seen) > 4 * REMEMBER:
+            self._seen.clear()
+            apart.clear()
         return out
 
     def words(self, text: str) -> list[str]:
