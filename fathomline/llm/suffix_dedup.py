@@ -325,7 +325,8 @@ def judge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     valid = np.cumsum(valid[:-1]) > 0
     of_text = np.repeat(np.arange(len(size)), size + 1)
     mine = np.flatnonzero(valid[pos])
-    least = np.minimum.reduceat(lcp, np.concatenate(([0], mine[:-1] + 1)))
+    # suffixes after the last string are none of its business
+    least = np.minimum.reduceat(lcp[: mine[-1] + 1], np.concatenate(([0], mine[:-1] + 1)))
     pos = pos[mine]
     head = np.flatnonzero(np.concatenate(([True], least[1:] < LENGTH)))
     smallest = np.minimum.reduceat(low[of_text[pos]], head)

@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import xxhash
 
 from fathomline.llm import induced, kneser_ney, simhash, suffix_dedup, toxicity
@@ -173,6 +174,19 @@ def test_passages_of_earlier_documents_go(spark, sf, monkeypatch):
     assert suffix_dedup.digests(docs(spark, [])).count() == 0
 
 
+def test_largest_string_of_a_shard_meets_its_equals(spark):
+    """The largest string ends two different pieces, and a larger suffix that is too short to be a string follows it."""
+    largest = "z" + "".join(chr(97 + k * 7 % 25) for k in range(47)) + "zz"
+    rows = [(1, "".join(chr(97 + k * 11 % 25) for k in range(9)) + largest, "en", "a"), (2, "".join(chr(97 + k * 3 % 25) for k in range(9)) + largest, "en", "a")]
+    texts = [t.encode() for _, t, *_ in rows]
+    pdf = pd.DataFrame({"batch": [0, 1], "texts": [suffix_dedup.squeeze(t) for t in texts], "sizes": [np.array([len(t)], "<i4").tobytes() for t in texts], "low": [np.array([i], "<i8").tobytes() for i in (1, 2)], "high": [np.array([i], "<i8").tobytes() for i in (1, 2)]})
+    told = {r.batch: np.frombuffer(suffix_dedup.expand(r.told), "<i8").reshape(4, -1).T.tolist() for r in suffix_dedup.judge((0,), pdf).itertuples()}
+    assert told[1] == [[0, 9, 1, 1]]
+    out = suffix_dedup.removals(docs(spark, rows)).collect()
+    got = Counter((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in out)
+    assert got == slow_removals([(i, t) for i, t, *_ in rows])
+
+
 # --- Kneser-Ney -----------------------------------------------------------------------------------------------------
 
 
