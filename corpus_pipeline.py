@@ -9,14 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import bpe, mixing, simhash, suffix_dedup, toxicity
+from fathomline.llm import bpe, mixing, near_copies, suffix_dedup, toxicity
 from fathomline.llm.common import table, written
 from fathomline.llm.registry import vocabulary_path
 
-#: Near-duplicates link if the fingerprints of one of these families differ in so few bits. Texts that share 90 % of
-#: their five-word shingles link nearly always, at 85 % mostly, at 80 % two in three, under 65 % hardly ever.
-FAMILIES, LIMIT, KEEP = 6, 4, 2
-
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the clause grammar, learned from these documents' labels, does not predict toxic."""
@@ -24,8 +20,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of exact and near copies."""
-    return simhash.representatives(docs, families=FAMILIES, limit=LIMIT, keep=KEEP)
+    """One document, that of the smallest id, of each group linked by a Jaccard similarity of 0.8 of five-word shingles."""
+    return near_copies.representatives(docs)
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,13 +41,13 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", toxicity_stage),
-    ("simhash near-dedup", near_duplicate_stage),
+    ("near-dedup", near_duplicate_stage),
     ("suffix-array dedup", passage_stage),
     ("mixing", mixing_stage),
     ("bpe", token_stage),
 ]
 
-#: SQL has no SimHash, learned grammar or BPE.
+#: SQL has no learned grammar or BPE.
 ORACLE_SQL = None
 
 

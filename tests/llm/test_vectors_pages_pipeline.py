@@ -3,7 +3,7 @@ from collections import Counter
 import numpy as np
 
 import corpus_pipeline
-from fathomline.llm import permutation_index, wrappers
+from fathomline.llm import near_copies, permutation_index, wrappers
 from fathomline.llm.common import table
 from tests.llm.helpers import ODD, docs
 
@@ -95,6 +95,45 @@ def test_real_pages_give_their_articles(spark, sf):
         assert got[r.page_id] == "\n\n".join(x for x in want if x)
 
 
+def test_near_copies_link_at_the_bound(spark, monkeypatch):
+    """Five-word shingles, similarity 0.8: against brute force, with pairs on both sides and a crowd that shares them."""
+    monkeypatch.setattr(near_copies, "SMALL", 3)  # groups of four take the ways of large ones
+    rng = np.random.default_rng(4)
+    rows, at = [], 0
+
+    def put(words):
+        nonlocal at
+        at += 1
+        rows.append((at, " ".join(words), "en", "a"))
+
+    for base in range(30):
+        own = [f"w{base}x{k}" for k in range(120)]
+        put(own)
+        for changed in (1, 2, 3, 4, 5):  # about 0.92, 0.84, 0.77, 0.71, 0.65
+            words = list(own)
+            for k in range(changed):
+                words[12 + 20 * k] = f"new{at}y{k}"
+            put(words)
+    crowd = [f"c{k}" for k in range(60)]
+    for _ in range(60):
+        put([w if rng.random() > 0.04 else f"z{rng.integers(1000)}" for w in crowd])
+    rows += [(900, "", "en", "a"), (901, None, "en", "a"), (902, "two words", "en", "a"), (903, "TWO  words", "en", "a"), (904, rows[0][1], "en", "a"), (904, rows[30][1], "en", "a"), (None, rows[0][1], "en", "a")]
+    known = [(i, (t or "").lower().split()) for i, t, *_ in rows if i is not None]
+    made = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for _, w in known]
+    linked = np.array([[x == y or known[a][0] == known[b][0] or 5 * len(x & y) >= 4 * len(x | y) > 0 for b, y in enumerate(made)] for a, x in enumerate(made)])
+    similar = [len(x & y) / len(x | y) for a, x in enumerate(made) for y in made[:a] if x | y]
+    assert any(0.8 <= s < 0.86 for s in similar) and any(0.74 < s < 0.8 for s in similar)
+    label = np.arange(len(known))
+    while (new := np.array([label[row].min() for row in linked])).tolist() != label.tolist():
+        label = new
+    want = {i: known[k][0] for (i, _), k in zip(known, label, strict=True)}
+    docs_ = docs(spark, rows)
+    got = {r.doc_id: r.component_id for r in near_copies.classes(docs_).collect()}
+    assert got == want
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs_, "")
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(i for i, *_ in rows if i is None or want[i] == i)
+
+
 def test_pipeline_stages(spark, sf):
     d = table(spark, sf, "documents")
     n = d.count()
