@@ -1,3 +1,6 @@
+import html
+import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -43,6 +46,18 @@ def test_exact_where_few(spark):
     assert [(r.query_id, r.vec_id) for r in few] == [(0, 1)]
 
 
+def brute_matching(a, b, x=0, y=0):
+    """The size of the largest top-down matching under two nodes of (signs, parents)."""
+    if a[0][x] != b[0][y]:
+        return 0
+    xs, ys = ([k for k, p in enumerate(t[1]) if p == n] for t, n in ((a, x), (b, y)))
+    best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+    for i, c in enumerate(xs):
+        for j, d in enumerate(ys):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + brute_matching(a, b, c, d))
+    return 1 + best[-1][-1]
+
+
 def test_alignment_is_a_largest_matching():
     a = ["root", "body", "nav", "div.a", "div.a", "footer"]
     b = ["root", "body", "div.x", "nav", "div.a", "footer"]
@@ -51,6 +66,28 @@ def test_alignment_is_a_largest_matching():
     wide = ["root"] + ["div"] * 200
     assert len(wrappers.align(wide, [-1] + [0] * 200, wide, [-1] + [0] * 200)) == 201
     assert wrappers.align([], [], wide, [-1] + [0] * 200) == {}
+    rng = np.random.default_rng(3)
+
+    def tree(n):
+        parents = [-1] + [int(rng.integers(k)) for k in range(1, n)]
+        return ["root"] + [str(rng.choice(["p", "div", "ul"])) for _ in range(n - 1)], parents
+
+    for _ in range(150):
+        x, y = tree(int(rng.integers(1, 16))), tree(int(rng.integers(1, 16)))
+        got = wrappers.align(*x, *y)
+        assert len(got) == brute_matching(x, y)
+        assert all(x[0][k] == y[0][v] and (k == 0 or got[x[1][k]] == y[1][v]) for k, v in got.items())
+        order = sorted(got, key=lambda k: (x[1][k], k))
+        assert all(got[k] < got[q] for k, q in zip(order, order[1:]) if x[1][k] == x[1][q])
+
+
+def test_hostile_pages_take_linear_time():
+    for bad in ("<div>" * 30_000 + "x", "<b>" * 50_000 + "x<p>y", '<a "' * 50_000 + ">", "<p>x<b>" * 20_000, "<label>" * 20_000 + "</label></p>" * 20_000, "<noscript>" * 20_000, "<div><p></div>" * 20_000, "<" * 100_000, "<ul>" + "<li>x" * 20_000):
+        begin = time.time()
+        page = wrappers.read(bad)
+        fit = wrappers.align(page.signs, page.parents, page.signs, page.parents)
+        wrappers.main_text(page, fit)
+        assert time.time() - begin < 20 and len(fit) == len(page.signs)
 
 
 def pages(spark, rows):
@@ -83,16 +120,40 @@ def test_an_article_keeps_its_own_header():
     assert wrappers.main_text(page, set()) == "Title\n\nBody\n\nOne\n\nTwo"
 
 
+def article_of(source):
+    """The text of a test page's article element, read by patterns."""
+    inner = re.search(r"<article>(.*)</article>", source, re.S)[1]
+    want = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
+    return "\n\n".join(x for x in want if x)
+
+
 def test_real_pages_give_their_articles(spark, sf):
     rows = table(spark, sf, "pages").collect()
     got = {r.page_id: r.text for r in wrappers.articles(table(spark, sf, "pages")).collect()}
-    import html
-    import re
-
-    for r in rows:
-        inner = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
-        want = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
-        assert got[r.page_id] == "\n\n".join(x for x in want if x)
+    assert all(got[r.page_id] == article_of(r.html) for r in rows)
+
+
+def test_alignment_decides_where_tags_tell_nothing(spark, sf):
+    """All semantic tags become div and classes go: the wrapper finds the articles, and without it no page is right."""
+    rows = table(spark, sf.replace("sf0.001", "sf0.01"), "pages").collect()
+    bare = [re.sub(r' (?:class|id|role)="[^"]*"', "", re.sub(r"(</?)(nav|header|footer|aside|article|main)\b", r"\1div", r.html)) for r in rows]
+    got = {r.page_id: r.text for r in wrappers.articles(pages(spark, [(r.page_id, r.url, h) for r, h in zip(rows, bare, strict=True)])).collect()}
+    sizes = Counter(r.url.split("/")[2] for r in rows)
+    mine = [(got[r.page_id], wrappers.main_text(wrappers.read(h)), article_of(r.html)) for r, h in zip(rows, bare, strict=True) if sizes[r.url.split("/")[2]] >= 5]
+    assert len(mine) > 100
+    assert all(x == want for x, _, want in mine) and not any(y == want for _, y, want in mine)
+
+
+def test_copies_of_one_article_keep_it(spark):
+    body = "".join(f"<p>Part {k} of the one story.</p>" for k in range(5))
+    rows = [(k, f"http://one.example/?utm={k}", f"<body><div>menu</div><article><h1>Story</h1>{body}</article></body>") for k in range(6)]
+    rows += [(10 + k, f"http://two.example/?utm={k}", f"<body><div>{'Buy now. ' * k}</div><div><h1>Story</h1>{body}</div></body>") for k in range(1, 6)]
+    rows += [(20 + k, f"http://three.example/{k}", f"<body><div><h1>Story {k}</h1><p>Begin {k * 7} here.<p>Subscribe to our letter.<p>And so on {k * 5}.</div></body>") for k in range(12)]
+    text = {r.page_id: r.text for r in wrappers.articles(pages(spark, rows)).collect()}
+    story = "\n\n".join(["Story", *(f"Part {k} of the one story." for k in range(5))])
+    assert all(text[k] == story for k in range(6))
+    assert all(text[10 + k].endswith(story) for k in range(1, 6))
+    assert all(text[20 + k] == f"Story {k}\n\nBegin {k * 7} here.\n\nAnd so on {k * 5}." for k in range(12))
 
 
 def test_near_copies_link_at_the_bound(spark, monkeypatch):
