@@ -1,9 +1,11 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words are mapped to symbols (insult, threat, target, negation, reported speech, other). Three transducers read a
-clause's symbols and mark insults and threats that stand in the scope of a negation, in reported speech, or next to
-a target; they are composed into one machine. The marked matches of a text, with their weights, are what a logistic
-model scores; a word outside the grammar adds nothing. Insults and their weights are learned from labelled texts.
+The words of a sentence are mapped to symbols (insult, threat, target, negation, reported speech, other, clause end).
+Three transducers read them and mark insults and threats that stand in the scope of a negation, in reported speech, or
+after a target; they are composed into one machine. Each transducer has a weight, and a path's weight is the product of
+those of its marks and of the word's own: negation and report lower it, a target raises it. A clause counts for the
+heaviest path through it; a text's score is a logistic function of its heaviest clause and of all its clauses' sum.
+Insults, their weights and the transducers' weights are learned from labelled texts.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from fathomline.llm.common import small_batches, written
 
-#: Labelled rows that the model is fitted on at most, taken by a hash of their id.
+#: Labelled rows that the model is fitted on at most, taken by a hash of their id; one text for each id.
 FIT_ROWS = 20_000
 #: A learned insult occurs in so many toxic texts, with so many different words before it, and so rarely elsewhere.
 LEAST_TEXTS, LEAST_CONTEXTS, PURITY = 4, 3, 0.5
@@ -41,20 +43,21 @@ TARGETS = {"you", "your", "he", "she", "they", "him", "her", "them", "this", "th
 NEGATIONS = {"not", "no", "never", "neither", "nor", "without", "pas", "jamais", "ni", "sans", "nicht", "kein", "keine", "nie", "ohne", "nunca", "tampoco", "sin"}
 REPORTS = {"said", "says", "told", "called", "wrote", "quoted", "claimed", "dit", "écrit", "appelé", "sagte", "schrieb", "nannte", "dijo", "escribió", "llamó"}
 FIXED = {w: s for s, words in (("H", THREATS), ("T", TARGETS), ("N", NEGATIONS), ("R", REPORTS)) for w in words}
-SYMBOLS = "IHTNRO"
+#: Insult, threat, target, negation, report, any other word, clause end.
+SYMBOLS = "IHTNRO,"
 
 #: A transducer: start state, and (state, symbol) -> (state, mark or nothing).
 Transducer = tuple[int, dict[tuple[int, str], tuple[int, str]]]
 
 
 def scoped(opens: str, length: int, mark: str) -> Transducer:
-    """Marks insults and threats up to length symbols after one of opens."""
-    step = {(left, s): (length if s == opens else max(0, left - 1), mark if left and s in "IH" else "") for left in range(length + 1) for s in SYMBOLS}
+    """Marks insults and threats up to length words after one of opens, in the same clause."""
+    step = {(left, s): (0 if s == "," else length if s == opens else max(0, left - 1), mark if left and s in "IH" else "") for left in range(length + 1) for s in SYMBOLS}
     return 0, step
 
 
 def from_then_on(opens: str, mark: str) -> Transducer:
-    """Marks insults and threats anywhere after one of opens."""
+    """Marks insults and threats anywhere after one of opens, also in later clauses of the sentence."""
     return 0, {(on, s): (1 if s == opens else on, mark if on and s in "IH" else "") for on in (0, 1) for s in SYMBOLS}
 
 
@@ -68,19 +71,33 @@ def compose(*parts: Transducer) -> tuple[int, list[list[int]], list[list[str]]]:
 
 
 START, FOLLOW, MARKS = compose(scoped("N", SCOPE, "n"), from_then_on("R", "r"), scoped("T", REACH, "t"))
-#: Words, and what ends a clause.
+#: Words and clause ends of a sentence; what ends a sentence.
+TOKEN = re.compile(r"\w+|[,;:()\"«»“”|—–]")
 WORD = re.compile(r"\w+")
-END = re.compile(r"[.,;:!?\n|()\"«»“”]")
-FEATURES = ("plain", "plain_count", "negated", "reported", "targeted", "threats", "targeted_threats", "matches")
+END = re.compile(r"[.!?\n]")
+#: What paths can be: insult or threat, with every set of marks.
+KINDS = ["".join(x) for x in product("IH", ("", "n"), ("", "r"), ("", "t"))]
+#: The transducers' weights and that of a threat before any label is seen, and the values that labels choose from: a
+#: negation or report takes half of a path's weight at least, a target takes none.
+PRIOR = {"n": 0.25, "r": 0.25, "t": 1.25, "H": 2.0}
+CHOICES = {"n": (0.0, 0.1, 0.25, 0.4, 0.5), "r": (0.0, 0.1, 0.25, 0.4, 0.5), "t": (1.0, 1.1, 1.25, 1.5, 2.0), "H": (0.5, 1.0, 2.0, 3.0, 4.0)}
+#: What a step away from the prior costs in log likelihood.
+DOUBT = 1.0
+
+
+def multiplier(kind: str, weights: dict[str, float]) -> float:
+    """The product of the weights of a path's marks."""
+    return math.prod((weights[m] for m in kind[1:]), start=1.0)
 
 
 @dataclass
 class Grammar:
-    """Insult weights by word or stem, and the logistic model over a text's features."""
+    """Insult weights by word or stem, the transducers' weights, and the logistic model over a text's clauses."""
 
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
-    theta: list[float] = field(default_factory=lambda: [0.0] * len(FEATURES))
+    weights: dict[str, float] = field(default_factory=lambda: dict(PRIOR))
+    theta: tuple[float, float] = (0.5, 0.5)
     bias: float = -3.0
 
     def machine(self):
@@ -101,54 +118,74 @@ class Grammar:
         return max(self.words.get(word, 0.0), *(self.stems.get(word[:k], 0.0) for k in STEMS))
 
     def matches(self, text: str) -> list[tuple[int, int, str, float]]:
-        """(start, end, kind with marks, weight) of each match in a lower-cased text, clause by clause."""
-        out, done = [], -1
+        """(start, end, kind, weight of the word) of the heaviest path through each clause of a lower-cased text.
+
+        kind: I or H and the path's marks, in the order n, r, t. Whole sentences are read, however long; what is heaviest
+        is told by the prior weights. Only sentences that may hold a match are read word by word.
+        """
+        out, done = [], 0
         for end, n in self.machine().iter(text):
             at = end - n + 1
-            if at <= done or (at and (text[at - 1].isalnum() or text[at - 1] == "_")):
+            if at < done or (at and (text[at - 1].isalnum() or text[at - 1] == "_")):
                 continue
-            begin = 0
-            for m in END.finditer(text, max(0, at - 400), at):
+            begin = done
+            for m in END.finditer(text, done, at):
                 begin = m.end()
-            begin = begin or max(0, at - 400)
-            stop = m.start() if (m := END.search(text, at)) else len(text)
-            done, state = stop, START
-            for w in WORD.finditer(text, begin, stop):
+            done = m.end() if (m := END.search(text, at)) else len(text)
+            state, best, found = START, 0.0, None
+            for w in TOKEN.finditer(text, begin, done):
                 word = w.group()
                 weight = self.insult(word)
-                symbol = "I" if weight else FIXED.get(word, "O")
+                symbol = "I" if weight else FIXED.get(word) or ("O" if word[0].isalnum() or word[0] == "_" else ",")
                 k = SYMBOLS.index(symbol)
                 if symbol in "IH":
-                    out.append((w.start(), w.end(), symbol + MARKS[state][k], weight or 1.0))
+                    kind = symbol + MARKS[state][k]
+                    mass = multiplier(kind, PRIOR) * (weight or PRIOR["H"])
+                    if mass > best:
+                        best, found = mass, (w.start(), w.end(), kind, weight or 1.0)
+                elif symbol == "," and found:
+                    out.append(found)
+                    best, found = 0.0, None
                 state = FOLLOW[state][k]
+            if found:
+                out.append(found)
         return out
 
-    def features(self, found: list[tuple[int, int, str, float]]) -> list[float]:
-        """A text's features from its matches."""
-        best = lambda test: max((x for _, _, k, x in found if test(k)), default=0.0)
-        plain = [x for _, _, k, x in found if k[0] == "I" and not {"n", "r"} & set(k)]
-        threat = [k for _, _, k, _ in found if k[0] == "H" and not {"n", "r"} & set(k)]
-        return [
-            max(plain, default=0.0), math.log1p(len(plain)), best(lambda k: k[0] == "I" and "n" in k), best(lambda k: k[0] == "I" and "r" in k),
-            best(lambda k: k[0] == "I" and "t" in k), float(bool(threat)), float(any("t" in k for k in threat)), math.log1p(sum(k[0] == "I" for _, _, k, _ in found)),
-        ]
-
     def score(self, found: list[tuple[int, int, str, float]]) -> float:
         """The probability of label 1."""
-        z = self.bias + sum(a * b for a, b in zip(self.theta, self.features(found), strict=True))
+        best, total = features(np.array([by_kind(found)]), self.weights)[0]
+        z = self.bias + self.theta[0] * best + self.theta[1] * total
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def by_kind(found: list[tuple[int, int, str, float]]) -> list[float]:
+    """The greatest weight and the sum of weights of a text's clauses, for each kind of path."""
+    out = [0.0] * (2 * len(KINDS))
+    for _, _, kind, weight in found:
+        k = KINDS.index(kind)
+        out[k] = max(out[k], weight)
+        out[len(KINDS) + k] += weight
+    return out
+
+
+def features(kinds: np.ndarray, weights: dict[str, float]) -> np.ndarray:
+    """The heaviest clause of each text and the logarithm of all its clauses' weight, given the transducers' weights."""
+    each = np.array([multiplier(k, weights) * (weights["H"] if k[0] == "H" else 1.0) for k in KINDS])
+    best, total = kinds[:, : len(KINDS)] * each, kinds[:, len(KINDS) :] * each
+    return np.stack((best.max(axis=1, initial=0.0), np.log1p(total.sum(axis=1))), axis=1)
+
+
 def remainder(id_col: str = "doc_id") -> F.Column:
     """crc32 of the id's text, modulo 4; null ids: null."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(text, toxic) of at most FIT_ROWS labelled rows whose remainder isn't 2; one label for each id, the highest."""
+    """(text, toxic) of at most FIT_ROWS labelled ids whose remainder isn't 2; one label for each id, the highest, and one text."""
     usable = labels.filter(F.col(label_col).isNotNull() & (remainder(id_col) != 2)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("toxic"))
     sample = usable.orderBy(F.xxhash64("_id"), "_id").limit(FIT_ROWS)
-    return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), "_id").select("text", "toxic")
+    found = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), "_id")
+    return found.groupBy("_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -189,7 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A grammar learned from labelled rows; without usable labels, one that only knows threats.
 
     First the words and stems that mark toxic texts: often enough, pure enough, after many different words (which
-    words of a copied passage are not). Then a logistic model over all labelled texts of the bounded sample.
+    words of a copied passage are not). Then the weights of transducers and a logistic model over the texts of the sample,
+    of which FIT_ROWS rows of bounded size come to the driver.
     """
     rows = written(training_rows(docs, labels, id_col, text_col, label_col).repartition(docs.sparkSession.sparkContext.defaultParallelism))
     pure = (F.col("toxic") >= PURITY * (F.col("toxic") + F.col("clean"))) & (F.col("toxic") >= LEAST_TEXTS) & (F.col("contexts") >= LEAST_CONTEXTS)
@@ -198,9 +236,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     grammar = Grammar({r.gram: weight(r) for r in found if r.whole}, {r.gram: weight(r) for r in found if not r.whole})
     sure = {("w" if r.whole else "s") + r.gram for r in found if r.toxic >= SURE_TEXTS and r.contexts >= SURE_CONTEXTS and r.toxic >= SURE_PURITY * (r.toxic + r.clean)}
     prune(grammar, rows, sure)
-    sample = [(grammar.features([tuple(m) for m in r.found]), r.toxic) for r in with_matches(rows, grammar).collect()]
-    if sample:
-        fit_logistic(grammar, np.array([x for x, _ in sample]), np.array([y for _, y in sample], dtype=float))
+    kinds = [(r.kinds, r.toxic) for r in with_matches(rows, grammar).collect()]
+    if kinds:
+        learn(grammar, np.array([x for x, _ in kinds], dtype=float), np.array([y for _, y in kinds], dtype=float))
     return grammar
 
 
@@ -228,8 +266,7 @@ def prune(grammar: Grammar, rows: DataFrame, sure: set[str]) -> None:
 
 
 def with_matches(rows: DataFrame, grammar: Grammar, grams: bool = False) -> DataFrame:
-    """(toxic, found) or, with grams, (toxic, which words and stems a text has) of labelled rows."""
-    found_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("weight", pa.float64())]))
+    """(toxic, kinds) or, with grams, (toxic, which words and stems a text has) of labelled rows: a bounded row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -237,36 +274,65 @@ def with_matches(rows: DataFrame, grammar: Grammar, grams: bool = False) -> Data
             if grams:
                 out = []
                 for t in texts:
-                    words = {t[s:e] for s, e, k, _ in grammar.matches(t) if k[0] == "I"}
-                    out.append([f"w{w}" for w in words if w in grammar.words] + sorted({f"s{w[:k]}" for w in words for k in STEMS if w[:k] in grammar.stems}))
+                    words = {w for w in set(WORD.findall(t)) if grammar.insult(w)}
+                    out.append(sorted([f"w{w}" for w in words if w in grammar.words] + [f"s{x}" for x in {w[:k] for w in words for k in STEMS} if x in grammar.stems]))
                 yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out, pa.list_(pa.string()))], names=["toxic", "grams"])
             else:
-                out = [[dict(zip(("start", "end", "kind", "weight"), m, strict=True)) for m in grammar.matches(t)] for t in texts]
-                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out, found_type)], names=["toxic", "found"])
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.array([by_kind(grammar.matches(t)) for t in texts], pa.list_(pa.float64()))], names=["toxic", "kinds"])
 
-    return small_batches(rows).select("text", "toxic").mapInArrow(run, "toxic int, grams array<string>" if grams else f"toxic int, found {MATCHES}")
+    return small_batches(rows).select("text", "toxic").mapInArrow(run, "toxic int, grams array<string>" if grams else "toxic int, kinds array<double>")
 
 
 MATCHES = "array<struct<start:long,end:long,kind:string,weight:double>>"
 
 
-def fit_logistic(grammar: Grammar, x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> None:
-    """Newton steps for a ridge logistic regression of few features."""
-    a = np.hstack([x, np.ones((len(x), 1))])
-    theta = np.zeros(a.shape[1])
-    penalty = np.diag([ridge] * x.shape[1] + [1e-6])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ theta, -30, 30)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + penalty
-        step = np.linalg.solve(h, a.T @ (y - p) - penalty @ theta)
-        theta += step
-        if np.abs(step).max() < 1e-8:
+def learn(grammar: Grammar, kinds: np.ndarray, y: np.ndarray) -> None:
+    """The transducers' weights, one after the other until none changes, and the logistic model that fits best with them."""
+
+    def fitted(weights: dict[str, float]) -> tuple[float, tuple[float, float], float]:
+        x = features(kinds, weights)
+        theta, bias = fit_logistic(x, y)
+        z = np.clip(x @ theta + bias, -30, 30)
+        doubt = sum(abs(CHOICES[k].index(w) - CHOICES[k].index(PRIOR[k])) for k, w in weights.items())
+        return float((y * z - np.logaddexp(0, z)).sum()) - DOUBT * doubt, (float(theta[0]), float(theta[1])), bias
+
+    weights = dict(PRIOR)
+    best = fitted(weights)
+    for _ in range(3):
+        before = dict(weights)
+        for name, values in CHOICES.items():
+            for w in values:
+                if (found := fitted(weights | {name: w}))[0] > best[0] + 1e-9:
+                    best, weights = found, weights | {name: w}
+        if weights == before:
             break
-    grammar.theta, grammar.bias = theta[:-1].tolist(), float(np.clip(theta[-1], -12, 12))
+    grammar.weights, grammar.theta, grammar.bias = weights, best[1], best[2]
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
+    """Newton steps for a ridge logistic regression of few features whose weights are not negative: (weights, bias)."""
+    use = list(range(x.shape[1]))
+    while True:
+        a = np.hstack([x[:, use], np.ones((len(x), 1))])
+        theta = np.zeros(a.shape[1])
+        penalty = np.diag([ridge] * len(use) + [1e-6])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(a @ theta, -30, 30)))
+            h = (a * (p * (1 - p))[:, None]).T @ a + penalty
+            step = np.linalg.solve(h, a.T @ (y - p) - penalty @ theta)
+            theta += step
+            if np.abs(step).max() < 1e-8:
+                break
+        below = [k for k, t in zip(use, theta, strict=False) if t < 0]
+        if not below:
+            out = np.zeros(x.shape[1])
+            out[use] = theta[:-1]
+            return out, float(np.clip(theta[-1], -12, 12))
+        use = [k for k in use if k not in below]
 
 
 def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score double, matches): each whole text's score and the marked matches it rests on.
+    """(id, score double, matches): each whole text's score and the marked clauses it rests on.
 
     Match offsets count characters of the lower-cased text. A null or empty text has no match and the base score.
     Rows are independent; only id and text are read.
@@ -284,7 +350,10 @@ def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: s
 
 
 def accepted(docs: DataFrame, grammar: Grammar, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores below threshold. Nothing is shuffled."""
+    """The rows of docs, with all their columns, whose text scores below threshold. Nothing is shuffled.
+
+    A null or empty text has the base score; repeated rows and rows without an id are judged each by its text.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
