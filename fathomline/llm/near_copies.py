@@ -1,10 +1,13 @@
-"""Near copies by the Jaccard similarity of their word shingles: every pair at or above a bound, and none below it.
-
-A text is the set of the hashes of its shingles. All sets are kept in one order of the hashes, common ones last. Two
-sets that are similar enough share a hash among the first of each (prefix filter), and the first one that they share
-stands early enough in both (position filter), so no similar pair is missed; an exact comparison decides each pair that
-is found. Equal sets are one node. Among the many nodes of one hash, links along a few orders are tried first, and then
-only pairs that are not connected yet; connected groups are what counts.
+"""SimHash near-duplicates at a bound of similarity: every pair of texts at or above it, and none below it.
+
+A text is the set of the hashes of its word shingles; equal sets are one node. SimHash proposes: fingerprints of the
+same shingles, in several families, are linked by the Gray-order index of module simhash, and an exact comparison of
+the sets decides each proposal. Fingerprints of 64 bits miss part of the pairs near the bound, so what SimHash left
+apart is completed by exact means: all sets are kept in one order of the hashes, common ones last; two sets that are
+similar enough share a hash among the first of each (prefix filter), and the first one that they share stands early
+enough in both (position filter), so no similar pair is missed; the same exact comparison decides. Among the many
+nodes of one hash, links along a few orders are tried first, and then only pairs that are not connected yet; connected
+groups are what counts.
 """
 
 from __future__ import annotations
@@ -19,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.common import small_batches, written
-from fathomline.llm.simhash import SEED, components
+from fathomline.llm.simhash import SEED, components, edges, fingerprint
 
 #: Words of a shingle; the least similarity of a link is ABOVE / BELOW.
 WORDS, ABOVE, BELOW = 5, 4, 5
+#: Families of fingerprints, and the bits in which proposed ones may differ; both bear on how much is left to complete.
+FAMILIES, LIMIT = 3, 4
 #: Nodes of one hash that are all compared at once; orders in which the nodes of larger groups are linked first.
 SMALL, ORDERS = 8, 3
 #: Documents whose hashes are counted to tell common ones, and how many of these are kept. Both bear on speed alone.
@@ -77,9 +82,9 @@ def name(x: np.ndarray) -> int:
 
 
 def starts(rows: DataFrame, words: int) -> DataFrame:
-    """(uid, id, node, size, tokens array<long>) of each row of (id, text); node: the set's name; tokens: its first hashes.
+    """(uid, id, node, size, tokens array<long>, fp array<long>) of each row of (id, text).
 
-    The order of hashes is one for all sets. A similar set shares one of the first size - ceil(size * ABOVE / BELOW) + 1.
+    node: the set's name; tokens: its first hashes; fp: a fingerprint for each family. The order of hashes is one for all sets. A similar set shares one of the first size - ceil(size * ABOVE / BELOW) + 1.
     """
     last = common(rows, words)
     by = np.argsort(last)
@@ -88,21 +93,22 @@ def starts(rows: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 40
         for b in batches:
-            node, size, tokens = [], [], []
+            node, size, tokens, fp = [], [], [], []
             for t in b.column(1).to_pylist():
                 x = shingles(t, words)
                 node.append(name(x))
                 size.append(len(x))
+                fp.append(np.array(fingerprint(t, words, FAMILIES), dtype=np.uint64).view(np.int64))
                 if len(known):
                     k = np.minimum(np.searchsorted(known, x), len(known) - 1)
                     x = x[np.lexsort((x, np.where(known[k] == x, rank[k], 0)))]
                 tokens.append(x[: len(x) + (-len(x) * ABOVE // BELOW) + 1])
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.arange(uid, uid + len(node))), b.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(tokens, pa.list_(pa.int64())),
-            ], names=["uid", "id", "node", "size", "tokens"])
+                pa.array(np.arange(uid, uid + len(node))), b.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(fp, pa.list_(pa.int64())),
+            ], names=["uid", "id", "node", "size", "tokens", "fp"])
             uid += len(node)
 
-    return written(rows.mapInArrow(run, "uid long, id long, node long, size long, tokens array<long>"))
+    return written(rows.mapInArrow(run, "uid long, id long, node long, size long, tokens array<long>, fp array<long>"))
 
 
 def whole(rows: DataFrame, asked: DataFrame, words: int) -> DataFrame:
@@ -119,6 +125,24 @@ def whole(rows: DataFrame, asked: DataFrame, words: int) -> DataFrame:
     return written(made.groupBy("node").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens")))
 
 
+def proposed(nodes: DataFrame) -> DataFrame:
+    """(a, b): pairs of nodes that SimHash holds to be near: a spanning forest of its links in each family.
+
+    Nodes of one fingerprint are linked with the smallest of them, and that one with other fingerprints'.
+    """
+    each = nodes.select("node", F.posexplode("fp").alias("family", "fp"))
+    heads = written(each.groupBy("family", "fp").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")))
+    alike = each.join(heads.filter("n > 1"), ["family", "fp"]).filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    return written(alike.union(edges(heads.select("family", "fp", F.col("head").alias("node")), LIMIT)).distinct())
+
+
+def still_apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose nodes are not connected by label (node, component)."""
+    for end in ("a", "b"):
+        pairs = pairs.join(label.select(F.col("node").alias(end), F.col("component").alias(f"{end}_label")), end, "left")
+    return pairs.filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
+
+
 def grouped(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.ndarray]]:
     """The columns of rows that come in the order of the first, whole groups of it at a time."""
     held: list[list[np.ndarray]] = []
@@ -222,10 +246,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     made = starts(rows, words)
     repeated = made.join(made.groupBy("node").agg(F.min("uid").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "node").filter("uid <> first").select("uid")
     nodes = made.join(written(repeated), "uid", "left_anti")
-    found = met(nodes)
-    asked = written(found.select(F.col("a").alias("node")).union(found.filter("b is not null").select("b")).distinct())
-    held = whole(rows, written(nodes.select("id", "node").join(asked, "node")), words)
-    links = similar(found.filter("b is not null").select("a", "b"), held)
+    near, found = proposed(nodes), met(nodes)
+    ends = found.select(F.col("a").alias("node")).union(found.filter("b is not null").select("b")).union(near.select("a")).union(near.select("b"))
+    held = whole(rows, written(nodes.select("id", "node").join(written(ends.distinct()), "node")), words)
+    links = similar(near, held)
+    left = still_apart(found.filter("b is not null").select("a", "b"), components(links))
+    links = links.union(similar(left, held))
     large = found.filter("key is not null").select("key", F.col("a").alias("node"), "size", "at")
     own = made.select("id", "node").distinct()
     own = own.join(own.groupBy("id").agg(F.min("node").alias("b")), "id").select(F.col("node").alias("a"), "b").filter("a <> b")

@@ -29,6 +29,8 @@ FANOUT = 8
 LARGE, SPLITS = 4096, 3
 #: Fingerprints whose groups are searched in one go, at least; a group is never cut.
 AT_ONCE = 1 << 16
+#: Into how many parts the links of a node are dealt, and the label that many nodes have.
+FAN = 64
 #: (query, node) pairs that a search holds at once; queries between two looks at which nodes are one label by now.
 FRONT, CROWD = 1 << 20, 1 << 13
 
@@ -37,7 +39,7 @@ def mixed(x: np.ndarray, family: int) -> np.ndarray:
     """Further hashes of hashes, one for each family; family 0: the hashes themselves."""
     if not family:
         return x
-    x = (x + np.uint64(family) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x + np.uint64(family * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(32))
 
@@ -288,23 +290,40 @@ def drawn_in(links_: DataFrame) -> DataFrame:
     return seen.select("a", F.col("m").alias("b")).union(seen.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")).distinct()
 
 
+def fanned_out(links_: DataFrame, seed: int) -> DataFrame:
+    """Links (a, b) that connect the same, with FAN links to a node for each that had many: its others hang on those.
+
+    The ends a of each b are dealt into FAN parts by a hash; the smallest of a part stands for it.
+    """
+    dealt = links_.withColumn("part", F.pmod(F.xxhash64("a", F.lit(seed)), F.lit(FAN)))
+    head = dealt.groupBy("b", "part").agg(F.min("a").alias("head"))
+    hung = dealt.join(head, ["b", "part"]).filter("a <> head").select("a", F.col("head").alias("b"))
+    return hung.union(head.select(F.col("head").alias("a"), "b"))
+
+
 def components(links_: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of the edges (a, b).
 
     Each round links every node to the smallest label among its neighbours and jumps to that label's own label; the
-    number of rounds grows with the logarithm of the longest path. Each round is a written table.
+    number of rounds grows with the logarithm of the longest path. Each round is a written table. The centre of a star
+    hands its label on by way of FAN * FAN others, and a label that many nodes have is looked up in FAN parts, so
+    neither lies in one task.
     """
-    both = written(links_.select("a", "b").union(links_.select(F.col("b"), F.col("a"))).distinct())
+    links_ = fanned_out(fanned_out(links_.select("a", "b"), 1), 2)
+    both = written(links_.union(links_.select(F.col("b"), F.col("a"))).distinct())
     label = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"))
     label = written(label)
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(FAN - 1).cast("long"))).alias("part")
     while True:
         near = both.join(label.select(F.col("node").alias("b"), F.col("label").alias("l")), "b").groupBy(F.col("a").alias("node")).agg(F.min("l").alias("l"))
         low = label.join(near, "node").select("node", "label", F.least("label", "l").alias("new"))
         # the old label hears of it too, so that whole trees move at once
         told = low.groupBy(F.col("label").alias("node")).agg(F.min("new").alias("t"))
-        low = low.join(told, "node", "left").select("node", "label", F.least("new", F.coalesce("t", "new")).alias("new"))
-        jump = low.select(F.col("node").alias("new"), F.col("new").alias("far"))
-        moved = written(low.join(jump, "new").select("node", F.least("new", "far").alias("label"), (F.least("new", "far") < F.col("label")).alias("moved")))
+        low = written(low.join(told, "node", "left").select("node", "label", F.least("new", F.coalesce("t", "new")).alias("new")))
+        # labels that have moved themselves; most have not
+        far = low.select("new").distinct().join(low.filter("new <> node").select(F.col("node").alias("new"), F.col("new").alias("far")), "new").select("new", "far", parts)
+        jumped = low.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(FAN)).cast("long")).join(far, ["new", "part"], "left")
+        moved = written(jumped.select("node", F.least("new", F.coalesce("far", "new")).alias("label"), (F.least("new", F.coalesce("far", "new")) < F.col("label")).alias("moved")))
         label = moved.select("node", "label")
         if moved.filter("moved").isEmpty():
             return label.select("node", F.col("label").alias("component"))
