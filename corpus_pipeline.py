@@ -15,33 +15,45 @@ from fathomline.llm.registry import vocabulary_path
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the clause grammar, learned from these documents' labels, does not predict toxic."""
+    """Documents that the clause grammar, learned from these documents' labels, does not predict toxic.
+
+    Null and empty texts stay, as do rows without an id.
+    """
     return toxicity.accepted(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group linked by a Jaccard similarity of 0.8 of five-word shingles."""
+    """One document, that of the smallest id, of each group linked by a Jaccard similarity of 0.8 of five-word shingles.
+
+    SimHash proposes pairs, an exact comparison decides them and what SimHash leaves apart. Rows without an id stay.
+    """
     return near_copies.representatives(docs)
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes that a 50-byte string of an earlier document covers; n_chars follows the text."""
+    """Documents without the bytes that a 50-byte string of an earlier document covers; n_chars follows the text.
+
+    A null text becomes empty; rows that share an id take nothing from each other; no row goes.
+    """
     return suffix_dedup.deduplicated(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them: no row more than three times.
+
+    Rows without words stay once; rows that share an id are taken as often as the most taken of them.
+    """
     return mixing.mix(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document of the mix."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document of the mix; a null text has no tokens."""
     return bpe.digests(docs, vocabulary_path("byte_bpe_50k.json"))
 
 
 STAGES = [
     ("toxicity", toxicity_stage),
-    ("near-dedup", near_duplicate_stage),
+    ("simhash near-dedup", near_duplicate_stage),
     ("suffix-array dedup", passage_stage),
     ("mixing", mixing_stage),
     ("bpe", token_stage),
