@@ -22,26 +22,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.common import small_batches, written
-from fathomline.llm.simhash import SEED, components, edges, fingerprint
+from fathomline.llm.simhash import SEED, components, edges, from_hashes
 
 #: Words of a shingle; the least similarity of a link is ABOVE / BELOW.
 WORDS, ABOVE, BELOW = 5, 4, 5
 #: Families of fingerprints, and the bits in which proposed ones may differ; both bear on how much is left to complete.
-FAMILIES, LIMIT = 3, 4
+FAMILIES, LIMIT = 2, 4
 #: Nodes of one hash that are all compared at once; orders in which the nodes of larger groups are linked first.
 SMALL, ORDERS = 8, 3
 #: Documents whose hashes are counted to tell common ones, and how many of these are kept. Both bear on speed alone.
-SAMPLE, COMMON = 20_000, 1 << 16
+SAMPLE, COMMON = 10_000, 1 << 16
 #: Rows whose groups are paired in one go, at least; a group is never cut.
 AT_ONCE = 1 << 18
 
 
-def shingles(text: str, words: int = WORDS) -> np.ndarray:
-    """The distinct hashes of a text's word shingles, sorted; words as for SimHash. Fewer words: one shingle of all."""
+def every_shingle(text: str, words: int = WORDS) -> np.ndarray:
+    """The hashes of a text's word shingles, repeats included; words as for SimHash. Fewer words: one shingle of all."""
     parts = text.encode().lower().split()
     if not parts:
-        return np.empty(0, dtype=np.int64)
-    w = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in parts), dtype=np.uint64, count=len(parts))
+        return np.empty(0, dtype=np.uint64)
+    known = {x: xxhash.xxh64_intdigest(x, SEED) for x in set(parts)}
+    w = np.fromiter(map(known.__getitem__, parts), dtype=np.uint64, count=len(parts))
     width = min(words, len(parts))
     n = len(parts) - width + 1
     h = np.full(n, width, dtype=np.uint64)
@@ -49,7 +50,12 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
         h = (h ^ w[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
-    return np.unique(h.view(np.int64))
+    return h
+
+
+def shingles(text: str, words: int = WORDS) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, sorted."""
+    return np.unique(every_shingle(text, words).view(np.int64))
 
 
 def fits(size_a: np.ndarray, at_a: np.ndarray, size_b: np.ndarray, at_b: np.ndarray) -> np.ndarray:
@@ -65,9 +71,10 @@ def common(rows: DataFrame, words: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingles(t, words) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else [], pa.int64())], names=["token"])
+            token, n = np.unique(np.concatenate(found) if found else np.empty(0, np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(n, pa.int64())], names=["token", "n"])
 
-    often = some.mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").orderBy(F.desc("n"), "token").limit(COMMON)
+    often = some.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter("n > 2").orderBy(F.desc("n"), "token").limit(COMMON)
     return np.array([r.token for r in often.collect()][::-1], dtype=np.int64)
 
 
@@ -95,10 +102,11 @@ def starts(rows: DataFrame, words: int) -> DataFrame:
         for b in batches:
             node, size, tokens, fp = [], [], [], []
             for t in b.column(1).to_pylist():
-                x = shingles(t, words)
+                h = every_shingle(t, words)
+                x = np.unique(h.view(np.int64))
                 node.append(name(x))
                 size.append(len(x))
-                fp.append(np.array(fingerprint(t, words, FAMILIES), dtype=np.uint64).view(np.int64))
+                fp.append(np.array(from_hashes(h, FAMILIES), dtype=np.uint64).view(np.int64))
                 if len(known):
                     k = np.minimum(np.searchsorted(known, x), len(known) - 1)
                     x = x[np.lexsort((x, np.where(known[k] == x, rank[k], 0)))]
@@ -136,10 +144,11 @@ def proposed(nodes: DataFrame) -> DataFrame:
     return written(alike.union(edges(heads.select("family", "fp", F.col("head").alias("node")), LIMIT)).distinct())
 
 
-def still_apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose nodes are not connected by label (node, component)."""
+def still_apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are not, and are not both linked with, one node that is the smallest link of each."""
+    label = written(links.groupBy("a").agg(F.min("b").alias("label")))
     for end in ("a", "b"):
-        pairs = pairs.join(label.select(F.col("node").alias(end), F.col("component").alias(f"{end}_label")), end, "left")
+        pairs = pairs.join(label.select(F.col("a").alias(end), F.col("label").alias(f"{end}_label")), end, "left")
     return pairs.filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
 
 
@@ -195,8 +204,8 @@ def met(nodes: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(run, "key long, a long, b long, size long, at long"))
 
 
-def apart(large: DataFrame, label: DataFrame, turn: int) -> DataFrame:
-    """(a, b): pairs of a group that are not connected yet: of neighbours in a turn's order; all, if turn is 0."""
+def apart(large: DataFrame, label: DataFrame, orders: int) -> DataFrame:
+    """(a, b): pairs of a group that are not connected yet: of neighbours in so many orders; all, if 0."""
     rows = large.join(label.withColumnRenamed("component", "label"), "node", "left").select("key", "node", "size", "at", F.coalesce("label", "node").alias("label"))
     rows = rows.repartition("key").sortWithinPartitions("key")
 
@@ -205,12 +214,13 @@ def apart(large: DataFrame, label: DataFrame, turn: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
         for key, node, size, at, label in grouped(batches, 5):
-            if turn:
+            for turn in range(1, orders + 1):
                 mixed = (node.view(np.uint64) + np.uint64(turn)) * np.uint64(0x9E3779B97F4A7C15)
                 order = np.lexsort((mixed ^ (mixed >> np.uint64(29)), key))
                 i, j = order[:-1], order[1:]
                 near = (key[i] == key[j]) & (label[i] != label[j]) & fits(size[i], at[i], size[j], at[j])
                 yield told(node[i[near]], node[j[near]])
+            if orders:
                 continue
             cut = np.append(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), len(key))
             for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
@@ -250,7 +260,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     ends = found.select(F.col("a").alias("node")).union(found.filter("b is not null").select("b")).union(near.select("a")).union(near.select("b"))
     held = whole(rows, written(nodes.select("id", "node").join(written(ends.distinct()), "node")), words)
     links = similar(near, held)
-    left = still_apart(found.filter("b is not null").select("a", "b"), components(links))
+    left = still_apart(found.filter("b is not null").select("a", "b"), links)
     links = links.union(similar(left, held))
     large = found.filter("key is not null").select("key", F.col("a").alias("node"), "size", "at")
     own = made.select("id", "node").distinct()
@@ -258,8 +268,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     links = written(links.union(own).distinct())
     label = components(links)
     if not large.isEmpty():
-        for turn in (*range(1, ORDERS), 0):
-            more = similar(apart(large, label, turn), held)
+        for orders in (ORDERS, 0):
+            more = similar(apart(large, label, orders), held)
             if not more.isEmpty():
                 links = links.union(more)
                 label = components(links)

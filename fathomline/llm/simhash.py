@@ -59,12 +59,17 @@ def fingerprint(text: str, words: int = WORDS, families: int = 1) -> list[int]:
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[min(words, len(parts)) - 1 :].tolist(), strict=True)), dtype=np.uint64, count=n)
-    out = []
+    return from_hashes(hashes, families)
+
+
+def from_hashes(hashes: np.ndarray, families: int = 1) -> list[int]:
+    """The fingerprints of a text's shingle hashes, repeats included; 0 where there are none."""
+    n, out = len(hashes), []
     for family in range(families):
         counts = np.zeros(64, dtype=np.int64)
-        for k in range(0, n, 1 << 16):
-            part = mixed(hashes[k : k + (1 << 16)], family)
-            counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        for k in range(0, n, 255):  # counts of so many bits fit a byte
+            part = mixed(hashes[k : k + 255], family)
+            counts += np.add.reduce(np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
         out.append(int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0]))
     return out
 
@@ -290,12 +295,12 @@ def drawn_in(links_: DataFrame) -> DataFrame:
     return seen.select("a", F.col("m").alias("b")).union(seen.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")).distinct()
 
 
-def fanned_out(links_: DataFrame, seed: int) -> DataFrame:
+def fanned_out(links_: DataFrame) -> DataFrame:
     """Links (a, b) that connect the same, with FAN links to a node for each that had many: its others hang on those.
 
     The ends a of each b are dealt into FAN parts by a hash; the smallest of a part stands for it.
     """
-    dealt = links_.withColumn("part", F.pmod(F.xxhash64("a", F.lit(seed)), F.lit(FAN)))
+    dealt = links_.withColumn("part", F.pmod(F.xxhash64("a", F.lit(1)), F.lit(FAN)))
     head = dealt.groupBy("b", "part").agg(F.min("a").alias("head"))
     hung = dealt.join(head, ["b", "part"]).filter("a <> head").select("a", F.col("head").alias("b"))
     return hung.union(head.select(F.col("head").alias("a"), "b"))
@@ -306,10 +311,10 @@ def components(links_: DataFrame) -> DataFrame:
 
     Each round links every node to the smallest label among its neighbours and jumps to that label's own label; the
     number of rounds grows with the logarithm of the longest path. Each round is a written table. The centre of a star
-    hands its label on by way of FAN * FAN others, and a label that many nodes have is looked up in FAN parts, so
+    hands its label on by way of FAN others, and a label that many nodes have is looked up in FAN parts, so
     neither lies in one task.
     """
-    links_ = fanned_out(fanned_out(links_.select("a", "b"), 1), 2)
+    links_ = fanned_out(links_.select("a", "b"))
     both = written(links_.union(links_.select(F.col("b"), F.col("a"))).distinct())
     label = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"))
     label = written(label)
@@ -319,7 +324,7 @@ def components(links_: DataFrame) -> DataFrame:
         low = label.join(near, "node").select("node", "label", F.least("label", "l").alias("new"))
         # the old label hears of it too, so that whole trees move at once
         told = low.groupBy(F.col("label").alias("node")).agg(F.min("new").alias("t"))
-        low = written(low.join(told, "node", "left").select("node", "label", F.least("new", F.coalesce("t", "new")).alias("new")))
+        low = low.join(told, "node", "left").select("node", "label", F.least("new", F.coalesce("t", "new")).alias("new"))
         # labels that have moved themselves; most have not
         far = low.select("new").distinct().join(low.filter("new <> node").select(F.col("node").alias("new"), F.col("new").alias("far")), "new").select("new", "far", parts)
         jumped = low.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(FAN)).cast("long")).join(far, ["new", "part"], "left")
