@@ -1,30 +1,34 @@
 """Approximate nearest neighbours by largest inner product, over a permutation index.
 
-Each vector is represented by its nearest pivots in order. Shards of the index post these in one inverted file per
-pivot (row, place of the pivot in the row's order). A query adds up, over the files of its own nearest pivots, how
-far the places differ: the footrule distance of the two orders. The nearest share of a shard by footrule is
-reranked by the exact inner product; the best of all shards are the result.
+Each vector is represented by its nearest pivots in order. It is posted in the inverted files of the first few of
+them; a query visits the files of more of its own. In a file, vectors are ranked by the footrule distance of their order
+to the query's, and the nearest DEPTH are reranked by the exact inner product; the best of all visited files are the
+result. The number of pivots grows with the square root of the number of vectors, so files grow no faster than that,
+what a row costs to post is the same at every size, and a query reranks some hundred rows whatever the table's size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fathomline.llm.common import written
 
-#: Pivots, drawn by a hash of the id (the only sample taken), and how many of them represent a vector.
-PIVOTS, NEAREST = 256, 64
-#: The share of a shard that is reranked, and the least number; recall is measured against brute force.
-SHARE, LEAST = 0.35, 512
-#: Vectors of an index shard and queries of a block.
-SHARD, BLOCK = 8192, 256
+#: Pivots: so many times the square root of the number of vectors, and the least number. They are drawn by a hash of the
+#: vector (the only sample taken) and go to tasks with their code: a hundred million vectors have 20,000 pivots.
+ROOTS, LEAST_PIVOTS = 2.0, 256
+#: Pivots whose order represents a vector, at most; at most half of all where that are enough to visit.
+NEAREST = 128
+#: Files that a vector is posted in, files that a query visits, rows that it reranks in each.
+POSTED, VISITED, DEPTH = 6, 48, 128
+#: Vectors of a file; a longer file is split, and queries visit all its parts.
+FILE = 1 << 15
 #: Results of a query.
 K = 20
 
@@ -46,22 +50,10 @@ def augmented(x: np.ndarray, norm: float) -> np.ndarray:
 
 
 def orders(x: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
-    """The nearest pivots of each vector, nearest first; ties by pivot number."""
-    return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :nearest].astype("<u2")
-
-
-def matrix(raw: bytes, width: int, kind: str) -> np.ndarray:
-    """Packed rows as a matrix."""
-    return np.frombuffer(raw, dtype=kind).reshape(-1, width)
-
-
-@lru_cache(maxsize=2)
-def inverted(order_bytes: bytes, width: int, pivots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pivots' inverted files of a shard: where each begins, its rows, and the pivot's place in each row's order."""
-    order = matrix(order_bytes, width, "<u2").ravel()
-    at = np.argsort(order, kind="stable")
-    begins = np.searchsorted(order[at], np.arange(pivots + 1))
-    return begins, at // width, (at % width).astype(np.int32)
+    """The nearest pivots of each vector, nearest first; ties by pivot number. Some vectors at a time."""
+    step = max(1, (1 << 22) // max(1, len(pivots)))
+    parts = [np.argsort(-(x[k : k + step] @ pivots.T), axis=1, kind="stable")[:, :nearest].astype("<u2") for k in range(0, len(x), step)]
+    return np.concatenate(parts) if parts else np.empty((0, nearest), "<u2")
 
 
 def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -69,100 +61,128 @@ def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (x * q).sum(axis=1)
 
 
-def search_shard(ids: np.ndarray, x: np.ndarray, order: bytes, width: int, pivots: int, query_ids: np.ndarray, queries: np.ndarray, query_orders: np.ndarray, k: int, share: float, least: int) -> list[tuple]:
-    """(query, id, score) of each query's k best of one shard."""
-    begins, rows, place = inverted(order, width, pivots)
-    n, out = len(ids), []
-    depth = min(n, max(least, int(np.ceil(share * n))))
-    for qid, q, own in zip(query_ids.tolist(), queries, query_orders, strict=True):
-        far = np.zeros(n, dtype=np.int32)
-        for p_place, p in enumerate(own.tolist()):
-            a, b = begins[p], begins[p + 1]
-            there = place[a:b]
-            # shared pivots bring two orders nearer by what each would pay for the pivot alone
-            far[rows[a:b]] += np.abs(there - p_place) + there + p_place - 2 * width
-        cut = np.argpartition(far, depth - 1)[:depth] if depth < n else np.arange(n)
-        cut = cut[ids[cut] != qid]
-        if not len(cut):
-            continue
-        rough = x[cut] @ q
-        if len(cut) > k:
-            bar = np.partition(rough, len(cut) - k)[len(cut) - k]
-            cut = cut[rough >= bar - 1e-9 * max(1.0, abs(bar))]
-        score = exact(x[cut], q)
-        best = np.lexsort((ids[cut], -score))[:k]
-        out += zip([qid] * len(best), ids[cut][best].tolist(), score[best].tolist(), strict=True)
+def places(own: np.ndarray, pivots: int, width: int) -> np.ndarray:
+    """The place of each pivot in an order; width for those that are not in it."""
+    out = np.full(pivots, width, dtype=np.int32)
+    out[own] = np.arange(len(own))
     return out
 
 
-def build(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, nearest: int = NEAREST) -> tuple[DataFrame, dict]:
-    """The index as a table of shards (shard, ids, vectors, orders; packed), and its facts. Every usable row is in it."""
-    rows = written(usable(df, id_col, vector_col))
-    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("norm")).first()
-    n = facts["n"]
-    drawn = rows.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(4 * pivots).collect() if n else []
-    sample = list(dict.fromkeys(tuple(r["v"]) for r in drawn))[:pivots]
-    norm = facts["norm"] or 1.0
-    chosen = augmented(np.array(sample, dtype=float), norm) if sample else np.zeros((0, 1))
-    width = min(nearest, max(1, len(chosen) // 2)) if sample else 1
-    shards = max(1, -(-n // SHARD))
-    facts = {"n": n, "norm": norm, "pivots": chosen, "width": width, "shards": shards, "dim": len(sample[0]) if sample else 0}
+def footrule(order: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The footrule distance of each order to a query's places, up to a constant and by halves.
+
+    A pivot in both orders, at i and j, brings them nearer by width - max(i, j) than one that is in neither.
+    """
+    width = order.shape[1]
+    return np.maximum(place[order], np.arange(width, dtype=np.int32)).sum(axis=1, dtype=np.int64)
+
+
+def best_of(ids: np.ndarray, x: np.ndarray, order: np.ndarray, q: np.ndarray, own: np.ndarray, pivots: int, k: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores) of the k best of a file's rows for one query: by footrule, then by inner product, ties to smaller ids."""
+    n = len(ids)
+    cut = np.argpartition(footrule(order, places(own, pivots, order.shape[1])), depth - 1)[:depth] if depth < n else np.arange(n)
+    score = exact(x[cut], q)
+    best = np.lexsort((ids[cut], -score))[:k]
+    return ids[cut][best], score[best]
 
-    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(pdf["v"].tolist(), dtype="<f8")
-        ids = pdf["id"].to_numpy(dtype="<i8")
-        by_id = np.argsort(ids, kind="stable")
-        x, ids = x[by_id], ids[by_id]
-        return pd.DataFrame({"shard": [key[0]], "ids": [ids.tobytes()], "vectors": [x.tobytes()], "orders": [orders(augmented(x, norm), chosen, width).tobytes()]})
 
-    shard = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(shards)).cast("int")
-    table = rows.withColumn("shard", shard).groupBy("shard").applyInPandas(pack, "shard int, ids binary, vectors binary, orders binary")
-    return written(table, "snappy"), facts
+def build(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K) -> tuple[DataFrame, dict]:
+    """(pivot, part, id, vector, order) postings, and the index's facts: pivots, width, parts of each file.
 
+    Of equal vectors the k + 1 smallest ids are posted: no result can hold others. All distinct vectors are in it.
+    """
+    among = Window.partitionBy("v").orderBy("id")
+    rows = written(usable(df, id_col, vector_col).withColumn("copy", F.row_number().over(among)).filter(F.col("copy") <= k + 1))
+    apart = rows.filter("copy = 1")
+    facts = apart.agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("norm"), F.max(F.size("v")).alias("dim")).first()
+    n, norm = facts["n"], facts["norm"] or 1.0
+    drawn = apart.orderBy(F.xxhash64("v", F.lit(5)), "id").limit(max(LEAST_PIVOTS, math.ceil(ROOTS * math.sqrt(n)))).collect() if n else []
+    chosen = augmented(np.array([r["v"] for r in drawn], dtype=float), norm) if drawn else np.zeros((0, 1))
+    width = min(NEAREST, max(VISITED, len(chosen) // 2), max(1, len(chosen)))  # few pivots: a query visits all files
+    single = isinstance(df.schema[vector_col].dataType.elementType, T.FloatType)
+    facts = {"n": n, "pivots": chosen, "width": width, "dim": facts["dim"] or 0, "kind": "<f4" if single else "<f8"}
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, x = b.column(0).to_numpy(), rows_of(b.column(1), facts["dim"])
+            order = orders(augmented(x, norm), chosen, width)
+            first = order[:, :POSTED]
+            at = np.repeat(np.arange(len(ids)), first.shape[1])
+            packed = pa.array([v.tobytes() for v in x.astype(facts["kind"])], pa.binary()), pa.array([o.tobytes() for o in order], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(first.ravel().astype(np.int32)), pa.array(ids[at]), *(c.take(pa.array(at)) for c in packed)], names=["pivot", "id", "vector", "order"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            order = orders(augmented(rows_of(b.column(0), facts["dim"]), norm), chosen, POSTED)
+            yield pa.RecordBatch.from_arrays([pa.array(order.ravel().astype(np.int32))], names=["pivot"])
 
-def query_blocks(df: DataFrame, facts: dict, id_col: str, vector_col: str) -> DataFrame:
-    """(block, ids, vectors, orders): queries, packed."""
-    chosen, width, dim = facts["pivots"], facts["width"], facts["dim"]
-    rows = usable(df, id_col, vector_col).filter(F.size("v") == dim)
-    blocks = max(1, -(-facts["queries"] // BLOCK))
+    sizes = rows.select("v").mapInArrow(first, "pivot int").groupBy("pivot").count().collect() if n else []
+    facts["parts"] = {r["pivot"]: -(-r["count"] // FILE) for r in sizes}
+    split = [F.lit(x) for kv in facts["parts"].items() if kv[1] > 1 for x in kv]
+    part = F.pmod(F.xxhash64("id"), F.coalesce(F.create_map(*split)[F.col("pivot")], F.lit(1))).cast("int") if split else F.lit(0)
+    posted = rows.select("id", "v").mapInArrow(post, "pivot int, id long, vector binary, order binary")
+    return posted.select("pivot", part.alias("part"), "id", "vector", "order"), facts
 
-    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(pdf["v"].tolist(), dtype="<f8")
-        flat = np.hstack([x, np.zeros((len(x), 1))])
-        return pd.DataFrame({"block": [key[0]], "q_ids": [pdf["id"].to_numpy(dtype="<i8").tobytes()], "q_vectors": [x.tobytes()], "q_orders": [orders(flat, chosen, width).tobytes()]})
 
-    block = F.pmod(F.xxhash64("id", F.lit(13)), F.lit(blocks)).cast("int")
-    return rows.withColumn("block", block).groupBy("block").applyInPandas(pack, "block int, q_ids binary, q_vectors binary, q_orders binary")
+def rows_of(column: pa.Array, dim: int) -> np.ndarray:
+    """A column of lists of one length as a matrix."""
+    return column.flatten().to_numpy().astype(float).reshape(-1, dim)
 
 
-def search(index: DataFrame, facts: dict, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, share: float = SHARE, least: int = LEAST) -> DataFrame:
+def search(index: DataFrame, facts: dict, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, depth: int = DEPTH) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found, its own row left out; ties to the smaller id.
 
-    A query block meets every shard once; each meeting returns k rows for a query at most. Unusable queries and an
-    empty index give no rows; repeated ids are separate rows, all left out for a query of that id.
+    Equal query vectors are searched once. Unusable queries, those of another length, and an empty index give no rows;
+    repeated ids with other vectors are separate rows, all left out for a query of that id, and separate queries; equal
+    rows are one. A query and a file give k + 1 rows at most.
     """
-    facts = facts | {"queries": queries.count()}
-    width, dim, pivots = facts["width"], facts["dim"], len(facts["pivots"])
-    blocks = query_blocks(queries, facts, id_col, vector_col).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(facts["shards"] - 1))))
-    meet = index.join(blocks, "shard").repartition("shard", "block").sortWithinPartitions("shard").select("ids", "vectors", "orders", "q_ids", "q_vectors", "q_orders")
+    width, dim, chosen, parts = facts["width"], facts["dim"], facts["pivots"], facts["parts"]
+    asked = written(usable(queries, id_col, vector_col).filter(F.size("v") == dim).distinct())
+    apart = asked.groupBy("v").agg(F.min("id").alias("q"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in range(b.num_rows):
-                ids, vectors, order, q_ids, q_vectors, q_orders = (b.column(c)[r].as_py() for c in range(6))
-                found = search_shard(np.frombuffer(ids, "<i8"), matrix(vectors, dim, "<f8"), order, width, pivots, np.frombuffer(q_ids, "<i8"), matrix(q_vectors, dim, "<f8"), matrix(q_orders, width, "<u2"), k, share, least)
-                cols = list(zip(*found, strict=True)) or [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
+            ids, x = b.column(0).to_numpy(), rows_of(b.column(1), dim)
+            order = orders(np.hstack([x, np.zeros((len(x), 1))]), chosen, width)
+            goal = [(k, int(p), s) for k in range(len(ids)) for p in order[k, :VISITED] for s in range(parts.get(int(p), 0))]
+            at = pa.array([k for k, *_ in goal], pa.int64())
+            packed = pa.array([v.tobytes() for v in x], pa.binary()), pa.array([o.tobytes() for o in order], pa.binary())
+            cols = [pa.array([p for _, p, _ in goal], pa.int32()), pa.array([s for *_, s in goal], pa.int32()), b.column(0).take(at), *(c.take(at) for c in packed)]
+            yield pa.RecordBatch.from_arrays(cols, names=["pivot", "part", "id", "vector", "order"])
+
+    visits = apart.select("q", "v").mapInArrow(visit, "pivot int, part int, id long, vector binary, order binary")
+    both = index.withColumn("asks", F.lit(False)).unionByName(visits.withColumn("asks", F.lit(True)))
+    # a file's rows come before the queries that visit it
+    both = both.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "asks").select("pivot", "part", "asks", "id", "vector", "order")
 
-    near = meet.mapInArrow(run, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, packed = None, [], None
+        for b in batches:
+            found: list[tuple] = []
+            for pivot, part, asks, id_, vector, order in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (pivot, part) != here:
+                    here, held, packed = (pivot, part), [], None
+                if not asks:
+                    held.append((id_, vector, order))
+                elif held:
+                    if packed is None:
+                        ids, xs, os_ = zip(*held, strict=True)
+                        packed = np.array(ids), np.frombuffer(b"".join(xs), facts["kind"]).astype(float).reshape(-1, dim), np.frombuffer(b"".join(os_), "<u2").reshape(-1, width)
+                    ids, score = best_of(*packed, np.frombuffer(vector, "<f8"), np.frombuffer(order, "<u2"), len(chosen), k + 1, depth)
+                    found.append((np.full(len(ids), id_), ids, score))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["q", "vec_id", "score"])
+
+    near = both.mapInArrow(run, "q long, vec_id long, score double").distinct()
+    by_rank = Window.orderBy(F.desc("score"), "vec_id")
+    found = near.withColumn("r", F.row_number().over(by_rank.partitionBy("q"))).filter(F.col("r") <= k + 1)
+    of = asked.join(apart.withColumnRenamed("v", "w"), F.col("v") == F.col("w")).select(F.col("id").alias("query_id"), "q")
+    out = of.join(found, "q").filter("vec_id <> query_id")
+    return out.withColumn("rank", F.row_number().over(by_rank.partitionBy("query_id", "q"))).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def neighbours(vectors: DataFrame) -> DataFrame:
     """The nearest rows of every row whose id is divisible by 20."""
-    spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # packed rows are megabytes
     index, facts = build(vectors)
     return search(index, facts, vectors.filter(F.col("vec_id") % 20 == 0))
 
