@@ -2,7 +2,9 @@
 
 Strings of LENGTH bytes are dealt out by their least inner hash (the minimum over the hashes of their GRAM-byte parts),
 which equal strings share and neighbours mostly share too, so a run of strings travels as one piece of text. Hashes
-that a single document has are dropped first. Each shard then orders the suffixes of its pieces by external induced
+that a single document has are dropped first; the strings of a hash that very many pieces have (a line in most
+documents, each time in other surroundings) are dealt out one by one, by a hash of all their bytes, so that no shard
+grows with a line's copies. Each shard then orders the suffixes of its pieces by external induced
 sorting (module induced); a common prefix of LENGTH or more joins neighbours, and the smallest document id of a joined
 run is what its strings are judged by. Documents travel in compressed batches; shards get each piece of text once per
 batch, whatever the number of its copies there.
@@ -15,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -28,7 +31,9 @@ LENGTH, GRAM = 50, 20
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of text of a batch (more only for a single longer text) and of text for each shard.
 BATCH, PER_SHARD = 4 << 20, 8 << 20
-#: Stands for a null id, which comes last.
+#: Pieces of one hash beyond which its strings are dealt out one by one: a small part of a shard.
+CROWD = 4096
+#: Stands for a null id, which comes last; a document of that id is taken for one without.
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -95,7 +100,7 @@ class Batch:
     """Documents of one batch and their pieces, in the order of shard and hash."""
 
     def __init__(self, ids: bytes, lengths: bytes, text: bytes, shards: int):
-        self.ids = np.frombuffer(ids, "<i8")
+        self.ids, self.shards = np.frombuffer(ids, "<i8"), shards
         self.lengths = np.frombuffer(lengths, "<i8")
         self.raw = expand(text)
         self.ends = np.cumsum(self.lengths)
@@ -108,27 +113,42 @@ class Batch:
         self.heads = np.flatnonzero(first)
         self.group = np.cumsum(first) - 1
 
-    def hashes(self) -> Iterator[tuple[int, bytes, bytes]]:
-        """(shard, distinct values, which of them several documents have) for each shard."""
+    def hashes(self) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+        """(shard, distinct values, which of them several documents have, places and pieces of those with several pieces)."""
         if not len(self.heads):
             return
         id_ = self.ids[self.doc]
         several = np.minimum.reduceat(id_, self.heads) != np.maximum.reduceat(id_, self.heads)
-        shard, value = self.shard[self.heads], self.value[self.heads]
+        shard, value, size = self.shard[self.heads], self.value[self.heads], np.diff(np.append(self.heads, len(self.at)))
         cut = np.concatenate(([0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]))
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            yield int(shard[a]), value[a:b].tobytes(), np.packbits(several[a:b]).tobytes()
+            many = np.flatnonzero(size[a:b] > 1)
+            yield int(shard[a]), value[a:b].tobytes(), np.packbits(several[a:b]).tobytes(), np.stack((many, size[a:b][many])).astype("<i4").tobytes()
 
-    def shared(self, flags: list[tuple[int, bytes]]) -> None:
-        """Keep the pieces whose hashes are shared, and number their distinct texts within each shard."""
+    def shared(self, flags: list[tuple[int, bytes, bytes]]) -> None:
+        """Keep the pieces whose hashes are shared, and number their distinct texts within each shard.
+
+        Pieces of crowded hashes become single strings, each in the shard that all its bytes tell.
+        """
         shard = self.shard[self.heads] if len(self.heads) else np.empty(0, np.int64)
-        keep = np.zeros(len(self.heads), dtype=bool)
-        for s, bits in flags:
+        keep, crowded = np.zeros(len(self.heads), dtype=bool), np.zeros(len(self.heads), dtype=bool)
+        for s, bits, crowds in flags:
             a, b = np.searchsorted(shard, [s, s + 1])
             keep[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
+            crowded[a + np.frombuffer(crowds, "<i4")] = True
         kept = np.flatnonzero(keep[self.group]) if len(self.heads) else np.empty(0, np.int64)
+        single = crowded[self.group[kept]] if len(kept) else np.empty(0, dtype=bool)
         self.at, self.count, self.doc, self.shard = self.at[kept], self.count[kept], self.doc[kept], self.shard[kept]
-        self.number = np.empty(len(kept), dtype=np.int64)
+        if single.any():
+            count = self.count[single]
+            at = np.repeat(self.at[single] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            own = np.fromiter((xxhash.xxh64_intdigest(self.raw[k : k + LENGTH]) for k in at.tolist()), dtype=np.uint64, count=len(at))
+            self.at, self.count = np.concatenate((self.at[~single], at)), np.concatenate((self.count[~single], np.ones(len(at), dtype=np.int64)))
+            self.doc = np.concatenate((self.doc[~single], np.repeat(self.doc[single], count)))
+            self.shard = np.concatenate((self.shard[~single], (own % np.uint64(self.shards)).astype(np.int64)))
+            by = np.argsort(self.shard, kind="stable")
+            self.at, self.count, self.doc, self.shard = self.at[by], self.count[by], self.doc[by], self.shard[by]
+        self.number = np.empty(len(self.at), dtype=np.int64)
         self.texts: dict[int, list[bytes]] = {}
         raw, numbers = self.raw, {}
         last, here = -1, []
@@ -244,8 +264,9 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
         for b in parts:
             for r in b.to_pylist():
                 found = list(Batch(r["ids"], r["lengths"], r["text"], shards).hashes())
-                cols = list(zip(*found, strict=True)) or [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array([r["batch"]] * len(found), pa.int64()), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["batch", "shard", "values", "several"])
+                cols = list(zip(*found, strict=True)) or [[]] * 4
+                types = (pa.int32(), *[pa.binary()] * 3)
+                yield pa.RecordBatch.from_arrays([pa.array([r["batch"]] * len(found), pa.int64()), *map(pa.array, cols, types)], names=["batch", "shard", "values", "several", "many"])
 
     def shared(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         values = [np.frombuffer(v, "<u4") for v in pdf["values"]]
@@ -254,21 +275,26 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
         distinct, place, count = np.unique(every, return_inverse=True, return_counts=True)
         flag = count > 1
         flag[place[np.concatenate(several)]] = True
-        bits, at = [], 0
-        for v in values:
-            bits.append(np.packbits(flag[place[at : at + len(v)]]).tobytes())
-            at += len(v)
-        return pd.DataFrame({"batch": pdf["batch"], "shard": key[0], "bits": bits})
-
-    flags = packed.select("batch", "ids", "lengths", "text").mapInArrow(hashes, "batch long, shard int, values binary, several binary")
-    flags = flags.groupBy("shard").applyInPandas(shared, "batch long, shard int, bits binary").groupBy("batch").agg(F.collect_list(F.struct("shard", "bits")).alias("flags"))
+        begin = np.cumsum([0, *map(len, values[:-1])])
+        for a, m in zip(begin.tolist(), pdf["many"], strict=True):
+            many, size = np.frombuffer(m, "<i4").reshape(2, -1)
+            np.add.at(count, place[a + many], size - 1)
+        bits, crowds = [], []
+        for a, v in zip(begin.tolist(), values, strict=True):
+            here = place[a : a + len(v)]
+            bits.append(np.packbits(flag[here]).tobytes())
+            crowds.append(np.flatnonzero(count[here] > CROWD).astype("<i4").tobytes())
+        return pd.DataFrame({"batch": pdf["batch"], "shard": key[0], "bits": bits, "crowds": crowds})
+
+    flags = packed.select("batch", "ids", "lengths", "text").mapInArrow(hashes, "batch long, shard int, values binary, several binary, many binary")
+    flags = flags.groupBy("shard").applyInPandas(shared, "batch long, shard int, bits binary, crowds binary").groupBy("batch").agg(F.collect_list(F.struct("shard", "bits", "crowds")).alias("flags"))
     flagged = written(packed.select("batch").join(flags, "batch", "left"))
 
     def outgoing(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             for r in b.to_pylist():
                 batch = Batch(r["ids"], r["lengths"], r["text"], shards)
-                batch.shared([(f["shard"], f["bits"]) for f in r["flags"] or ()])
+                batch.shared([(f["shard"], f["bits"], f["crowds"]) for f in r["flags"] or ()])
                 found = list(batch.outgoing())
                 cols = list(zip(*found, strict=True)) or [[]] * 5
                 types = (pa.int32(), *[pa.binary()] * 4)
@@ -283,7 +309,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
         for b in parts:
             for r in b.to_pylist():
                 batch = Batch(r["ids"], r["lengths"], r["text"], shards)
-                batch.shared([(f["shard"], f["bits"]) for f in r["flags"] or ()])
+                batch.shared([(f["shard"], f["bits"], f["crowds"]) for f in r["flags"] or ()])
                 found = list(batch.results(batch.covered([(f["shard"], f["told"]) for f in r["replies"] or ()])))
                 with pa.ipc.open_stream(expand(r["rows"])) as stream:
                     rows = stream.read_next_batch().column(0)
@@ -350,7 +376,10 @@ def judge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the removed spans cut out of the texts; a character of which a part was removed goes whole."""
+    """docs with the removed spans cut out of the texts; a character of which a part was removed goes whole.
+
+    All rows and columns stay; nulls and repeats are as for removals.
+    """
     out = removals(docs, id_col, text_col, tuple(c for c in docs.columns if c not in (id_col, text_col)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -235,7 +235,8 @@ def test_passages_of_earlier_documents_go(spark, sf, monkeypatch):
     real = [tuple(r) for r in table(spark, sf, "documents").select("doc_id", "text", "lang", "source").collect()]
     shared = "This passage of well over fifty bytes stands in several documents, word for word. " * 2
     made = [(500 + k, prose(k, 40) + shared + prose(k + 9, 20), "en", "a") for k in range(6)] + [(700, "ab" * 200, "en", "a"), (701, "ab" * 90, "en", "a"), (702, "é" * 80, "fr", "b"), (703, "xé" + "é" * 60, "fr", "b")]
-    for rows, size in ((ODD + made, 2000), (real, 30_000)):
+    for rows, size, crowd in ((ODD + made, 2000, suffix_dedup.CROWD), (ODD + made, 2000, 2), (real, 30_000, 1)):
+        monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
         d = docs(spark, rows)
         out = suffix_dedup.removals(d, batch_bytes=size, carry=("lang", "row", "id"))
         got = Counter((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in out.collect())
@@ -247,6 +248,24 @@ def test_passages_of_earlier_documents_go(spark, sf, monkeypatch):
     assert suffix_dedup.digests(docs(spark, [])).count() == 0
 
 
+def test_a_common_line_loads_no_shard(monkeypatch):
+    """Twice the documents that share a line, in other surroundings each: pieces of its hash become strings in many shards."""
+    line = b"One common line of eighty-eight bytes stands in every document, in other surroundings. "
+    for n in (200, 400):
+        texts = [f"{k * 7919:>60}".encode() + line + f"{k * 104729:<60}".encode() for k in range(n)]
+        make = lambda: suffix_dedup.Batch(np.arange(n, dtype="<i8").tobytes(), np.array(list(map(len, texts)), "<i8").tobytes(), suffix_dedup.squeeze(b"".join(texts)), 16)
+        told = list(make().hashes())
+        flags = [(s, np.full(len(v) // 4, 255, dtype=np.uint8)[: -(-len(v) // 32)].tobytes(), crowds) for s, v, _, crowds in ((s, v, x, np.frombuffer(m, "<i4").reshape(2, -1)[0][np.frombuffer(m, "<i4").reshape(2, -1)[1] > 50].astype("<i4").tobytes()) for s, v, x, m in told)]
+        batch = make()
+        batch.shared(flags)
+        load = [sum(map(len, x)) for x in batch.texts.values()]
+        assert max(load) < 3 * np.median(load)
+        plain = make()
+        plain.shared([(s, b, b"") for s, b, _ in flags])
+        load = [sum(map(len, x)) for x in plain.texts.values()]
+        assert max(load) > 3 * np.median(load)
+
+
 def test_largest_string_of_a_shard_meets_its_equals(spark):
     """The largest string ends two different pieces, and a larger suffix that is too short to be a string follows it."""
     largest = "z" + "".join(chr(97 + k * 7 % 25) for k in range(47)) + "zz"
