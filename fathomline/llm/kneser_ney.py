@@ -23,12 +23,14 @@ from fathomline.llm.suffix_dedup import expand, mixed, squeeze
 
 #: Bytes of an n-gram; what stands before and after a text.
 ORDER, BEFORE, AFTER = 5, b"\x02", b"\x03"
-#: Shards of a language's counts, bytes of text of a batch, symbols worked on at once.
-SHARDS, BATCH, AT_ONCE = 64, 16 << 20, 1 << 20
+#: Shards of a language's counts: one for so many bytes of all texts, and the least and greatest number.
+PER_SHARD, SHARDS, MOST_SHARDS = 64 << 20, 64, 1 << 14
+#: Bytes of text of a batch, symbols worked on at once.
+BATCH, AT_ONCE = 16 << 20, 1 << 20
 #: Trusted ids up to which they are broadcast (16 bytes each); beyond that a shuffle joins them.
 BROADCAST_IDS = 2_000_000
-#: Documents above this quantile of held-out trusted perplexities are rejected; fewer held-out ones than this do not tell.
-QUANTILE, LEAST_HELD_OUT = 0.99, 30
+#: Documents above this quantile of held-out trusted perplexities are rejected.
+QUANTILE = 0.99
 #: Steps of log perplexity in which quantiles are told.
 STEP = 0.001
 FLOOR = 1.0 / 256
@@ -44,17 +46,17 @@ def grams(text: bytes) -> np.ndarray:
     return key
 
 
-def shard_of(keys: np.ndarray) -> np.ndarray:
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     """The shard of each n-gram, by its two bytes before the last."""
-    return (mixed((keys >> np.uint64(8)) & np.uint64(0xFFFF)) % np.uint64(SHARDS)).astype(np.int64)
+    return (mixed((keys >> np.uint64(8)) & np.uint64(0xFFFF)) % np.uint64(shards)).astype(np.int64)
 
 
-def parts_by_shard(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def parts_by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
     """(shard, places in keys, ascending) for each shard that has keys."""
-    shard = shard_of(keys)
+    shard = shard_of(keys, shards)
     order = np.argsort(shard, kind="stable")
-    cut = np.searchsorted(shard[order], np.arange(SHARDS + 1))
-    for s in range(SHARDS):
+    cut = np.searchsorted(shard[order], np.arange(shards + 1))
+    for s in range(shards):
         if cut[s] < cut[s + 1]:
             yield s, order[cut[s] : cut[s + 1]]
 
@@ -101,7 +103,7 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id", quality_col: str = "q
     return fine.select("id", (F.crc32(F.col("id").cast("string").cast("binary")) % 4 == 2).alias("held"))
 
 
-def model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, dict]:
+def model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, shards: int = SHARDS) -> tuple[DataFrame, dict]:
     """The sharded counts (lang, shard, keys, counts), and each language's discounts and probabilities of one and two bytes.
 
     Those are at most 65536 numbers a language. All trusted documents that are not held out are counted.
@@ -118,7 +120,7 @@ def model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_c
                 tallies.setdefault(lang, Tally()).add(grams(text))
         for lang, t in tallies.items():
             t.settle()
-            out = [(lang, s, deltas(t.keys[at]), squeeze(t.counts[at].astype("<i8").tobytes())) for s, at in parts_by_shard(t.keys)]
+            out = [(lang, s, deltas(t.keys[at]), squeeze(t.counts[at].astype("<i8").tobytes())) for s, at in parts_by_shard(t.keys, shards)]
             cols = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["lang", "shard", "keys", "counts"])
 
@@ -215,9 +217,9 @@ def log_probabilities(asked: np.ndarray, keys: np.ndarray, counts: np.ndarray, l
 
 
 def packed(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(batch, ids, lengths, langs, text): documents packed together in the order they are read."""
+    """(batch, bytes, ids, lengths, langs, text): documents packed together in the order they are read."""
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    names = ["batch", "ids", "lengths", "langs", "text"]
+    names = ["batch", "bytes", "ids", "lengths", "langs", "text"]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -228,7 +230,7 @@ def packed(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFr
             ids, langs, texts = zip(*held, strict=True)
             held, size, count = [], 0, count + 1
             lengths = np.array(list(map(len, texts)), "<i8").tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([base + count]), pa.array([list(ids)], pa.list_(pa.int64())), pa.array([lengths]), pa.array([list(langs)]), pa.array([squeeze(b"".join(texts))])], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([base + count]), pa.array([sum(map(len, texts))], pa.int64()), pa.array([list(ids)], pa.list_(pa.int64())), pa.array([lengths]), pa.array([list(langs)]), pa.array([squeeze(b"".join(texts))])], names=names)
 
         for b in parts:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -239,7 +241,7 @@ def packed(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFr
         if held:
             yield pack()
 
-    return bucketed(rows.mapInArrow(run, "batch long, ids array<long>, lengths binary, langs array<string>, text binary"), "batch")
+    return bucketed(rows.mapInArrow(run, "batch long, bytes long, ids array<long>, lengths binary, langs array<string>, text binary"), "batch")
 
 
 def each_text(r: dict) -> Iterator[tuple[int | None, str, bytes]]:
@@ -256,8 +258,11 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     Symbols are the text's bytes and its end; a null text is empty; a null language is one of its own (""), and a
     language without trusted text gives every byte the same probability. Repeated rows give repeated rows.
     """
-    table, low = model(docs, labels, id_col, text_col, lang_col)
     batches = packed(docs, id_col, text_col, lang_col)
+    total = batches.agg(F.sum("bytes")).first()[0] or 0
+    # requests and counts of a shard stay of one size as the corpus grows
+    shards = min(MOST_SHARDS, max(SHARDS, -(-total // PER_SHARD)))
+    table, low = model(docs, labels, id_col, text_col, lang_col, shards)
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # rows are whole batches of documents
 
     def ask(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +274,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                 out = []
                 for lang, t in tallies.items():
                     t.settle()
-                    out += [(r["batch"], lang, s, deltas(t.keys[at])) for s, at in parts_by_shard(t.keys)]
+                    out += [(r["batch"], lang, s, deltas(t.keys[at])) for s, at in parts_by_shard(t.keys, shards)]
                 cols = list(zip(*out, strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.binary()), strict=True)], names=["batch", "lang", "shard", "asked"])
 
@@ -312,24 +317,25 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 
 def thresholds(scored: DataFrame, held: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """(lang, threshold): the perplexity quantile of the held-out trusted documents, or of all where these are too few.
+    """(lang, threshold): the perplexity quantile of the held-out trusted documents; no row for a language without any.
 
     Told from counts by steps of log perplexity, so it is exact to a step and the same on every run.
     """
-    marked = scored.join(held.select("id", F.lit(True).alias("mark")), "id", "left")
     step = F.ceil(F.ln("perplexity") / STEP)
-    hist = marked.groupBy("lang", step.alias("step")).agg(F.count(F.lit(1)).alias("all"), F.count("mark").alias("held"))
+    hist = scored.join(held.select("id"), "id", "left_semi").groupBy("lang", step.alias("step")).agg(F.count(F.lit(1)).alias("n"))
     whole, upto = Window.partitionBy("lang"), Window.partitionBy("lang").orderBy("step")
-    few = F.sum("held").over(whole) < LEAST_HELD_OUT
-    share = F.when(few, F.sum("all").over(upto) / F.sum("all").over(whole)).otherwise(F.sum("held").over(upto) / F.sum("held").over(whole))
+    share = F.sum("n").over(upto) / F.sum("n").over(whole)
     return hist.withColumn("share", share).filter(F.col("share") >= quantile).groupBy("lang").agg(F.exp(F.min("step") * STEP).alias("threshold"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """doc_id, lang, n_symbols, perplexity, threshold, keep (1 or 0) of every document."""
+    """doc_id, lang, n_symbols, perplexity, threshold, keep (1 or 0) of every document.
+
+    A language without held-out trusted documents has no threshold (null), and all its documents stay.
+    """
     scored = perplexities(docs, labels)
     held = trusted_ids(labels).filter("held")
     bars = thresholds(scored, held, quantile)
-    keep = (F.col("perplexity") <= F.col("threshold")).cast("int")
+    keep = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).cast("int")
     # one row a language
     return scored.join(F.broadcast(bars), "lang", "left").select(F.col("id").alias("doc_id"), "lang", "n_symbols", "perplexity", "threshold", keep.alias("keep"))

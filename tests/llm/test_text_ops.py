@@ -330,3 +330,12 @@ def test_quantiles_split_junk_from_prose(spark, sf):
     good = [got[i].keep for i, q in marks.items() if q == 1]
     bad = [got[i].keep for i, q in marks.items() if q == 0]
     assert len(got) == d.count() and np.mean(good) > 0.95 and np.mean(bad) < 0.5
+    held = {r.id for r in kneser_ney.trusted_ids(y).filter("held").collect()}
+    for lang in {r.lang for r in got.values()}:
+        own = sorted(r.perplexity for i, r in got.items() if r.lang == lang and i in held)
+        bars = {r.threshold for r in got.values() if r.lang == lang}
+        if not own:
+            assert bars == {None} and all(r.keep for r in got.values() if r.lang == lang)
+            continue
+        want = own[math.ceil(kneser_ney.QUANTILE * len(own)) - 1]
+        assert len(bars) == 1 and want <= bars.pop() * (1 + 1e-9) <= want * math.exp(1.1 * kneser_ney.STEP)
