@@ -30,6 +30,8 @@ WORDS, ABOVE, BELOW = 5, 4, 5
 FAMILIES, LIMIT = 2, 4
 #: Nodes of one hash that are all compared at once; orders in which the nodes of larger groups are linked first.
 SMALL, ORDERS = 8, 3
+#: Buckets of hashes whose sizes bound what two sets share; sizes are told up to 255.
+BUCKETS = 64
 #: Documents whose hashes are counted to tell common ones, and how many of these are kept. Both bear on speed alone.
 SAMPLE, COMMON = 10_000, 1 << 16
 #: Rows whose groups are paired in one go, at least; a group is never cut.
@@ -89,9 +91,9 @@ def name(x: np.ndarray) -> int:
 
 
 def starts(rows: DataFrame, words: int) -> DataFrame:
-    """(uid, id, node, size, tokens array<long>, fp array<long>) of each row of (id, text).
+    """(uid, id, node, size, sketch binary, tokens array<long>, fp array<long>) of each row of (id, text).
 
-    node: the set's name; tokens: its first hashes; fp: a fingerprint for each family. The order of hashes is one for all sets. A similar set shares one of the first size - ceil(size * ABOVE / BELOW) + 1.
+    node: the set's name; sketch: its hashes by bucket; tokens: its first hashes; fp: a fingerprint for each family. The order of hashes is one for all sets. A similar set shares one of the first size - ceil(size * ABOVE / BELOW) + 1.
     """
     last = common(rows, words)
     by = np.argsort(last)
@@ -100,23 +102,24 @@ def starts(rows: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 40
         for b in batches:
-            node, size, tokens, fp = [], [], [], []
+            node, size, sketch, tokens, fp = [], [], [], [], []
             for t in b.column(1).to_pylist():
                 h = every_shingle(t, words)
                 x = np.unique(h.view(np.int64))
                 node.append(name(x))
                 size.append(len(x))
+                sketch.append(np.minimum(np.bincount(x & (BUCKETS - 1), minlength=BUCKETS), 255).astype(np.uint8).tobytes())
                 fp.append(np.array(from_hashes(h, FAMILIES), dtype=np.uint64).view(np.int64))
                 if len(known):
                     k = np.minimum(np.searchsorted(known, x), len(known) - 1)
                     x = x[np.lexsort((x, np.where(known[k] == x, rank[k], 0)))]
                 tokens.append(x[: len(x) + (-len(x) * ABOVE // BELOW) + 1])
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.arange(uid, uid + len(node))), b.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(fp, pa.list_(pa.int64())),
-            ], names=["uid", "id", "node", "size", "tokens", "fp"])
+                pa.array(np.arange(uid, uid + len(node))), b.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(sketch, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(fp, pa.list_(pa.int64())),
+            ], names=["uid", "id", "node", "size", "sketch", "tokens", "fp"])
             uid += len(node)
 
-    return written(rows.mapInArrow(run, "uid long, id long, node long, size long, tokens array<long>, fp array<long>"))
+    return written(rows.mapInArrow(run, "uid long, id long, node long, size long, sketch binary, tokens array<long>, fp array<long>"))
 
 
 def whole(rows: DataFrame, asked: DataFrame, words: int) -> DataFrame:
@@ -144,14 +147,6 @@ def proposed(nodes: DataFrame) -> DataFrame:
     return written(alike.union(edges(heads.select("family", "fp", F.col("head").alias("node")), LIMIT)).distinct())
 
 
-def still_apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose ends are not, and are not both linked with, one node that is the smallest link of each."""
-    label = written(links.groupBy("a").agg(F.min("b").alias("label")))
-    for end in ("a", "b"):
-        pairs = pairs.join(label.select(F.col("a").alias(end), F.col("label").alias(f"{end}_label")), end, "left")
-    return pairs.filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
-
-
 def grouped(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.ndarray]]:
     """The columns of rows that come in the order of the first, whole groups of it at a time."""
     held: list[list[np.ndarray]] = []
@@ -236,11 +231,27 @@ def apart(large: DataFrame, label: DataFrame, orders: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def similar(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b) of nodes whose sets, held whole, are similar, by exact comparison."""
-    pairs = written(pairs.distinct())
-    asked = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    held = held.join(asked, "node", "left_semi")
+def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches leave room for a similarity at the bound: sets share no more of a bucket than the smaller has there."""
+    for end in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("sketch").alias(f"sketch_{end}")), end)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, BUCKETS) for k in (4, 5))
+            size = b.column(2).to_numpy() + b.column(3).to_numpy()
+            least = np.minimum(x, y)
+            room = (least.sum(axis=1, dtype=np.int64) * (ABOVE + BELOW) >= ABOVE * size) | (least == 255).any(axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(room)) for k in (0, 1)], names=["a", "b"])
+
+    return pairs.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+
+
+def similar(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """The distinct pairs (a, b) of nodes whose sets are similar, by exact comparison of whole sets."""
+    pairs = written(possible(pairs.distinct(), nodes))
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    held = whole(rows, written(nodes.select("id", "node").join(ends, "node")), words)
     a = held.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("tokens").alias("tokens_a"))
     b = held.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("tokens").alias("tokens_b"))
     both = F.size(F.array_intersect("tokens_a", "tokens_b"))
@@ -256,12 +267,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     made = starts(rows, words)
     repeated = made.join(made.groupBy("node").agg(F.min("uid").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "node").filter("uid <> first").select("uid")
     nodes = made.join(written(repeated), "uid", "left_anti")
-    near, found = proposed(nodes), met(nodes)
-    ends = found.select(F.col("a").alias("node")).union(found.filter("b is not null").select("b")).union(near.select("a")).union(near.select("b"))
-    held = whole(rows, written(nodes.select("id", "node").join(written(ends.distinct()), "node")), words)
-    links = similar(near, held)
-    left = still_apart(found.filter("b is not null").select("a", "b"), links)
-    links = links.union(similar(left, held))
+    found = met(nodes)
+    slim = written(nodes.select("id", "node", "size", "sketch"))
+    links = similar(proposed(nodes).union(found.filter("b is not null").select("a", "b")), slim, rows, words)
     large = found.filter("key is not null").select("key", F.col("a").alias("node"), "size", "at")
     own = made.select("id", "node").distinct()
     own = own.join(own.groupBy("id").agg(F.min("node").alias("b")), "id").select(F.col("node").alias("a"), "b").filter("a <> b")
@@ -269,7 +277,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     label = components(links)
     if not large.isEmpty():
         for orders in (ORDERS, 0):
-            more = similar(apart(large, label, orders), held)
+            more = similar(apart(large, label, orders), slim, rows, words)
             if not more.isEmpty():
                 links = links.union(more)
                 label = components(links)
