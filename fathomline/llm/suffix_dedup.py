@@ -31,6 +31,8 @@ LENGTH, GRAM = 50, 20
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of text of a batch (more only for a single longer text) and of text for each shard.
 BATCH, PER_SHARD = 4 << 20, 8 << 20
+#: Strings whose hashes are made at once.
+AT_ONCE = 1 << 18
 #: Pieces of one hash beyond which its strings are dealt out one by one: a small part of a shard.
 CROWD = 4096
 #: Stands for a null id, which comes last; a document of that id is taken for one without.
@@ -61,6 +63,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def least_hashes(text: np.ndarray) -> np.ndarray:
+    """For each string of LENGTH bytes of text, the least hash of its parts of GRAM bytes."""
+    n = len(text) - GRAM + 1
+    word = np.zeros(n + GRAM - 8, dtype=np.uint64)
+    for k in range(8):
+        word |= text[k : k + len(word)].astype(np.uint64) << np.uint64(8 * k)
+    # parts are words of eight bytes; GRAM is no multiple of eight, so the last two overlap
+    h = word[:n] * np.uint64(0x9E3779B97F4A7C15)
+    for o in (8, GRAM - 8):
+        h ^= h >> np.uint64(29)
+        h = (h ^ word[o : o + n]) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return sliding(h, WINDOW, np.minimum)
+
+
 def pieces(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of strings with the same least hash: first string's position, number of strings, the hash, the document.
 
@@ -69,25 +86,18 @@ def pieces(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     none = np.empty(0, dtype=np.int64)
     if len(text) < LENGTH:
         return none, none, np.empty(0, dtype=np.uint64), none
-    padded = np.concatenate((text, np.zeros(8, dtype=np.uint8)))
-    word = np.zeros(len(text), dtype=np.uint64)
-    for k in range(8):
-        word |= padded[k : k + len(text)].astype(np.uint64) << np.uint64(8 * k)
-    n = len(text) - GRAM + 1
-    h = word[:n] * np.uint64(0x9E3779B97F4A7C15)
-    for o in (8, GRAM - 8):
-        h ^= h >> np.uint64(29)
-        h = (h ^ word[o : o + n]) * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    least = sliding(h, WINDOW, np.minimum)
+    least = np.empty(len(text) - LENGTH + 1, dtype=np.uint64)
+    for k in range(0, len(least), AT_ONCE):
+        part = least_hashes(text[k : k + AT_ONCE + LENGTH - 1])
+        least[k : k + len(part)] = part
     starts = np.concatenate(([0], ends[:-1]))
     room = np.maximum(0, ends - starts - LENGTH + 1)
     fresh = np.concatenate(([True], least[1:] != least[:-1]))
-    inside = np.zeros(len(least) + 1, dtype=np.int32)
+    inside = np.zeros(len(least) + 1, dtype=np.int8)
     some = room > 0
     np.add.at(inside, starts[some], 1)
     np.add.at(inside, starts[some] + room[some], -1)
-    inside = np.cumsum(inside[:-1]) > 0
+    inside = np.cumsum(inside[:-1], dtype=np.int8) > 0
     fresh[starts[some]] = True
     fresh &= inside
     at = np.flatnonzero(fresh)
