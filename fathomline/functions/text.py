@@ -150,9 +150,9 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, SENTENCE_END), lambda s: F.trim(s)), lambda s: s.rlike(r"\S"))
 
 
-def without_overlap(before: Column, after: Column, least: int = 20, most: int = 400) -> Column:
+def without_overlap(before: Column, after: Column, least: int = 20) -> Column:
     """after without its beginning where before ends with it: the shortest such overlap of whole words, least characters up."""
-    sizes = F.filter(F.sequence(F.lit(least), F.lit(most)), lambda n: (F.char_length(before) >= n) & (F.char_length(after) >= n) & (F.right(before, n) == F.left(after, n)) & F.substring(after, n + 1, F.lit(1)).rlike(r"^(\W|$)"))
+    sizes = F.filter(F.sequence(F.lit(least), F.greatest(F.lit(least), F.least(F.char_length(before), F.char_length(after)))), lambda n: (F.char_length(before) >= n) & (F.char_length(after) >= n) & (F.right(before, n) == F.left(after, n)) & F.substring(after, n + 1, F.lit(1)).rlike(r"^(\W|$)"))
     cut = F.coalesce(F.get(sizes, F.lit(0)), F.lit(0))
     return F.when(cut > 0, F.ltrim(F.substring(after, cut + 1, F.lit(1 << 30)))).otherwise(after)
 

@@ -57,7 +57,8 @@ def fitted_prompts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def echoed_headers(spark: SparkSession, d: str) -> DataFrame:
-    answer = F.concat(F.lit("[1] filename="), "source", F.lit("; page=2\n> [2] [3] filename=b\n"), F.expr("left(text, 30)"))
+    """Whole documents as answers after two repeated headers."""
+    answer = F.concat(F.lit("[1] filename="), "source", F.lit("; page=2\n> [2] [3] filename=b\n"), "text")
     return read(spark, d, "documents").select("doc_id", U.without_echo(answer).alias("answer"))
 
 
@@ -113,7 +114,7 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS place, le
 x AS (SELECT doc_id, source, CASE WHEN length(f) > 200 THEN rtrim(left(f, 200)) || '...' ELSE f END AS e FROM flat),
 r AS (SELECT query_id, rank, source, e, sum(ceil(length(e) / 3.0)) OVER (PARTITION BY query_id ORDER BY rank) AS used, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM sparse JOIN x ON doc_id = id)
 SELECT query_id, count(*) AS sources, string_agg('[' || rank || '] filename=' || source || chr(10) || e, chr(10) || chr(10) ORDER BY rank) AS prompt FROM r WHERE used <= 150 OR place = 1 GROUP BY query_id""",
-    "echoed_headers": "SELECT doc_id, left(text, 30) AS answer FROM documents",
+    "echoed_headers": "SELECT doc_id, text AS answer FROM documents",
     "what_if": f"""WITH {JUDGED}, t AS (SELECT query_id, max(score) AS s FROM judged GROUP BY 1)
 SELECT count(*) AS checked, count(*) FILTER (s >= 0.3) AS would_answer, count(*) FILTER (s >= 0.3 AND s < 0.4) AS newly_answered, 0::BIGINT AS newly_unanswered FROM t""",
     "known_pages": """WITH p AS (SELECT url, min(page_id) AS id FROM pages GROUP BY 1)

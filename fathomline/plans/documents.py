@@ -26,7 +26,7 @@ def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def excerpts(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", T.excerpt(F.col("text")).alias("excerpt"), T.contextual(F.col("source"), F.col("lang"), F.substring("text", 1, 20)).alias("contextual"))
+    return read(spark, d, "documents").select("doc_id", T.excerpt(F.col("text")).alias("excerpt"), T.contextual(F.col("source"), F.col("lang"), F.col("text")).alias("contextual"))
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -202,7 +202,7 @@ ids AS (SELECT *, left(sha256(concat_ws(chr(10), filename, page::VARCHAR, sectio
 hashed AS (SELECT *, sha1(unhex('{T.NAMESPACE_URL}') || ('passage:' || filename || ':' || page || ':' || section || ':' || chunk_id)::BLOB) AS h FROM ids)
 SELECT filename, ordinal, page, occurrence, chunk_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', (('0x' || h[17])::INT % 4) + 1, 1) || h[18:20] || '-' || h[21:32] AS point_id FROM hashed""",
     "excerpts": r"""WITH flat AS (SELECT doc_id, source, lang, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS f FROM documents)
-SELECT doc_id, CASE WHEN length(f) > 200 THEN rtrim(left(f, 200)) || '...' ELSE f END AS excerpt, source || ' › ' || lang || chr(10) || left(text, 20) AS contextual FROM flat""",
+SELECT doc_id, CASE WHEN length(f) > 200 THEN rtrim(left(f, 200)) || '...' ELSE f END AS excerpt, source || ' › ' || lang || chr(10) || text AS contextual FROM flat""",
     "csv_rows": """
 SELECT floor((c_custkey - 1) / 50.0)::BIGINT AS section_no, 'Rows ' || min(c_custkey) || '-' || max(c_custkey) AS label, count(*) AS n_rows,
   string_agg('c_custkey: ' || c_custkey || '; c_name: ' || c_name || '; c_nationkey: ' || c_nationkey || '; c_mktsegment: ' || c_mktsegment, chr(10) ORDER BY c_custkey) AS text

@@ -182,10 +182,10 @@ def batch_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def claims_by_source(spark: SparkSession, d: str) -> DataFrame:
-    """Two sentences made of each assistant turn's letters, the first's marker opening the second."""
+    """Whole assistant turns in which a marker follows each sentence and so opens the next."""
     c = read(spark, d, "conversations").filter("role = 'assistant'")
-    bare = F.regexp_replace(F.expr("left(text, 60)"), r"[^\p{L} ]", "")
-    answer = F.concat(F.lit("A"), bare, F.lit(". ["), (F.col("turn") + 1).cast("string"), F.lit("] B"), bare, F.lit(" ["), (F.col("conv_id") % 3 + 1).cast("string"), F.lit("-4]."))
+    cite = lambda x: F.concat(F.translate(x, "[]", "()"), F.when(x.rlike(r"[.!?。！？]$"), "").otherwise("."), F.lit(" ["), (F.char_length(x) % 7 + 1).cast("string"), F.lit("]"))
+    answer = F.array_join(F.transform(T.sentences(F.col("text")), cite), " ")
     return A.claims_by_source(c.select((F.col("conv_id") * 100 + F.col("turn")).alias("answer_id"), answer.alias("answer")))
 
 
@@ -248,7 +248,8 @@ SELECT conv_id, turn, len(list_intersect(w, {A.POINTING})) > 0 OR len(list_filte
   CASE WHEN len(list_filter(marks, lambda x: x <= 5)) > 0 THEN 'answered' WHEN regexp_matches(answer, '{A.REFUSALS.replace(chr(39), chr(39) * 2)}') THEN 'insufficient_context' ELSE 'uncited' END AS status FROM cited""",
     "cited_sources": f"""WITH {ANSWERS}, {CITED}, m AS (SELECT answer_id, conv_id, turn, unnest(marks) AS source_number FROM cited)
 SELECT answer_id, source_number FROM m WHERE EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = m.conv_id AND c.turn < m.turn AND c.turn + 1 = m.source_number)""",
-    "claims_by_source": """WITH a AS (SELECT conv_id * 100 + turn AS answer_id, turn, conv_id FROM conversations WHERE role = 'assistant')
-SELECT answer_id, 0::BIGINT AS sentence_no, turn + 1 AS source_number FROM a UNION SELECT answer_id, 1::BIGINT, unnest(range(conv_id % 3 + 1, 5)) FROM a""",
+    "claims_by_source": r"""WITH s AS (SELECT conv_id * 100 + turn AS answer_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?。！？])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: regexp_matches(x, '\S')) AS l
+FROM conversations WHERE role = 'assistant')
+SELECT answer_id, unnest(range(len(l))) AS sentence_no, unnest(list_transform(l, lambda x: length(x) % 7 + 1)) AS source_number FROM s""",
     "continuations": f"WITH {ANSWERS} SELECT answer_id, true AS whole FROM answers WHERE length(answer) > 60",
 }
