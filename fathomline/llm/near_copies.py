@@ -6,8 +6,8 @@ the sets decides each proposal. Fingerprints of 64 bits miss part of the pairs n
 apart is completed by exact means: all sets are kept in one order of the hashes, common ones last; two sets that are
 similar enough share a hash among the first of each (prefix filter), and the first one that they share stands early
 enough in both (position filter), so no similar pair is missed; the same exact comparison decides. Among the many
-nodes of one hash, links along a few orders are tried first, and then only pairs that are not connected yet; connected
-groups are what counts.
+nodes of one hash, neighbours in a few orders are compared first, and then only pairs that are not connected by that;
+connected groups are what counts.
 """
 
 from __future__ import annotations
@@ -165,9 +165,22 @@ def grouped(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
+def neighbours(key: np.ndarray, node: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of rows of one group that stand side by side in some orders and may be similar; most copies meet so."""
+    left, right = [], []
+    for turn in range(1, ORDERS + 1):
+        mixed = (node.view(np.uint64) + np.uint64(turn)) * np.uint64(0x9E3779B97F4A7C15)
+        order = np.lexsort((mixed ^ (mixed >> np.uint64(29)), key))
+        i, j = order[:-1], order[1:]
+        near = (key[i] == key[j]) & fits(size[i], at[i], size[j], at[j])
+        left.append(i[near])
+        right.append(j[near])
+    return np.concatenate(left), np.concatenate(right)
+
+
 def met(nodes: DataFrame) -> DataFrame:
     """(key, a, b, size, at): pairs of nodes that may be similar (key null), and the rows of the groups above SMALL.
-    Groups up to SMALL give all their pairs, larger ones those of neighbours by size. A group's rows: node a, b null.
+    Groups up to SMALL give all their pairs, larger ones those of neighbours by size and in ORDERS other orders. A group's rows: node a, b null.
     """
     rows = nodes.select("node", "size", F.posexplode("tokens").alias("at", "key"))
     rows = rows.select("key", "node", "size", F.col("at").cast("long").alias("at")).repartition("key").sortWithinPartitions("key")
@@ -188,35 +201,26 @@ def met(nodes: DataFrame) -> DataFrame:
                 i = i[fits(size[i], at[i], size[i + d], at[i + d])]
                 left.append(node[i])
                 right.append(node[i + d])
-            a, b = np.concatenate(left), np.concatenate(right)
-            a, b = np.minimum(a, b), np.maximum(a, b)
-            n, m = len(a), int(large.sum())
+            key, held, size, at = key[large], node[large], size[large], at[large]
+            i, j = neighbours(key, held, size, at)
+            a, b = np.concatenate((*left, held[i])), np.concatenate((*right, held[j]))
+            pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
+            n, m = pairs.shape[1], len(held)
             yield pa.RecordBatch.from_arrays([
-                pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(key[large])]), pa.array(np.concatenate((a, node[large]))), pa.concat_arrays([pa.array(b), pa.nulls(m, pa.int64())]),
-                pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(size[large])]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(at[large])]),
+                pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(key)]), pa.array(np.concatenate((pairs[0], held))), pa.concat_arrays([pa.array(pairs[1]), pa.nulls(m, pa.int64())]),
+                pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(size)]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(at)]),
             ], names=["key", "a", "b", "size", "at"])
 
     return written(rows.mapInArrow(run, "key long, a long, b long, size long, at long"))
 
 
-def apart(large: DataFrame, label: DataFrame, orders: int) -> DataFrame:
-    """(a, b): pairs of a group that are not connected yet: of neighbours in so many orders; all, if 0."""
+def apart(large: DataFrame, label: DataFrame) -> DataFrame:
+    """(a, b): the pairs of a group that are not connected yet and may be similar."""
     rows = large.join(label.withColumnRenamed("component", "label"), "node", "left").select("key", "node", "size", "at", F.coalesce("label", "node").alias("label"))
     rows = rows.repartition("key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
         for key, node, size, at, label in grouped(batches, 5):
-            for turn in range(1, orders + 1):
-                mixed = (node.view(np.uint64) + np.uint64(turn)) * np.uint64(0x9E3779B97F4A7C15)
-                order = np.lexsort((mixed ^ (mixed >> np.uint64(29)), key))
-                i, j = order[:-1], order[1:]
-                near = (key[i] == key[j]) & (label[i] != label[j]) & fits(size[i], at[i], size[j], at[j])
-                yield told(node[i[near]], node[j[near]])
-            if orders:
-                continue
             cut = np.append(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), len(key))
             for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 names, of, count = np.unique(label[lo:hi], return_inverse=True, return_counts=True)
@@ -226,11 +230,18 @@ def apart(large: DataFrame, label: DataFrame, orders: int) -> DataFrame:
                 for i in (np.flatnonzero(of != count.argmax()) + lo).tolist():
                     j = np.flatnonzero((label[lo:hi] != label[i]) & fits(size[i], at[i], size[lo:hi], at[lo:hi])) + lo
                     if len(j):
-                        yield told(np.full(len(j), node[i]), node[j])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
 
+def named(links: DataFrame, label: DataFrame) -> DataFrame:
+    """The distinct links (a, b) with both ends replaced by their labels, where these differ."""
+    for end in ("a", "b"):
+        links = links.join(label.select(F.col("node").alias(end), F.col("component").alias(f"new_{end}")), end, "left").withColumn(end, F.coalesce(f"new_{end}", end)).drop(f"new_{end}")
+    return links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sketches leave room for a similarity at the bound: sets share no more of a bucket than the smaller has there."""
     for end in ("a", "b"):
@@ -276,12 +287,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     links = written(links.union(own).distinct())
     label = components(links)
     if not large.isEmpty():
-        for orders in (ORDERS, 0):
-            more = similar(apart(large, label, orders), slim, rows, words)
-            if not more.isEmpty():
-                links = links.union(more)
-                label = components(links)
+        # what the other pairs of large groups add joins whole parts, so only parts are labelled anew
+        over = named(similar(apart(large, label), slim, rows, words), label)
+        further = components(over).select(F.col("node").alias("part"), F.col("component").alias("whole"))
+    else:
+        further = None
     joined = made.select("id", "node").join(label, "node", "left").select("id", F.coalesce("component", "node").alias("part"))
+    if further is not None:
+        joined = joined.join(further, "part", "left").select("id", F.coalesce("whole", "part").alias("part"))
     least = joined.groupBy("part").agg(F.min("id").alias("component_id"))
     return joined.join(least, "part").select("id", "component_id").distinct().withColumnRenamed("id", id_col)
 
