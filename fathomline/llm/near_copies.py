@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.common import small_batches, written
-from fathomline.llm.simhash import SEED, components, edges, from_hashes
+from fathomline.llm.simhash import FAN, SEED, components, edges, from_hashes
 
 #: Words of a shingle; the least similarity of a link is ABOVE / BELOW.
 WORDS, ABOVE, BELOW = 5, 4, 5
@@ -293,10 +293,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     else:
         further = None
     joined = made.select("id", "node").join(label, "node", "left").select("id", F.coalesce("component", "node").alias("part"))
+    # a part's documents are dealt into FAN shares, so a large group is looked up in no single task
+    dealt = joined.withColumn("share", F.pmod(F.xxhash64("id"), F.lit(FAN)))
+    shares = dealt.groupBy("part", "share").agg(F.min("id").alias("low"))
+    parts = shares.groupBy("part").agg(F.min("low").alias("component_id"))
     if further is not None:
-        joined = joined.join(further, "part", "left").select("id", F.coalesce("whole", "part").alias("part"))
-    least = joined.groupBy("part").agg(F.min("id").alias("component_id"))
-    return joined.join(least, "part").select("id", "component_id").distinct().withColumnRenamed("id", id_col)
+        parts = parts.join(further, "part", "left").select("part", F.coalesce("whole", "part").alias("whole"), "component_id")
+        parts = parts.join(parts.groupBy("whole").agg(F.min("component_id").alias("least")), "whole").select("part", F.col("least").alias("component_id"))
+    named_ = shares.select("part", "share").join(parts, "part")
+    return dealt.join(named_, ["part", "share"]).select("id", "component_id").distinct().withColumnRenamed("id", id_col)
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
