@@ -1,8 +1,8 @@
-"""The queries op1 to op10 of this subpackage and the SQL for those that SQL can express."""
+"""The queries opN of this subpackage and the SQL for those that SQL can express."""
 
 from __future__ import annotations
 
-from fathomline.llm import bpe, kneser_ney, matroska, mixing, permutation_index, simhash, suffix_dedup, token_counts, toxicity, wrappers
+from fathomline.llm import bpe, kneser_ney, matroska, mixing, permutation_index, secret_scan, simhash, suffix_dedup, token_counts, toxicity, wrappers
 from fathomline.llm.common import table
 
 
@@ -24,6 +24,7 @@ QUERIES = {
     "op8_mixing": lambda spark, d: mixing.plan(table(spark, d, "documents")),
     "op9_bpe": lambda spark, d: bpe.digests(table(spark, d, "documents"), vocabulary_path("byte_bpe_50k.json")),
     "op10_wrappers": lambda spark, d: wrappers.articles(table(spark, d, "pages")),
+    "op11_secret_scan": lambda spark, d: secret_scan.digests(table(spark, d, "documents")),
 }
 
-ORACLE: dict[str, str] = {"op8_mixing": mixing.ORACLE}
+ORACLE: dict[str, str] = {"op8_mixing": mixing.ORACLE, "op11_secret_scan": secret_scan.ORACLE}
