@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fathomline.llm import bpe, kneser_ney, matroska, mixing, permutation_index, prefix_trie, secret_scan, simhash, suffix_dedup, token_counts, toxicity, wrappers
+from fathomline.llm import bpe, fp_tree, kneser_ney, matroska, mixing, permutation_index, prefix_trie, secret_scan, simhash, suffix_dedup, token_counts, toxicity, wrappers
 from fathomline.llm.common import table
 
 
@@ -26,6 +26,7 @@ QUERIES = {
     "op10_wrappers": lambda spark, d: wrappers.articles(table(spark, d, "pages")),
     "op11_secret_scan": lambda spark, d: secret_scan.digests(table(spark, d, "documents")),
     "op12_prefix_trie": lambda spark, d: prefix_trie.nodes_of(table(spark, d, "conversations")),
+    "op13_fp_tree": lambda spark, d: fp_tree.ranked(table(spark, d, "documents"), table(spark, d, "benchmark")),
 }
 
-ORACLE: dict[str, str] = {"op8_mixing": mixing.ORACLE, "op11_secret_scan": secret_scan.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE}
+ORACLE: dict[str, str] = {"op8_mixing": mixing.ORACLE, "op11_secret_scan": secret_scan.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE, "op13_fp_tree": fp_tree.ORACLE}
