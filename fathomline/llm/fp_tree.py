@@ -191,7 +191,7 @@ class Tree:
                 live = items.open(which, b, self.bounds[child][3])
                 if live.any():
                     below.append((child, which[live], b[live]))
-            todo += sorted(below, key=lambda x: int(x[2].max()))
+            todo += sorted(below, key=lambda x: (int(x[2].max()), -self.bounds[x[0]][3]))
 
     def _score(self, node: int, items: Items, which: np.ndarray) -> None:
         lo, hi = self.first[node], self.last[node]
