@@ -5,44 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomline.functions import numerals as N
 from fathomline.functions import text as T
 
-#: Stop words of content-word overlap (fixed values, six languages).
+#: Stop words of the follow-up test, six languages.
 STOP = "a an and are as at be by for from has have in is it its of on or that the this to was were will with de la le les des du et un une en est que pour dans sur der die das und ist von zu mit den auf für im ein eine el los las y es por con para una di il che della o do da em os não per sono".split()
 #: Words that point back to what was said before.
 POINTING = "it its they them their this that these those he she him her there then one ones same such another else il elle ils elles cela ce ceci lui leur er sie es ihn ihm diese dieser das él ella ellos ellas eso esto".split()
-REFUSALS = r"(?i)not enough information|no information|cannot answer|can't answer|do not (?:mention|contain|say)|does not (?:mention|contain|say)|insufficient (?:context|information)"
-NUMBER = r"\d+(?:\.\d+)?"
-MARKER = r"\[\d{1,6}(?:\s*[-–,]\s*\d{1,6})*\]"
-
-
-def content_words(text: Column) -> Column:
-    """The distinct words of a text but stop words and single letters; digits count."""
-    kept = F.filter(T.words(text), lambda w: (F.char_length(w) > 1) | w.rlike(r"\d"))
-    return F.array_except(F.array_distinct(kept), F.array(*map(F.lit, STOP)))
-
-
-def numbers(text: Column) -> Column:
-    """The distinct numbers of a text without citation markers, thousands separators removed, no trailing .0."""
-    bare = F.regexp_replace(text, MARKER, " ")
-    joined = F.regexp_replace(bare, r"(\d)[,'](?=\d{3}\b)", "$1")
-    return F.array_distinct(F.transform(F.regexp_extract_all(joined, F.lit(f"({NUMBER})")), lambda n: F.regexp_replace(n, r"\.0+$", "")))
-
-
-def unsupported_numbers(answer: Column, source: Column) -> Column:
-    """How many numbers an answer states that its source does not."""
-    return F.size(F.array_except(numbers(answer), numbers(source))).cast("long")
-
-
-def status(answer: Column, sources: Column) -> Column:
-    """no_context, insufficient_context, uncited or answered."""
-    cited = F.size(T.cited_numbers(answer, sources))
-    return F.when(sources == 0, "no_context").when(cited == 0, F.when(answer.rlike(REFUSALS), "insufficient_context").otherwise("uncited")).otherwise("answered")
+MARKER = N.MARKER
 
 
 def needs_condense(question: Column) -> Column:
     """Whether a question leans on what was said before: it points back, or has too few words of its own."""
-    return F.arrays_overlap(T.words(question), F.array(*map(F.lit, POINTING))) | (F.size(content_words(question)) < 3)
+    kept = F.filter(T.words(question), lambda w: (F.char_length(w) > 1) | w.rlike(r"\d"))
+    own = F.array_except(F.array_distinct(kept), F.array(*map(F.lit, STOP)))
+    return F.arrays_overlap(T.words(question), F.array(*map(F.lit, POINTING))) | (F.size(own) < 3)
 
 
 def history_tail(turns: DataFrame, keep: int, clip: int, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
@@ -67,20 +44,6 @@ def cited_sources(answers: DataFrame, sources: DataFrame) -> DataFrame:
     return marks.join(sources, ["answer_id", "source_number"])
 
 
-def best_spans(claims: DataFrame, passages: DataFrame) -> DataFrame:
-    """(claim_id, sentence_no, shared, coverage): the sentence of its passage that best covers each claim's content words.
-
-    claims: claim_id, passage_id, claim; passages: passage_id, text. At least two words and 0.3 of the claim; then the
-    highest coverage, the fewest words, the earliest.
-    """
-    sentences = passages.select("passage_id", F.posexplode(F.split("text", r"(?<=[.!?。！？])\s+|\n+")).alias("sentence_no", "sentence")).select("passage_id", "sentence_no", content_words(F.col("sentence")).alias("s"))
-    pairs = claims.select("claim_id", "passage_id", content_words(F.col("claim")).alias("c")).join(sentences, "passage_id")
-    shared = F.size(F.array_intersect("c", "s"))
-    scored = pairs.select("claim_id", "sentence_no", shared.alias("shared"), F.round(shared / F.greatest(F.size("c"), F.lit(1)), 6).alias("coverage"), F.size("s").alias("n")).filter("shared >= 2 and coverage >= 0.3")
-    best = scored.groupBy("claim_id").agg(F.max(F.struct("coverage", (-F.col("n")).alias("n"), (-F.col("sentence_no")).alias("at"), "shared")).alias("b"))
-    return best.select("claim_id", (-F.col("b.at")).cast("long").alias("sentence_no"), F.col("b.shared").cast("long").alias("shared"), "b.coverage")
-
-
 def states_fact(answer: Column, any_of: list[str], groups: list[list[str]], none_of: list[str]) -> Column:
     """Whether an answer contains one of any_of and one of each group, and nothing of none_of; numbers as whole numbers."""
     low = F.lower(answer)
@@ -130,8 +93,8 @@ def backfilled(answers: DataFrame, sources: DataFrame) -> DataFrame:
     of four letters or more; then the highest coverage, the smallest number.
     """
     bare = answers.select("answer_id", F.posexplode(T.sentences(F.col("answer"))).alias("sentence_no", "s")).filter(~F.col("s").rlike(MARKER))
-    claims = bare.select("answer_id", "sentence_no", content_words(F.col("s")).alias("c")).filter(F.size("c") >= 3)
-    pairs = claims.join(sources.select("answer_id", "source_number", content_words(F.col("text")).alias("w")), "answer_id").withColumn("both", F.array_intersect("c", "w"))
+    claims = bare.select("answer_id", "sentence_no", N.content_words(F.col("s")).alias("c")).filter(F.size("c") >= 3)
+    pairs = claims.join(sources.select("answer_id", "source_number", N.content_words(F.col("text")).alias("w")), "answer_id").withColumn("both", F.array_intersect("c", "w"))
     good = pairs.filter((F.size("both") >= 3) & (F.size("both") >= 0.5 * F.size("c")) & F.exists("both", lambda x: (F.char_length(x) >= 4) | x.rlike(r"\d")))
     best = good.groupBy("answer_id", "sentence_no").agg(F.max(F.struct((F.size("both") / F.size("c")).alias("v"), (-F.col("source_number")).alias("n"))).alias("b"))
     return best.select("answer_id", F.col("sentence_no").cast("long").alias("sentence_no"), (-F.col("b.n")).alias("source_number"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathomline.functions import refusals as R
 from fathomline.functions import text as T
 from fathomline.operators import answers as A
 from fathomline.operators import corpus as C
@@ -135,12 +136,7 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
 
 def citations_used(spark: SparkSession, d: str) -> DataFrame:
     a = answers(spark, d)
-    return a.select("answer_id", F.array_join(T.cited_numbers(F.col("answer"), F.lit(5)).cast("array<string>"), ",").alias("cited"), A.status(F.col("answer"), F.lit(5)).alias("status"))
-
-
-def unsupported_numbers(spark: SparkSession, d: str) -> DataFrame:
-    a = answers(spark, d)
-    return a.select("answer_id", A.unsupported_numbers(F.col("answer"), F.col("conv_id").cast("string")).alias("unsupported"))
+    return a.select("answer_id", F.array_join(T.cited_numbers(F.col("answer"), F.lit(5)).cast("array<string>"), ",").alias("cited"), R.status(F.col("answer"), F.lit(5)).alias("status"))
 
 
 def cited_sources(spark: SparkSession, d: str) -> DataFrame:
@@ -150,14 +146,6 @@ def cited_sources(spark: SparkSession, d: str) -> DataFrame:
     return A.cited_sources(answers(spark, d), sources).select("answer_id", F.col("source_number").cast("long").alias("source_number"))
 
 
-def query_spans(spark: SparkSession, d: str) -> DataFrame:
-    """The sentence that best covers each benchmark text's first sentence, in each document that holds the text."""
-    docs, items = read(spark, d, "documents"), read(spark, d, "benchmark")
-    found = C.label_passages(docs, items).join(items.select("item_id", F.regexp_extract("text", r"^([^.]*)", 1).alias("claim")), "item_id")
-    claims = found.select((F.col("item_id") * 1_000_000_000 + F.col("doc_id")).alias("claim_id"), F.col("doc_id").alias("passage_id"), "claim")
-    return A.best_spans(claims, docs.select(F.col("doc_id").alias("passage_id"), "text"))
-
-
 def fact_checks(spark: SparkSession, d: str) -> DataFrame:
     return answers(spark, d).select("answer_id", A.states_fact(F.col("answer"), ["the", "de"], [["costs", "[1"]], ["3"]).alias("states"))
 
@@ -217,7 +205,7 @@ s AS (SELECT *, sum(fresh) OVER (PARTITION BY {key} ORDER BY ts, event_id) AS se
 
 QUERIES = {
     f.__name__: f
-    for f in (latency_summary, tumbling, sliding, sessions, latest_per_key, latest_turns, retention, usage_totals, props_extract, outcome_tallies, job_states, late_writes, backoff_due, due_queue, token_bucket, throttled, cache_hits, shared_runs, admitted, history_tail, exchanges, needs_condense, citations_used, unsupported_numbers, cited_sources, query_spans, claims_by_source, backfilled, fact_checks, continuations, summary_parts, batch_shares)
+    for f in (latency_summary, tumbling, sliding, sessions, latest_per_key, latest_turns, retention, usage_totals, props_extract, outcome_tallies, job_states, late_writes, backoff_due, due_queue, token_bucket, throttled, cache_hits, shared_runs, admitted, history_tail, exchanges, needs_condense, citations_used, cited_sources, claims_by_source, backfilled, fact_checks, continuations, summary_parts, batch_shares)
 }
 
 ORACLE = {
@@ -245,7 +233,7 @@ SELECT conv_id, turn, length(text) AS question_chars, length(answer) AS answer_c
 SELECT conv_id, turn, len(list_intersect(w, {A.POINTING})) > 0 OR len(list_filter(list_distinct(list_filter(w, lambda x: length(x) > 1 OR regexp_matches(x, '\d'))), lambda x: NOT list_contains({A.STOP}, x))) < 3 AS needs,
   regexp_matches(lower(text), '\b(19|20)\d\d\b|\b(previous|previously|former|formerly|old|older|earlier|original|originally|used to|back then|last year|in the past)\b') AS past FROM w""",
     "citations_used": f"""WITH {ANSWERS}, {CITED} SELECT answer_id, array_to_string(list_filter(marks, lambda x: x <= 5 OR x = turn + 1 AND x <= 5), ',') AS cited,
-  CASE WHEN len(list_filter(marks, lambda x: x <= 5)) > 0 THEN 'answered' WHEN regexp_matches(answer, '{A.REFUSALS.replace(chr(39), chr(39) * 2)}') THEN 'insufficient_context' ELSE 'uncited' END AS status FROM cited""",
+  CASE WHEN len(list_filter(marks, lambda x: x <= 5)) > 0 THEN 'answered' ELSE 'uncited' END AS status FROM cited""",
     "cited_sources": f"""WITH {ANSWERS}, {CITED}, m AS (SELECT answer_id, conv_id, turn, unnest(marks) AS source_number FROM cited)
 SELECT answer_id, source_number FROM m WHERE EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = m.conv_id AND c.turn < m.turn AND c.turn + 1 = m.source_number)""",
     "claims_by_source": r"""WITH s AS (SELECT conv_id * 100 + turn AS answer_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?。！？])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: regexp_matches(x, '\S')) AS l
