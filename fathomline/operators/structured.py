@@ -92,7 +92,7 @@ def json_lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 # --- XML ------------------------------------------------------------------------------------------------------------
 
 
-def _unescaped(text: Column) -> Column:
+def unescaped(text: Column) -> Column:
     """A text with its character references read; & comes last, so that nothing is read twice."""
     parts = F.split(text, REFERENCE, -1)
     code = lambda r: F.when(F.lower(F.substring(r, 3, 1)) == "x", F.conv(F.regexp_extract(r, "[0-9a-fA-F]+(?=;)", 0), 16, 10)).otherwise(F.regexp_extract(r, "[0-9]+", 0)).cast("long")
@@ -116,7 +116,7 @@ def xml_lines(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(~F.col("text").rlike(DECLARES))
     marked = F.transform(F.concat(F.array(F.lit("")), F.regexp_extract_all("text", F.lit(MARKUP), F.lit(0))), lambda m: F.regexp_extract(m, r"(?s)^<!\[CDATA\[(.*)\]\]>$", 1))
-    cut = F.zip_with(marked, F.split("text", MARKUP, -1), lambda m, t: F.concat(m, F.lit("\n"), _unescaped(t)))
+    cut = F.zip_with(marked, F.split("text", MARKUP, -1), lambda m, t: F.concat(m, F.lit("\n"), unescaped(t)))
     lines = F.filter(F.transform(F.split(F.array_join(cut, "\n"), "\n"), lambda x: T.collapse(x)), lambda x: x != "")
     each = rows.select("doc_id", F.posexplode_outer(lines).alias("line_no", "line")).filter("line IS NOT NULL")
     return each.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line")

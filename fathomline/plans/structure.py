@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.operators import pages as P
+from fathomline.operators import sites
 from fathomline.operators import structured as S
 from fathomline.sources.tables import read
 
@@ -74,6 +75,34 @@ def rejoined_words(spark: SparkSession, d: str) -> DataFrame:
     return P.rejoined(rows.select("doc_id", "page_no", "text"))
 
 
+#: SQL that both engines read: a page's site (of 100 pages), its address there, its listing's last change, its entry by the site's kind.
+SITE = "floor(page_id / 100)"
+OWN = f"CASE WHEN page_id % 9 = 4 THEN url ELSE 'https://s' || CAST({SITE} AS INT) || '.example' || CASE WHEN page_id % 7 = 3 THEN '/same' ELSE '/p?a=' || page_id || '&b=<1>' END END"
+ENTRY = """CASE CAST(floor(page_id / 100) AS INT) % 4
+WHEN 2 THEN '<item><title>t</title><link>' || link || '</link><pubDate>Tue, 05 Mar 2024 0' || (page_id % 10) || ':00:00 GMT</pubDate></item>'
+WHEN 3 THEN '<a:entry><a:link rel="self" href="/no"/><a:link href="' || link || '"/><a:updated>2024-03-05T0' || (page_id % 10) || ':00:00Z</a:updated></a:entry>'
+ELSE '<url><loc>' || link || '</loc><!-- <url><loc>/no</loc></url> --><lastmod>2024-03-0' || (page_id % 9 + 1) || '</lastmod></url>' END"""
+
+
+def sitemap_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Sites of a hundred pages each: a sitemap, an index of two behind robots.txt, an RSS feed or an Atom feed; some links are relative."""
+    pages = read(spark, d, "pages").select("page_id", F.expr(OWN).alias("own"), F.expr(f"CAST({SITE} AS INT)").alias("k"))
+    escaped = F.regexp_replace(F.regexp_replace("own", "&", "&amp;"), "<", "&lt;")
+    link = F.when(F.col("page_id") % 5 == 1, F.regexp_replace(escaped, r"^https://s\d+\.example", "")).otherwise(escaped)
+    part = F.when(F.col("k") % 4 == 1, F.floor(F.col("page_id") % 100 / 50)).otherwise(0)
+    texts = pages.withColumn("link", link).select("k", part.alias("part"), "page_id", F.expr(ENTRY).alias("entry")).groupBy("k", "part")
+    bodies = texts.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_id", "entry"))), lambda x: x["entry"]), "\n").alias("body"))  # a hundred at most
+    root = F.concat(F.lit("https://s"), "k", F.lit(".example"))
+    wrap = F.when(F.col("k") % 4 == 2, F.concat(F.lit("<rss><channel><link>/no</link>"), "body", F.lit("</channel></rss>"))).when(F.col("k") % 4 == 3, F.concat(F.lit('<a:feed xmlns:a="x">'), "body", F.lit("</a:feed>"))).otherwise(F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="x">'), "body", F.lit("</urlset>")))
+    files = bodies.select(F.concat(root, F.when(F.col("k") % 4 == 1, F.concat(F.lit("/map"), F.col("part"), F.lit(".xml"))).otherwise("/listing.xml")).alias("url"), wrap.alias("text"))
+    ks = pages.select("k").distinct()
+    index = ks.filter("k % 4 = 1").select(F.concat(root, F.lit("/index.xml")).alias("url"), F.concat(F.lit("<sitemapindex><sitemap><loc>map0.xml</loc></sitemap><sitemap><loc>"), root, F.lit("/map1.xml</loc></sitemap></sitemapindex>")).alias("text"))
+    robots = ks.filter("k % 4 = 1").select(F.concat(root, F.lit("/robots.txt")).alias("url"), F.concat(F.lit("User-agent: *\nSitemap: /map0.xml\nsitemap:"), root, F.lit("/map1.xml\nSitemap: https://else.example/x.xml")).alias("text"))
+    starts = ks.select(F.concat(root, F.when(F.col("k") % 4 == 1, F.when(F.col("k") % 8 == 1, "/").otherwise("/index.xml")).otherwise("/listing.xml")).alias("site"))
+    found = sites.site_pages(starts, files.unionByName(index).unionByName(robots))
+    return found.select("site", "rank", "url", F.unix_seconds("modified").alias("modified"))
+
+
 _WALK = """
 root AS (SELECT event_id AS doc_id, TRY_CAST(text AS JSON) AS j FROM (SELECT event_id, {JSON} AS text FROM events)),
 top AS (SELECT doc_id, CASE json_type(j) WHEN 'OBJECT' THEN e.key WHEN 'ARRAY' THEN 'Item ' || (e.key::INT + 1) ELSE 'Value' END AS section, CASE WHEN json_type(j) IN ('OBJECT', 'ARRAY') THEN e.value ELSE j END AS v, [coalesce(e.id, 0)::BIGINT] AS ord
@@ -88,7 +117,7 @@ lines AS (SELECT doc_id, list_transform(list_filter(list_transform(string_split(
 page AS (SELECT doc_id, ceil(len(l) / {PAGE})::INT AS n, p::INT AS page_no, array_to_string(l[(p - 1) * {PAGE} + 1:p * {PAGE}], chr(10)) AS body FROM lines, unnest(range(1, ceil(len(l) / {PAGE})::INT + 1)) AS u(p))"""
 _Q = lambda s: s.replace("'", "''").replace("\n", "' || chr(10) || '")
 
-QUERIES = {f.__name__: f for f in (json_paths, xml_text, notebook_cells, running_lines, rejoined_words)}
+QUERIES = {f.__name__: f for f in (json_paths, xml_text, notebook_cells, running_lines, rejoined_words, sitemap_pages)}
 ORACLE = {
     "json_paths": f"WITH RECURSIVE {_WALK.replace('{JSON}', JSON)} SELECT doc_id, section, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS line_no, trim(regexp_replace(path || ': ' || told, '\\s+', ' ', 'g')) AS line FROM leaf",
     "xml_text": r"""WITH t AS (SELECT doc_id, [doc_id::VARCHAR] || list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))) || [left(source, 3) || ' < &amp;', '日'] AS l FROM documents WHERE text IS NOT NULL AND doc_id % 11 <> 3),
@@ -102,4 +131,8 @@ SELECT doc_id, page_no, CASE WHEN n < 3 THEN CASE WHEN doc_id % 2 = 0 THEN 'Manu
   ELSE CASE WHEN n = 3 AND page_no = 2 AND doc_id % 2 = 1 THEN 'Section About Them' || chr(10) ELSE '' END || CASE WHEN page_no = 1 THEN 'Name | Days' || chr(10) ELSE '' END || body END AS text FROM page""",
     "rejoined_words": f"""WITH {_LINES}
 SELECT doc_id, page_no, CASE WHEN page_no = n THEN body || ' ' || ([{", ".join(f"'{_Q(b)}'" for _, b in BROKEN)}])[doc_id % {len(BROKEN)} + 1] ELSE body END AS text FROM page""",
+    "sitemap_pages": f"""WITH p AS (SELECT page_id, CAST({SITE} AS INT) AS k, {OWN} AS url FROM pages),
+t AS (SELECT *, epoch(CASE WHEN k % 4 >= 2 THEN TIMESTAMP '2024-03-05' + to_hours((page_id % 10)::INT) ELSE TIMESTAMP '2024-03-01 23:59:59' + to_days((page_id % 9)::INT) END)::BIGINT AS changed FROM p WHERE starts_with(url, 'https://s' || k || '.example')),
+u AS (SELECT k, url, min(page_id) AS first, arg_max(changed, page_id) AS modified FROM t GROUP BY ALL)
+SELECT 'https://s' || k || '.example' || CASE WHEN k % 8 = 1 THEN '/' WHEN k % 4 = 1 THEN '/index.xml' ELSE '/listing.xml' END AS site, row_number() OVER (PARTITION BY k ORDER BY first) AS rank, url, modified FROM u""",
 }
