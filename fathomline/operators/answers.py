@@ -8,20 +8,9 @@ from pyspark.sql import functions as F
 from fathomline.functions import numerals as N
 from fathomline.functions import text as T
 
-#: Stop words of the follow-up test, six languages.
-STOP = "a an and are as at be by for from has have in is it its of on or that the this to was were will with de la le les des du et un une en est que pour dans sur der die das und ist von zu mit den auf für im ein eine el los las y es por con para una di il che della o do da em os não per sono".split()
-#: Words that point back to what was said before.
-POINTING = "it its they them their this that these those he she him her there then one ones same such another else il elle ils elles cela ce ceci lui leur er sie es ihn ihm diese dieser das él ella ellos ellas eso esto".split()
 MARKER = N.MARKER
 
 
-def needs_condense(question: Column) -> Column:
-    """Whether a question leans on what was said before: it points back, or has too few words of its own."""
-    kept = F.filter(T.words(question), lambda w: (F.char_length(w) > 1) | w.rlike(r"\d"))
-    own = F.array_except(F.array_distinct(kept), F.array(*map(F.lit, STOP)))
-    return F.arrays_overlap(T.words(question), F.array(*map(F.lit, POINTING))) | (F.size(own) < 3)
-
-
 def history_tail(turns: DataFrame, keep: int, clip: int, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
     """Each conversation's last keep messages from its first question on; earlier answers cut to clip characters."""
     w = Window.partitionBy(conv)

@@ -101,15 +101,43 @@ def bootstrap(pairs: DataFrame, key: str, delta: str, resamples: int, seed: int)
     return pairs.agg(F.round(F.avg(delta), 9).alias("mean_delta")).crossJoin(bounds).select("mean_delta", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))  # one row each
 
 
-def drop_reason(fused: DataFrame, scored: DataFrame, kept: DataFrame, min_score: float, context: int) -> DataFrame:
-    """Each fused candidate with its scores and what dropped it: not_scored, below_min_score, top_k_cut, context_limit.
+#: What became of a candidate, from the one that got furthest.
+PROGRESS = ("returned", "past_top_k", "near_duplicate", "below_min_score", "not_scored")
 
-    fused: query_id, id, rank; scored: rerank, rerank_rank; kept: kept_rank.
+
+def drop_reason(fused: DataFrame, scored: DataFrame, kept: DataFrame, min_score: float, context: int, near: DataFrame | None = None, cut: DataFrame | None = None, over: DataFrame | None = None) -> DataFrame:
+    """Each fused candidate with its scores and what dropped it; null where it reached the prompt.
+
+    In this order: not_scored, below_min_score, near_duplicate, relative_cut, top_k_cut where it was not kept; context_budget,
+    context_limit where it was. fused: query_id, id, rank; scored: rerank, rerank_rank; kept: kept_rank; near, cut, over:
+    query_id and id of what diversity, the relative floor and the prompt's budget dropped, where such a step ran.
     """
     keys = ["query_id", "id"]
     out = fused.select(*keys, "rank").join(scored.select(*keys, "rerank", "rerank_rank"), keys, "left").join(kept.select(*keys, "kept_rank"), keys, "left")
-    reason = F.when(F.col("rerank").isNull(), "not_scored").when(F.col("rerank") < min_score, "below_min_score").when(F.col("kept_rank").isNull(), "top_k_cut").when(F.col("kept_rank") > context, "context_limit")
-    return out.withColumn("drop_reason", reason)
+    hit = {}
+    for name, rows in (("near_duplicate", near), ("relative_cut", cut), ("context_budget", over)):
+        hit[name] = F.lit(False)
+        if rows is not None:
+            out = out.join(rows.select(*keys).distinct().withColumn(name, F.lit(True)), keys, "left")
+            hit[name] = F.coalesce(F.col(name), F.lit(False))
+    lost = F.when(F.col("rerank").isNull(), "not_scored").when(F.col("rerank") < min_score, "below_min_score").when(hit["near_duplicate"], "near_duplicate").when(hit["relative_cut"], "relative_cut").otherwise("top_k_cut")
+    reason = F.when(F.col("kept_rank").isNull(), lost).when(hit["context_budget"], "context_budget").when(F.col("kept_rank") > context, "context_limit")
+    return out.select(*keys, "rank", "rerank", "rerank_rank", "kept_rank", reason.alias("drop_reason"))
+
+
+def explained(trace: DataFrame, files: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, filename, outcome, id, rank, rerank_rank, returned_rank) of the passage of each asked file that got furthest.
+
+    trace: drop_reason's rows; files: id, filename; asked: query_id, filename. Then the better place in the result, score
+    and fused rank; not_retrieved where a file has no candidate. A passage that the floor left to a weak result is not below it.
+    """
+    outcome = F.when(F.col("kept_rank").isNotNull(), "returned").when(F.col("drop_reason").isin(*PROGRESS[2:]), F.col("drop_reason")).otherwise("past_top_k")
+    far = F.array_position(F.array(*map(F.lit, PROGRESS)), F.col("outcome"))
+    rows = trace.join(files.select("id", "filename"), "id").withColumn("outcome", outcome)
+    order = F.struct(far.alias("far"), F.coalesce("kept_rank", F.lit(0)).alias("place"), (-F.coalesce("rerank", F.lit(0.0))).alias("score"), F.col("rank").alias("fused"), "id", "outcome", "rerank_rank", F.col("kept_rank").alias("returned_rank"))
+    best = rows.groupBy("query_id", "filename").agg(F.min(order).alias("b"))
+    out = asked.select("query_id", "filename").distinct().join(best, ["query_id", "filename"], "left")
+    return out.select("query_id", "filename", F.coalesce("b.outcome", F.lit("not_retrieved")).alias("outcome"), "b.id", F.col("b.fused").alias("rank"), "b.rerank_rank", "b.returned_rank")
 
 
 def trace_diff(a: DataFrame, b: DataFrame, least: float = 0.01) -> DataFrame:

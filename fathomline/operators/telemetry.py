@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,17 +127,20 @@ def packed_parts(passages: DataFrame, doc: str, ordinal: str, size: str, budget:
 
 
 def batch_shares(needs: DataFrame, key: str, doc: str, need: str, most: int) -> DataFrame:
-    """(key, doc, share): how many of most parts each document may use, smallest need first, an even split of the rest.
+    """(key, doc, share): how many of most parts each document may use: what it needs, or an even split of what smaller ones leave.
 
-    A question names few documents, so its shares are one walk.
+    By need, documents take all they need as long as an even split of the rest gives them that; from the first that it
+    doesn't on, the rest is split evenly, the last ones taking one more. Each gets one at least. Two windows over a key's
+    documents, which spill; a null or smaller need counts as one.
     """
-
-    def shares(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([need, doc])
-        left, out = most, []
-        for k, n in enumerate(pdf[need].tolist()):
-            out.append(max(1, min(n, left // (len(pdf) - k))))
-            left -= out[-1]
-        return pd.DataFrame({key: pdf[key], doc: pdf[doc], "share": np.array(out, dtype=np.int64)})
-
-    return needs.groupBy(key).applyInPandas(shares, f"{key} long, {doc} long, share long")
+    asked = F.greatest(F.coalesce(F.col(need), F.lit(1)), F.lit(1)).cast("long")
+    w = Window.partitionBy(key).orderBy("__need", doc)
+    rows = needs.select(key, doc, asked.alias("__need")).withColumn("__place", F.row_number().over(w)).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    rows = rows.withColumn("__rest", F.lit(most) - (F.sum("__need").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__need"))).withColumn("__left", F.col("__n") - F.col("__place") + 1)
+    short = F.when(F.col("__need") > F.floor(F.col("__rest") / F.col("__left")), F.struct("__place", "__rest", "__left"))
+    rows = rows.withColumn("__cut", F.min(short).over(Window.partitionBy(key)))
+    cut = lambda c: F.col(f"__cut.{c}")
+    even, more = F.floor(cut("__rest") / cut("__left")), cut("__rest") % cut("__left")
+    split = even + F.when(F.col("__place") - cut("__place") >= cut("__left") - more, 1).otherwise(0)
+    share = F.when(cut("__place").isNull() | (F.col("__place") < cut("__place")), F.col("__need")).otherwise(F.greatest(split, F.lit(1)))
+    return rows.select(key, doc, share.cast("long").alias("share"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomline.operators import evaluation as E
@@ -110,6 +110,43 @@ def trace_diff(spark: SparkSession, d: str) -> DataFrame:
     return E.trace_diff(traces(spark, d, 0.3), traces(spark, d, 0.5)).select("query_id", F.col("id").alias("vec_id"), "drop_reason_a", "drop_reason_b")
 
 
+#: Of the full trace: how many texts, a relative floor, passages in the prompt and its budget by stand-in sizes.
+TEXTS, FLOOR, RELATIVE, CONTEXT, BUDGET = 12, 0.3, 0.35, 6, 1500
+
+
+def full_trace(spark: SparkSession, d: str) -> DataFrame:
+    """Dense candidates through rerank, diversity, the relative floor and a prompt's budget; texts are equal or unlike, by id.
+
+    The candidates (some fifty rows a query) are read by every step, so they are kept.
+    """
+    v, keys = read(spark, d, "embeddings"), ["query_id", "id"]
+    settings = Settings(rerank_candidates=40, rerank_min_score=FLOOR)
+    fused = R.dense_top(v, dense_queries(v)).persist()
+    scored = R.rerank(fused, F.col("score") * 8 - 2, settings)
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: F.concat(F.lit("word"), F.col("id") % TEXTS * 10 + k)), " ")
+    rich = scored.withColumn("text", text).withColumn("filename", F.lit("f")).withColumn("ordinal", F.lit(0))
+    picked = R.diverse(rich, settings).select(*keys, "rerank", "rerank_rank", F.col("kept_rank").alias("pick"))
+    ends = picked.groupBy("query_id").agg(F.max("rerank_rank").alias("last"), F.count("*").alias("n"))
+    near = scored.filter(F.col("rerank") >= FLOOR).join(picked.select(*keys), keys, "left_anti").join(ends, "query_id").filter((F.col("n") < settings.rerank_top_k) | (F.col("rerank_rank") < F.col("last")))
+    left = R.relative_cut(scored, picked, RELATIVE)
+    kept = left.withColumn("kept_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("pick")).cast("long"))
+    size = F.sum((F.col("id") % 5 + 1) * 100).over(Window.partitionBy("query_id").orderBy("kept_rank"))
+    over = kept.filter(F.col("kept_rank") <= CONTEXT).withColumn("used", size).filter(F.col("used") > BUDGET)
+    return E.drop_reason(fused, scored, kept, FLOOR, CONTEXT, near, picked.join(left.select(*keys), keys, "left_anti"), over)
+
+
+def trace_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return full_trace(spark, d).select("query_id", F.col("id").alias("vec_id"), "rank", "rerank", "kept_rank", "drop_reason")
+
+
+def explained(spark: SparkSession, d: str) -> DataFrame:
+    """What became of eight files in each query: files hold the vectors of one label or, without any candidate, none."""
+    files = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("file"), F.col("vec_id") % 40).alias("filename"))
+    queries = read(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"))
+    asked = queries.select("query_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.concat(F.lit("file"), k * 7))).alias("filename"))
+    return E.explained(full_trace(spark, d), files, asked).withColumnRenamed("id", "vec_id")
+
+
 def even_sample(spark: SparkSession, d: str) -> DataFrame:
     """Seven lines of each document, spread from its first to its last."""
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"\S"))
@@ -148,9 +185,20 @@ def trace_sql(name: str, floor: float) -> str:
 SCORED40 = """
 scored40 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, score DESC, id) AS rerank_rank FROM (SELECT *, round(1 / (1 + exp(-(score * 8 - 2))), 6) AS rerank FROM dense WHERE rank <= 40))"""
 
+FULL = f"""
+el AS (SELECT *, id % {TEXTS} AS t FROM scored40 WHERE rerank >= {FLOOR}),
+pick AS (SELECT * FROM (SELECT query_id, id, rerank, rerank_rank, row_number() OVER (PARTITION BY query_id ORDER BY rerank_rank) AS pick FROM (SELECT *, row_number() OVER (PARTITION BY query_id, t ORDER BY rerank_rank) AS o FROM el) WHERE o = 1) WHERE pick <= 8),
+fin AS (SELECT query_id, max(rerank_rank) AS last, count(*) AS n FROM pick GROUP BY 1),
+lev AS (SELECT query_id, quantile_cont(rerank, 0.5) AS med, max(rerank) AS top FROM scored40 GROUP BY 1),
+kept AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY pick) AS kept_rank FROM pick JOIN lev USING (query_id) JOIN fin USING (query_id) WHERE pick <= 2 OR n <= 2 OR top - med <= 1e-9 OR (rerank - med) / (top - med) >= {RELATIVE}),
+used AS (SELECT *, sum((id % 5 + 1) * 100) OVER (PARTITION BY query_id ORDER BY kept_rank) AS used FROM kept),
+trace AS (SELECT d.query_id, d.id, d.rank, s.rerank, s.rerank_rank, k.kept_rank, CASE WHEN k.kept_rank IS NOT NULL THEN CASE WHEN k.kept_rank <= {CONTEXT} AND k.used > {BUDGET} THEN 'context_budget' WHEN k.kept_rank > {CONTEXT} THEN 'context_limit' END
+    WHEN s.rerank IS NULL THEN 'not_scored' WHEN s.rerank < {FLOOR} THEN 'below_min_score' WHEN p.pick IS NOT NULL THEN 'relative_cut' WHEN n < 8 OR s.rerank_rank < last THEN 'near_duplicate' ELSE 'top_k_cut' END AS drop_reason
+  FROM dense d LEFT JOIN scored40 s USING (query_id, id) LEFT JOIN used k USING (query_id, id) LEFT JOIN pick p USING (query_id, id) LEFT JOIN fin USING (query_id))"""
+
 STEPS = "0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183"
 
-QUERIES = {f.__name__: f for f in (ir_metrics, metrics_by_group, score_histogram, best_bar, calibrated_bar, score_report, sweep_grid, run_diff, metric_gate, bootstrap, trace_assembly, trace_diff, even_sample)}
+QUERIES = {f.__name__: f for f in (ir_metrics, metrics_by_group, score_histogram, best_bar, calibrated_bar, score_report, sweep_grid, run_diff, metric_gate, bootstrap, trace_assembly, trace_diff, trace_reasons, explained, even_sample)}
 
 ORACLE = {
     "ir_metrics": f"WITH {JUDGED} {metrics_sql()}",
@@ -184,6 +232,12 @@ SELECT (SELECT round(avg(delta), 9) FROM pairs) AS mean_delta, round(quantile_di
     "trace_assembly": f"WITH {dense_sql()}, {SCORED40}, {trace_sql('t', 0.3)} SELECT query_id, id AS vec_id, rank, rerank, drop_reason FROM t",
     "trace_diff": f"""WITH {dense_sql()}, {SCORED40}, {trace_sql("a", 0.3)}, {trace_sql("b", 0.5)}
 SELECT a.query_id, a.id AS vec_id, a.drop_reason AS drop_reason_a, b.drop_reason AS drop_reason_b FROM a JOIN b ON a.query_id = b.query_id AND a.id = b.id WHERE a.drop_reason IS DISTINCT FROM b.drop_reason""",
+    "trace_reasons": f"WITH {dense_sql()}, {SCORED40}, {FULL} SELECT query_id, id AS vec_id, rank, rerank, kept_rank, drop_reason FROM trace",
+    "explained": f"""WITH {dense_sql()}, {SCORED40}, {FULL},
+c AS (SELECT *, 'file' || id % 40 AS filename, CASE WHEN kept_rank IS NOT NULL THEN 'returned' WHEN drop_reason IN ('near_duplicate', 'below_min_score', 'not_scored') THEN drop_reason ELSE 'past_top_k' END AS outcome FROM trace),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY query_id, filename ORDER BY list_position(['returned', 'past_top_k', 'near_duplicate', 'below_min_score', 'not_scored'], outcome), coalesce(kept_rank, 0), coalesce(rerank, 0) DESC, rank) = 1),
+a AS (SELECT vec_id AS query_id, 'file' || k * 7 AS filename FROM embeddings, range(8) t(k) WHERE vec_id % 20 = 0)
+SELECT query_id, filename, coalesce(outcome, 'not_retrieved') AS outcome, id AS vec_id, rank, rerank_rank, kept_rank AS returned_rank FROM a LEFT JOIN b USING (query_id, filename)""",
     "even_sample": r"""WITH n AS (SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')))::BIGINT AS n FROM documents)
 SELECT doc_id, unnest(CASE WHEN n <= 7 THEN range(n) ELSE list_distinct(list_transform(range(7), lambda p: round_even(p * (n - 1) / 6.0, 0)::BIGINT)) END) AS position FROM n WHERE n > 0""",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.functions import numerals as N
+from fathomline.functions import questions as Q
 from fathomline.functions import refusals as R
 from fathomline.functions import text as T
 from fathomline.operators import corpus as C
@@ -127,6 +128,32 @@ def answer_statuses(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("answer_id", R.status(F.col("answer"), F.col("sources")).alias("status"), R.needs_retry(F.col("answer"), F.col("sources")).alias("retry"))
 
 
+#: SQL that both engines read: turns under openings by their ids, every second one cut to its first words.
+OPENING = ["", "And ", "What about ", "Explain ", "Und wie lange dauert das ", "Comment coûte-t-elle ", "它是什么", "請假規定有哪些細節說明", "its own ", "Why not "]
+QUESTION = f"""CASE CAST((conv_id * 3 + turn) % {len(OPENING)} AS INT) {" ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(OPENING))} END
+|| CASE WHEN conv_id % 2 = 0 THEN text ELSE split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) END"""
+
+
+def needs_condense(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "conversations").select("conv_id", "turn", F.expr(QUESTION).alias("q"))
+    return c.select("conv_id", "turn", Q.needs_condense(F.col("q")).alias("needs"), T.asks_about_the_past(F.col("q")).alias("past"))
+
+
+#: Replies of a rewriting model around a question q, and the note on each.
+REPLIES = [
+    ("", "", None), ('"', '"', None), ("Standalone question: ", "", "cleaned"), ("Sure, here is the rewritten question:\n\n  “", "”", "cleaned"), ("Here's it: **", "**\nBecause of this", "cleaned"),
+    ("the search query : `", "`", "cleaned"), (" \r\n ' ", " '", "cleaned"), (None, None, "empty"), ("x" * 401, "", "rejected: longer than a question"),
+]
+
+
+def condensed(spark: SparkSession, d: str) -> DataFrame:
+    """Questions as a model would give them back: as they are, quoted, labelled, after a lead-in, not at all, or as an answer."""
+    q = F.regexp_replace(F.regexp_extract("text", r"^([^\n.]{1,80})", 1), "^[^A-Za-z]+|[^A-Za-z]+$", "")
+    c = read(spark, d, "conversations").select("conv_id", "turn", q.alias("q"), ((F.col("conv_id") + F.col("turn")) % len(REPLIES)).cast("int").alias("k")).filter("q <> ''")
+    around = lambda j: F.get(F.array(*[F.lit(x[j]) for x in REPLIES]), F.col("k"))
+    return c.select("conv_id", "turn", Q.condensed(F.concat(around(0), "q", around(1)), F.col("q")).alias("c")).select("conv_id", "turn", "c.query", "c.note")
+
+
 # --- the same in DuckDB ---------------------------------------------------------------------------------------------
 
 _W = r"[\p{L}\p{N}_]+"
@@ -176,7 +203,10 @@ cand AS (SELECT a.key, a.claim_no, a.c, b.start, b.stop, b.w FROM asked a JOIN b
 best AS (SELECT key, claim_no, len(list_intersect(c, w)) / len(c) AS cover, len(w) AS n, start, stop FROM cand WHERE len(list_intersect(c, w)) >= 2 AND len(list_intersect(c, w)) / len(c) >= 0.3
   QUALIFY row_number() OVER (PARTITION BY key, claim_no ORDER BY cover DESC, n, start, stop) = 1)"""
 
-QUERIES = {f.__name__: f for f in (number_words, answer_spans, claim_support, query_spans, unsupported_numbers, answer_statuses)}
+_WORDS = lambda table: _LIST(["".join(x).replace("'", "''") for x in dict.fromkeys(w for ws in table.values() for w in ws.split())])
+_CJK = T.CJK
+
+QUERIES = {f.__name__: f for f in (number_words, answer_spans, claim_support, query_spans, unsupported_numbers, answer_statuses, needs_condense, condensed)}
 ORACLE = {
     "number_words": f"""WITH RECURSIVE t AS (SELECT doc_id AS key, {NUMBERED} AS text FROM documents), {_FOLDED}
 SELECT key AS doc_id, count(*) AS n_words, count(DISTINCT w) FILTER ((length(w) > 1 OR regexp_matches(w, '^[0-9]+$')) AND NOT list_contains({_STOPS}, w)) AS n_content,
@@ -201,4 +231,11 @@ SELECT item_id AS query_id, doc_id AS passage_id, row_number() OVER (PARTITION B
     "unsupported_numbers": """SELECT conv_id * 100 + turn AS answer_id, ((conv_id % 3 = 0)::INT + (conv_id % 2 <> 0)::INT + (turn % 4 <> 1)::INT)::BIGINT AS unsupported FROM conversations WHERE role = 'assistant'""",
     "answer_statuses": f"""SELECT conv_id * 100 + turn AS answer_id, x.s AS status, x.s = 'uncited' AND x.n > 0 AS retry
 FROM (SELECT *, ([{", ".join(f"{{'n': {n}, 's': '{s}'}}" for *_, n, s in CASES)}])[(conv_id * 7 + turn) % {len(CASES)} + 1] AS x FROM conversations)""",
+    "needs_condense": rf"""WITH q AS (SELECT conv_id, turn, {QUESTION} AS q FROM conversations),
+w AS (SELECT *, regexp_extract_all(lower(q), '\p{{L}}+(?:-\p{{L}}+)*') AS w, string_split(array_to_string(regexp_extract_all(lower(q), '\p{{L}}+'), ' '), ' ') AS p, array_to_string(regexp_extract_all(q, '{_CJK}'), '') AS c FROM q)
+SELECT conv_id, turn, len(list_intersect(p, {_LIST(Q.CARRYING)})) > 0 OR len(list_intersect(p, {_WORDS(Q.POINTING)})) > 0 OR regexp_matches(c, '{"|".join(Q.POINTING_CJK)}') OR list_contains({_LIST(Q.FIRST)}, w[1]) OR list_contains({_LIST(Q.OPENINGS)}, w[1] || ' ' || w[2])
+  OR len(list_filter(w, lambda x: NOT list_contains({_WORDS(Q.EMPTY)}, x) AND NOT regexp_matches(x, '{_CJK}'))) + length(c) // 2 < 3 AS needs,
+  regexp_matches(lower(q), '\b(19|20)\d\d\b|\b(previous|previously|former|formerly|old|older|earlier|original|originally|used to|back then|last year|in the past)\b') AS past FROM w""",
+    "condensed": rf"""WITH q AS (SELECT conv_id, turn, (conv_id + turn) % {len(REPLIES)} AS k, regexp_replace(regexp_extract(text, '^([^\n.]{{1,80}})', 1), '^[^A-Za-z]+|[^A-Za-z]+$', '', 'g') AS q FROM conversations)
+SELECT conv_id, turn, CASE WHEN k IN (7, 8) THEN '' ELSE q END AS query, ([{", ".join("NULL" if n is None else f"'{n}'" for *_, n in REPLIES)}])[k + 1] AS note FROM q WHERE q <> ''""",
 }

@@ -122,11 +122,6 @@ def exchanges(spark: SparkSession, d: str) -> DataFrame:
     return A.exchanges(read(spark, d, "conversations")).select("conv_id", "turn", F.char_length("question").cast("long").alias("question_chars"), F.char_length("answer").cast("long").alias("answer_chars"))
 
 
-def needs_condense(spark: SparkSession, d: str) -> DataFrame:
-    c = read(spark, d, "conversations").filter("role = 'user'")
-    return c.select("conv_id", "turn", A.needs_condense(F.col("text")).alias("needs"), T.asks_about_the_past(F.col("text")).alias("past"))
-
-
 def answers(spark: SparkSession, d: str) -> DataFrame:
     """Assistant turns as answers that cite sources by markers made from their turn."""
     c = read(spark, d, "conversations").filter("role = 'assistant'")
@@ -164,7 +159,7 @@ def summary_parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def batch_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Twelve parts shared among the conversations of a question."""
+    """Twelve parts shared among the conversations of a question, fewer than there are among all of them."""
     n = read(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("need")).withColumn("question", (F.col("conv_id") / 5).cast("long"))
     return M.batch_shares(n, "question", "conv_id", "need", 12)
 
@@ -205,7 +200,7 @@ s AS (SELECT *, sum(fresh) OVER (PARTITION BY {key} ORDER BY ts, event_id) AS se
 
 QUERIES = {
     f.__name__: f
-    for f in (latency_summary, tumbling, sliding, sessions, latest_per_key, latest_turns, retention, usage_totals, props_extract, outcome_tallies, job_states, late_writes, backoff_due, due_queue, token_bucket, throttled, cache_hits, shared_runs, admitted, history_tail, exchanges, needs_condense, citations_used, cited_sources, claims_by_source, backfilled, fact_checks, continuations, summary_parts, batch_shares)
+    for f in (latency_summary, tumbling, sliding, sessions, latest_per_key, latest_turns, retention, usage_totals, props_extract, outcome_tallies, job_states, late_writes, backoff_due, due_queue, token_bucket, throttled, cache_hits, shared_runs, admitted, history_tail, exchanges, citations_used, cited_sources, claims_by_source, backfilled, fact_checks, continuations, summary_parts, batch_shares)
 }
 
 ORACLE = {
@@ -229,9 +224,6 @@ ORACLE = {
 SELECT conv_id, turn, role, CASE WHEN role = 'assistant' THEN left(text, 100) ELSE text END AS text FROM b WHERE turn >= b QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4""",
     "exchanges": """WITH n AS (SELECT *, lead(text) OVER w AS answer, lead(role) OVER w AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
 SELECT conv_id, turn, length(text) AS question_chars, length(answer) AS answer_chars FROM n WHERE role = 'user' AND next = 'assistant'""",
-    "needs_condense": rf"""WITH w AS (SELECT conv_id, turn, text, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM conversations WHERE role = 'user')
-SELECT conv_id, turn, len(list_intersect(w, {A.POINTING})) > 0 OR len(list_filter(list_distinct(list_filter(w, lambda x: length(x) > 1 OR regexp_matches(x, '\d'))), lambda x: NOT list_contains({A.STOP}, x))) < 3 AS needs,
-  regexp_matches(lower(text), '\b(19|20)\d\d\b|\b(previous|previously|former|formerly|old|older|earlier|original|originally|used to|back then|last year|in the past)\b') AS past FROM w""",
     "citations_used": f"""WITH {ANSWERS}, {CITED} SELECT answer_id, array_to_string(list_filter(marks, lambda x: x <= 5 OR x = turn + 1 AND x <= 5), ',') AS cited,
   CASE WHEN len(list_filter(marks, lambda x: x <= 5)) > 0 THEN 'answered' ELSE 'uncited' END AS status FROM cited""",
     "cited_sources": f"""WITH {ANSWERS}, {CITED}, m AS (SELECT answer_id, conv_id, turn, unnest(marks) AS source_number FROM cited)
@@ -239,5 +231,10 @@ SELECT answer_id, source_number FROM m WHERE EXISTS (SELECT 1 FROM conversations
     "claims_by_source": r"""WITH s AS (SELECT conv_id * 100 + turn AS answer_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?。！？])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: regexp_matches(x, '\S')) AS l
 FROM conversations WHERE role = 'assistant')
 SELECT answer_id, unnest(range(len(l))) AS sentence_no, unnest(list_transform(l, lambda x: length(x) % 7 + 1)) AS source_number FROM s""",
+    "batch_shares": """WITH n AS (SELECT conv_id, floor(conv_id / 5)::BIGINT AS question, greatest(count(*), 1) AS need FROM conversations GROUP BY 1),
+o AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY question) AS k FROM n WINDOW w AS (PARTITION BY question ORDER BY need, conv_id)),
+r AS (WITH RECURSIVE f AS (SELECT question, conv_id, i, k, greatest(1, least(need, 12 // k)) AS share, 12 - greatest(1, least(need, 12 // k)) AS remaining FROM o WHERE i = 1
+  UNION ALL SELECT o.question, o.conv_id, o.i, o.k, greatest(1, least(o.need, f.remaining // (o.k - o.i + 1))), f.remaining - greatest(1, least(o.need, f.remaining // (o.k - o.i + 1))) FROM f JOIN o ON o.question = f.question AND o.i = f.i + 1) SELECT * FROM f)
+SELECT question, conv_id, share::BIGINT AS share FROM r""",
     "continuations": f"WITH {ANSWERS} SELECT answer_id, true AS whole FROM answers WHERE length(answer) > 60",
 }

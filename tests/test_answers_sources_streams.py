@@ -1,6 +1,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
+from fathomline.functions import questions as Q
 from fathomline.operators import answers as A
 from fathomline.operators import maintenance as M
 from fathomline.operators import telemetry as L
@@ -24,7 +25,7 @@ def test_continuation_keeps_a_repeated_tail_once(spark):
 
 
 def test_condense_and_history(spark):
-    r = one(spark, a=A.needs_condense(F.lit("What about it?")), b=A.needs_condense(F.lit("How many vacation days do engineers receive yearly")))
+    r = one(spark, a=Q.needs_condense(F.lit("What about it?")), b=Q.needs_condense(F.lit("How many vacation days do engineers receive yearly")))
     assert tuple(r) == (True, False)
     t = spark.createDataFrame([(1, 0, "assistant", "hi"), (1, 1, "user", "q"), (1, 2, "assistant", "x" * 50)], "conv_id long, turn long, role string, text string")
     assert [(x.turn, len(x.text)) for x in A.history_tail(t, 5, 10).orderBy("turn").collect()] == [(1, 1), (2, 10)]
