@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fathomline.operators import pages as P
 from fathomline.operators import sites
 from fathomline.operators import structured as S
+from fathomline.sources import files
 from fathomline.sources.tables import read
 
 #: SQL that both engines read: events as nested objects, arrays, scalars and broken texts, by id.
@@ -103,6 +104,17 @@ def sitemap_pages(spark: SparkSession, d: str) -> DataFrame:
     return found.select("site", "rank", "url", F.unix_seconds("modified").alias("modified"))
 
 
+def sniffed_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers in files of twenty, each with its own delimiter; quoted cells hold all of them, one row has a cell too many."""
+    s = read(spark, d, "supplier").withColumn("k", F.floor(F.col("s_suppkey") / 20).cast("int"))
+    mark = F.get(F.array(*[F.lit(x) for x in files.DELIMITERS]), F.col("k") % 4)
+    cells = F.array(F.col("s_suppkey").cast("string"), F.concat(F.lit('"'), "s_name", F.lit(', ""a"";|b"')), F.when(F.col("s_suppkey") % 3 > 0, F.col("s_nationkey").cast("string")).otherwise(""), F.when(F.col("s_suppkey") % 20 == 7, "over"))
+    rows = s.select("k", mark.alias("mark"), "s_suppkey", F.array_compact(cells).alias("cells")).select("k", "mark", "s_suppkey", F.expr("array_join(cells, mark)").alias("line")).groupBy("k", "mark")
+    body = rows.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", "line"))), lambda x: x["line"]), "\n\n").alias("body"))  # twenty at most
+    texts = body.select(F.concat(F.lit("file"), "k").alias("name"), F.concat(F.lit("id"), "mark", F.lit("name"), "mark", F.lit("nation\n"), "body").alias("text"))
+    return files.delimited(texts, delimiter=None).select("name", "section", "text")
+
+
 _WALK = """
 root AS (SELECT event_id AS doc_id, TRY_CAST(text AS JSON) AS j FROM (SELECT event_id, {JSON} AS text FROM events)),
 top AS (SELECT doc_id, CASE json_type(j) WHEN 'OBJECT' THEN e.key WHEN 'ARRAY' THEN 'Item ' || (e.key::INT + 1) ELSE 'Value' END AS section, CASE WHEN json_type(j) IN ('OBJECT', 'ARRAY') THEN e.value ELSE j END AS v, [coalesce(e.id, 0)::BIGINT] AS ord
@@ -117,7 +129,7 @@ lines AS (SELECT doc_id, list_transform(list_filter(list_transform(string_split(
 page AS (SELECT doc_id, ceil(len(l) / {PAGE})::INT AS n, p::INT AS page_no, array_to_string(l[(p - 1) * {PAGE} + 1:p * {PAGE}], chr(10)) AS body FROM lines, unnest(range(1, ceil(len(l) / {PAGE})::INT + 1)) AS u(p))"""
 _Q = lambda s: s.replace("'", "''").replace("\n", "' || chr(10) || '")
 
-QUERIES = {f.__name__: f for f in (json_paths, xml_text, notebook_cells, running_lines, rejoined_words, sitemap_pages)}
+QUERIES = {f.__name__: f for f in (json_paths, xml_text, notebook_cells, running_lines, rejoined_words, sitemap_pages, sniffed_rows)}
 ORACLE = {
     "json_paths": f"WITH RECURSIVE {_WALK.replace('{JSON}', JSON)} SELECT doc_id, section, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS line_no, trim(regexp_replace(path || ': ' || told, '\\s+', ' ', 'g')) AS line FROM leaf",
     "xml_text": r"""WITH t AS (SELECT doc_id, [doc_id::VARCHAR] || list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))) || [left(source, 3) || ' < &amp;', '日'] AS l FROM documents WHERE text IS NOT NULL AND doc_id % 11 <> 3),
@@ -135,4 +147,7 @@ SELECT doc_id, page_no, CASE WHEN page_no = n THEN body || ' ' || ([{", ".join(f
 t AS (SELECT *, epoch(CASE WHEN k % 4 >= 2 THEN TIMESTAMP '2024-03-05' + to_hours((page_id % 10)::INT) ELSE TIMESTAMP '2024-03-01 23:59:59' + to_days((page_id % 9)::INT) END)::BIGINT AS changed FROM p WHERE starts_with(url, 'https://s' || k || '.example')),
 u AS (SELECT k, url, min(page_id) AS first, arg_max(changed, page_id) AS modified FROM t GROUP BY ALL)
 SELECT 'https://s' || k || '.example' || CASE WHEN k % 8 = 1 THEN '/' WHEN k % 4 = 1 THEN '/index.xml' ELSE '/listing.xml' END AS site, row_number() OVER (PARTITION BY k ORDER BY first) AS rank, url, modified FROM u""",
+    "sniffed_rows": """WITH r AS (SELECT floor(s_suppkey / 20)::INT AS k, s_suppkey, row_number() OVER (PARTITION BY floor(s_suppkey / 20) ORDER BY s_suppkey) AS i,
+  'id: ' || s_suppkey || '; name: ' || s_name || ', "a";|b' || CASE WHEN s_suppkey % 3 > 0 THEN '; nation: ' || s_nationkey ELSE '' END || CASE WHEN s_suppkey % 20 = 7 THEN '; col4: over' ELSE '' END AS line FROM supplier)
+SELECT 'file' || k AS name, 'Rows ' || min(i * 2) || '-' || max(i * 2) AS section, string_agg(line, chr(10) ORDER BY i) AS text FROM r GROUP BY k""",
 }

@@ -78,19 +78,54 @@ def subtitles(texts: DataFrame) -> DataFrame:
     return out.select("name", (F.col("minute") + 1).alias("page"), F.col("minute").alias("ordinal"), F.format_string("minute %d", "minute").alias("section"), "text")
 
 
+#: What may stand between cells. Characters that are looked at; the share of lines that must agree.
+DELIMITERS, LOOKED_AT, AGREE = (",", ";", "\t", "|"), 2048, 0.7
+
+
+def sniffed(text: Column) -> Column:
+    """The delimiter of a text of rows: the one of which most lines hold the same number, above none, outside quotes; else a comma.
+
+    Of equals the one with more cells, then the order of DELIMITERS. A line that the look cuts short doesn't count.
+    """
+    t = F.coalesce(text, F.lit(""))
+    head = F.when(F.char_length(t) > LOOKED_AT, F.regexp_replace(F.substring(t, 1, LOOKED_AT), r"\n[^\n]*$", "")).otherwise(t)
+    lines = F.filter(F.split(F.regexp_replace(head, r'"(?:[^"]|"")*+"', ""), r"\r?\n"), lambda x: x.rlike(r"\S"))
+
+    def score(d: str, place: int) -> Column:
+        counts = F.transform(lines, lambda x: F.char_length(x) - F.char_length(F.replace(x, F.lit(d), F.lit(""))))
+        return F.transform(F.filter(F.array_distinct(counts), lambda n: n > 0), lambda n: F.struct((F.size(F.filter(counts, lambda c: c == n)) / F.size(counts)).alias("share"), n.alias("n"), F.lit(-place).alias("place"), F.lit(d).alias("d")))
+
+    best = F.array_max(F.filter(F.concat(*[score(d, k) for k, d in enumerate(DELIMITERS)]), lambda s: s["share"] >= AGREE))
+    return F.coalesce(best["d"], F.lit(","))
+
+
 def fields(line: Column, delimiter: str = ",") -> Column:
     """The cells of a delimited line; quoted ones may hold the delimiter and doubled quotes."""
-    raw = F.regexp_extract_all(F.concat(line, F.lit(delimiter)), F.lit(rf'("(?:[^"]|"")*"|[^{delimiter}]*){delimiter}'))
+    d = f"[{delimiter}]"
+    raw = F.regexp_extract_all(F.concat(line, F.lit(delimiter)), F.lit(rf'("(?:[^"]|"")*"|[^{delimiter}]*){d}'))
     return F.transform(raw, lambda c: F.when(c.startswith('"'), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(F.trim(c)))
 
 
-def delimited(texts: DataFrame, rows_per_section: int = 50, delimiter: str = ",") -> DataFrame:
-    """Rows as "column: value; …" lines under the first line that isn't blank, by spreadsheet row numbers; blank rows count."""
-    lines = _lines(texts).filter(F.col("line").rlike(r"\S"))
+def delimited(texts: DataFrame, rows_per_section: int = 50, delimiter: str | None = ",") -> DataFrame:
+    """Rows as "column: value; …" lines under the first line that isn't blank, by spreadsheet row numbers; blank rows count.
+
+    delimiter None: each file's own is found. A cell without a column is named by its place; empty cells are left out.
+    """
+    own = texts.select("name", "text", (sniffed(F.col("text")) if delimiter is None else F.lit(delimiter)).alias("delimiter"))
+    lines = _lines(texts).filter(F.col("line").rlike(r"\S")).join(own.select("name", "delimiter"), "name")
     heads = lines.groupBy("name").agg(F.min_by("line", "pos").alias("head"), F.min("pos").alias("first"))
-    rows = lines.join(heads, "name").filter("pos > first").select("name", "pos", F.arrays_zip(fields(F.col("head"), delimiter).alias("h"), fields(F.col("line"), delimiter).alias("v")).alias("cells"))
-    shown = F.array_join(F.transform(F.filter("cells", lambda c: F.coalesce(c["v"], F.lit("")) != ""), lambda c: F.concat(c["h"], F.lit(": "), c["v"])), "; ")
-    rows = rows.select("name", "pos", shown.alias("line"), F.floor((F.col("pos") - 1) / rows_per_section).alias("ordinal"))
+    kinds = DELIMITERS if delimiter is None else (delimiter,)
+
+    def cells(c: str) -> Column:
+        out = fields(F.col(c), kinds[0])
+        for d in kinds[1:]:
+            out = F.when(F.col("delimiter") == d, fields(F.col(c), d)).otherwise(out)
+        return out
+
+    rows = lines.join(heads, "name").filter("pos > first").select("name", "pos", F.zip_with(cells("line"), cells("head"), lambda v, h: F.struct(v.alias("v"), h.alias("h"))).alias("cells"))
+    named = F.transform("cells", lambda c, i: F.struct(c["v"].alias("v"), F.when(F.coalesce(c["h"], F.lit("")) == "", F.concat(F.lit("col"), i + 1)).otherwise(c["h"]).alias("h")))
+    shown = F.array_join(F.transform(F.filter(named, lambda c: F.coalesce(c["v"], F.lit("")) != ""), lambda c: F.concat(c["h"], F.lit(": "), c["v"])), "; ")
+    rows = rows.select("name", "pos", shown.alias("line"), F.floor((F.col("pos") - 1) / rows_per_section).alias("ordinal")).filter("line <> ''")
     edges = rows.groupBy("name", "ordinal").agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
     return _joined(rows, ["ordinal"]).join(edges, ["name", "ordinal"]).select("name", F.lit(1).cast("long").alias("page"), "ordinal", F.format_string("Rows %d-%d", F.col("a") + 1, F.col("b") + 1).alias("section"), "text")
 
