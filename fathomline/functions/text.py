@@ -150,10 +150,30 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, SENTENCE_END), lambda s: F.trim(s)), lambda s: s.rlike(r"\S"))
 
 
-def without_overlap(before: Column, after: Column, least: int = 20) -> Column:
-    """after without its beginning where before ends with it: the shortest such overlap of whole words, least characters up."""
-    sizes = F.filter(F.sequence(F.lit(least), F.greatest(F.lit(least), F.least(F.char_length(before), F.char_length(after)))), lambda n: (F.char_length(before) >= n) & (F.char_length(after) >= n) & (F.right(before, n) == F.left(after, n)) & F.substring(after, n + 1, F.lit(1)).rlike(r"^(\W|$)"))
-    cut = F.coalesce(F.get(sizes, F.lit(0)), F.lit(0))
+#: Characters that an overlap has at least, and a token of it at most.
+LEAST_OVERLAP, TOKEN_CHARS = 20, 10
+
+
+def without_overlap(before: Column, after: Column, tokens: int = 100, least: int = LEAST_OVERLAP) -> Column:
+    """after without its beginning where before ends with it: the shortest such overlap of whole words, least characters up.
+
+    Both edges of the overlap are word edges. It has at most TOKEN_CHARS for each of the tokens that passages may share, so
+    the work for a pair is bounded however long its texts are; in repetitive text a short overlap cuts too little, not too much.
+    """
+    limit = F.least(F.char_length(before), F.char_length(after), F.lit(tokens * TOKEN_CHARS))
+    ends = F.struct(F.right(F.concat(F.lit(" "), before), limit + 1).alias("tail"), F.substring(F.concat(after, F.lit(" ")), F.lit(1), limit + 1).alias("head"), limit.alias("limit"), F.left(after, F.lit(least)).alias("begin"))
+
+    def sizes(e: Column) -> Column:
+        m = e["limit"] + 1
+
+        def overlaps(n: Column) -> Column:
+            edges = F.substring(e["tail"], m - n, F.lit(1)).rlike(r"\s") & F.substring(e["head"], n + 1, F.lit(1)).rlike(r"\s")
+            return (n < m) & (F.substring(e["tail"], m - n + 1, F.lit(least)) == e["begin"]) & edges & (F.right(e["tail"], n) == F.left(e["head"], n))
+
+        return F.filter(F.sequence(F.lit(least), F.greatest(F.lit(least), e["limit"])), overlaps)
+
+    # bound as a variable, or each size would cut both texts again
+    cut = F.coalesce(F.get(F.transform(F.array(ends), sizes)[0], F.lit(0)), F.lit(0))
     return F.when(cut > 0, F.ltrim(F.substring(after, cut + 1, F.lit(1 << 30)))).otherwise(after)
 
 

@@ -122,4 +122,9 @@ SELECT CASE WHEN id % 4 = 0 THEN 'new' WHEN id * 7919 % 1000 > id * 104729 % 100
     "source_numbers": "SELECT conv_id // 5 AS question, conv_id, turn, row_number() OVER (PARTITION BY conv_id // 5 ORDER BY conv_id, turn) AS number FROM conversations",
     "vector_reuse": "SELECT vec_id AS point_id, vec_id % 5 <> 0 AND label <> 4 AND len(embedding) = 64 AS reused FROM embeddings",
     "latest_ratings": "SELECT lower(event_type || ' ' || user_id // 10) AS question, event_id, value >= 10 AS up FROM events QUALIFY row_number() OVER (PARTITION BY lower(event_type || ' ' || user_id // 10) ORDER BY ts DESC, event_id DESC) = 1",
+    "merged_sections": r"""WITH RECURSIVE l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')) AS l FROM documents),
+s AS (SELECT doc_id, i, len(string_split(trim(regexp_replace(l[i], '\s+', ' ', 'g')), ' ')) AS words FROM l, unnest(range(1, len(l) + 1)) AS u(i)),
+f AS (SELECT doc_id, i, 1::BIGINT AS section, words AS held FROM s WHERE i = 1
+  UNION ALL SELECT s.doc_id, s.i, f.section + (f.held >= 40)::INT, CASE WHEN f.held >= 40 THEN s.words ELSE f.held + s.words END FROM f JOIN s ON s.doc_id = f.doc_id AND s.i = f.i + 1)
+SELECT doc_id, i::INT AS ordinal, section FROM f""",
 }

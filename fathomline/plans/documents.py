@@ -151,11 +151,15 @@ def sentence_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def overlaps(spark: SparkSession, d: str) -> DataFrame:
-    """Windows of sentences and what is new in each against the one before."""
-    w = P.chunks(read(spark, d, "documents"))
-    before = w.select("doc_id", (F.col("ordinal") + 1).alias("ordinal"), F.col("text").alias("before"))
-    both = w.join(before, ["doc_id", "ordinal"])
-    return both.select("doc_id", "ordinal", F.char_length("text").cast("long").alias("n_chars"), F.char_length(T.without_overlap(F.col("before"), F.col("text"))).cast("long").alias("new_chars"))
+    """Each document's lines with the words of the line before put in front, whole, half, or glued to another word by the line's number."""
+    line = F.posexplode_outer(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != ""))
+    rows = read(spark, d, "documents").select("doc_id", line.alias("ordinal", "body")).filter("body IS NOT NULL")
+    before = rows.select("doc_id", (F.col("ordinal") + 1).alias("ordinal"), F.col("body").alias("before"))
+    both = rows.join(before, ["doc_id", "ordinal"])
+    half = F.regexp_replace(F.right("before", F.lit(60)), r"^\S*\s+", "")
+    put = F.when(F.col("ordinal") % 4 == 0, F.concat("before", F.lit(" "))).when(F.col("ordinal") % 4 == 1, F.concat(half, F.lit(" "))).when(F.col("ordinal") % 4 == 2, F.concat(half, F.lit("x"))).otherwise("")
+    new = T.without_overlap(F.col("before"), F.concat(put, F.lit("= "), "body"))
+    return both.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), F.char_length(F.concat(put, F.lit("= "), "body")).cast("long").alias("n_chars"), F.char_length(new).cast("long").alias("new_chars"))
 
 
 def name_problems(spark: SparkSession, d: str) -> DataFrame:
@@ -251,4 +255,9 @@ SELECT doc_id, len(l) AS sentences, list_max(list_transform(l, lambda x: length(
     "front_matter": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN lang || '|' || source WHEN 1 THEN lang || '|b c' ELSE '' END AS tags FROM documents",
     "upserted": "SELECT doc_id, source, n_chars + CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 0 END AS n_chars FROM documents",
     "url_redaction": "SELECT regexp_replace(url, '[?#].*$', '') AS url, count(*) AS pages FROM pages GROUP BY 1",
+    "overlaps": r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM documents),
+b AS (SELECT doc_id, i - 1 AS ordinal, l[i] AS body, l[i - 1] AS before, regexp_replace(right(l[i - 1], 60), '^\S*\s+', '') AS half FROM l, unnest(range(2, len(l) + 1)) AS u(i)),
+p AS (SELECT *, CASE ordinal % 4 WHEN 0 THEN before || ' ' WHEN 1 THEN half || ' ' WHEN 2 THEN half || 'x' ELSE '' END || '= ' || body AS after FROM b),
+f AS (SELECT *, list_filter(range(20, least(length(before), length(after), 1000) + 1), lambda n: right(before, n) = left(after, n) AND (n = length(after) OR regexp_matches(after[n + 1], '\s')) AND (n = length(before) OR regexp_matches(before[length(before) - n], '\s'))) AS c FROM p)
+SELECT doc_id, ordinal, length(after) AS n_chars, CASE WHEN len(c) > 0 THEN length(ltrim(substr(after, c[1] + 1))) ELSE length(after) END AS new_chars FROM f""",
 }

@@ -238,4 +238,10 @@ SELECT conv_id, turn, len(list_intersect(p, {_LIST(Q.CARRYING)})) > 0 OR len(lis
   regexp_matches(lower(q), '\b(19|20)\d\d\b|\b(previous|previously|former|formerly|old|older|earlier|original|originally|used to|back then|last year|in the past)\b') AS past FROM w""",
     "condensed": rf"""WITH q AS (SELECT conv_id, turn, (conv_id + turn) % {len(REPLIES)} AS k, regexp_replace(regexp_extract(text, '^([^\n.]{{1,80}})', 1), '^[^A-Za-z]+|[^A-Za-z]+$', '', 'g') AS q FROM conversations)
 SELECT conv_id, turn, CASE WHEN k IN (7, 8) THEN '' ELSE q END AS query, ([{", ".join("NULL" if n is None else f"'{n}'" for *_, n in REPLIES)}])[k + 1] AS note FROM q WHERE q <> ''""",
+    "backfilled": rf"""WITH held AS (SELECT i.item_id AS answer_id, d.doc_id AS source_number, {_BAG("d.text")} AS w FROM benchmark i JOIN documents d ON contains(lower(regexp_replace(d.text, '\s+', ' ', 'g')), lower(trim(regexp_replace(i.text, '\s+', ' ', 'g'))))),
+p AS (SELECT item_id AS answer_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?。！？])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: regexp_matches(x, '\S')) AS l FROM benchmark),
+s AS (SELECT answer_id, i - 1 AS sentence_no, {_BAG("l[i]")} AS c FROM p, unnest(range(1, len(l) + 1)) AS u(i)),
+g AS (SELECT answer_id, sentence_no, source_number, c, list_intersect(c, w) AS b FROM s JOIN held USING (answer_id) WHERE len(c) >= 3)
+SELECT answer_id, sentence_no, source_number FROM g WHERE len(b) >= 3 AND len(b) >= 0.5 * len(c) AND len(list_filter(b, lambda x: length(x) >= 4 OR regexp_matches(x, '\d'))) > 0
+QUALIFY row_number() OVER (PARTITION BY answer_id, sentence_no ORDER BY len(b) / len(c) DESC, source_number) = 1""",
 }

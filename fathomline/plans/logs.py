@@ -180,6 +180,10 @@ def backfilled(spark: SparkSession, d: str) -> DataFrame:
 
 
 US = "epoch_us(ts)"
+#: Events numbered by user in order: o (user_id, event_id, us, i).
+IN_ORDER = f"o AS (SELECT user_id, event_id, {US} AS us, row_number() OVER (PARTITION BY user_id ORDER BY {US}, event_id) AS i FROM events)"
+#: A token bucket's state after its refill: one token a minute, one at most.
+HAVE = "least(1.0::DOUBLE, f.have + (o.us / 1e6 - f.last) / 60)"
 ANSWERS = """
 answers AS (SELECT conv_id * 100 + turn AS answer_id, conv_id, turn, text || CASE WHEN turn % 4 <> 1 THEN format(' [{}, {}-{}] costs {},{:03d}.0 [9-2]', turn + 1, turn % 3 + 1, turn % 3 + 3, turn, conv_id % 1000) ELSE '' END AS answer
   FROM conversations WHERE role = 'assistant')"""
@@ -237,4 +241,21 @@ r AS (WITH RECURSIVE f AS (SELECT question, conv_id, i, k, greatest(1, least(nee
   UNION ALL SELECT o.question, o.conv_id, o.i, o.k, greatest(1, least(o.need, f.remaining // (o.k - o.i + 1))), f.remaining - greatest(1, least(o.need, f.remaining // (o.k - o.i + 1))) FROM f JOIN o ON o.question = f.question AND o.i = f.i + 1) SELECT * FROM f)
 SELECT question, conv_id, share::BIGINT AS share FROM r""",
     "continuations": f"WITH {ANSWERS} SELECT answer_id, true AS whole FROM answers WHERE length(answer) > 60",
+    "token_bucket": f"""WITH RECURSIVE {IN_ORDER},
+f AS (SELECT user_id, event_id, i, 0.0::DOUBLE AS have, us / 1e6 AS last, 0.0::DOUBLE AS wait FROM o WHERE i = 1
+  UNION ALL SELECT o.user_id, o.event_id, o.i, CASE WHEN {HAVE} >= 1 THEN {HAVE} - 1 ELSE {HAVE} END, o.us / 1e6, CASE WHEN {HAVE} >= 1 THEN 0 ELSE (1 - {HAVE}) * 60 END FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1)
+SELECT event_id, round(wait, 3) AS wait FROM f""",
+    "throttled": f"""WITH RECURSIVE {IN_ORDER},
+f AS (SELECT user_id, event_id, i, us AS last, 0::BIGINT AS held, 1::BIGINT AS told FROM o WHERE i = 1
+  UNION ALL SELECT o.user_id, o.event_id, o.i, CASE WHEN o.us - f.last >= 3600000000 THEN o.us ELSE f.last END, CASE WHEN o.us - f.last >= 3600000000 THEN 0 ELSE f.held + 1 END, CASE WHEN o.us - f.last >= 3600000000 THEN f.held + 1 ELSE 0 END FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1)
+SELECT event_id, told FROM f""",
+    "cache_hits": f"""WITH RECURSIVE {IN_ORDER},
+f AS (SELECT user_id, i, us AS stored, 0 AS hit FROM o WHERE i = 1
+  UNION ALL SELECT o.user_id, o.i, CASE WHEN o.us - f.stored <= 7200000000 THEN f.stored ELSE o.us END, (o.us - f.stored <= 7200000000)::INT FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1)
+SELECT user_id, sum(hit)::BIGINT AS hits, count(*) AS lookups FROM f GROUP BY 1""",
+    "summary_parts": f"""WITH RECURSIVE o AS (SELECT conv_id, turn, least(length(text) + 2 * len(regexp_extract_all(text, '{T.CJK}')) + 48, 600) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+f AS (SELECT conv_id, turn, i, n AS used, 1::BIGINT AS part FROM o WHERE i = 1
+  UNION ALL SELECT o.conv_id, o.turn, o.i, CASE WHEN f.used > 0 AND f.used + o.n > 600 THEN o.n ELSE f.used + o.n END, f.part + (f.used > 0 AND f.used + o.n > 600)::INT FROM f JOIN o ON o.conv_id = f.conv_id AND o.i = f.i + 1)
+SELECT conv_id, turn, part FROM f""",
+    "fact_checks": f"""WITH {ANSWERS} SELECT answer_id, (contains(lower(answer), 'the') OR contains(lower(answer), 'de')) AND (contains(lower(answer), 'costs') OR contains(lower(answer), '[1')) AND NOT regexp_matches(lower(answer), '(^|[^0-9])3([^0-9]|$)') AS states FROM answers""",
 }

@@ -120,3 +120,17 @@ def test_unsupported_numbers(spark):
 )
 def test_status_and_retry(spark, answer, sources, status, retry):
     assert column(spark, [answer], R.status(F.col("t"), F.lit(sources)), R.needs_retry(F.col("t"), F.lit(sources))) == [(status, retry)]
+
+
+@pytest.mark.parametrize(
+    ("before", "after", "new"),
+    [
+        ("One two three. Four five six seven eight.", "Four five six seven eight. Nine.", "Nine."), ("x Four five six seven eight", "Four five six seven eights. Nine.", "Four five six seven eights. Nine."),
+        ("xFour five six seven eight", "Four five six seven eight Nine", "Four five six seven eight Nine"), ("four five six seven eight", "four five six seven eight", ""), ("short", "short", "short"), ("", "a", "a"),
+        ("one row of the table one row of the table", "one row of the table one row of the table end", "one row of the table end"), ("w" * 3000 + " abc", "w" * 3000 + " abc d", "w" * 3000 + " abc d"),
+    ],
+)
+def test_overlaps_are_cut_at_word_edges(spark, before, after, new):
+    from fathomline.functions import text as T
+
+    assert spark.createDataFrame([(before, after)], "b string, a string").select(T.without_overlap(F.col("b"), F.col("a"))).first()[0] == new
