@@ -63,3 +63,37 @@ def findings(settings: DataFrame, rules: list[tuple[str, str, Column]]) -> DataF
     """(rule, level) that a settings row breaks; rules: name, level, the condition that is wrong."""
     hits = F.array(*[F.when(bad, F.struct(F.lit(name).alias("rule"), F.lit(level).alias("level"))) for name, level, bad in rules])
     return settings.select(F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h")).select("h.*")
+
+
+def fingerprint_column(decided_by: dict[str, Column]) -> Column:
+    """settings.fingerprint of settings that stand in columns: whole numbers as they are, texts in quotes (without any inside)."""
+
+    def shown(c: Column) -> Column:
+        text = c.cast("string")
+        return F.when(F.typeof(c) == "string", F.concat(F.lit('"'), text, F.lit('"'))).otherwise(text)
+
+    items = [F.concat(F.lit(f'"{k}": '), shown(decided_by[k])) for k in sorted(decided_by)]
+    return F.substring(F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *items), F.lit("}")), 256), 1, 12)
+
+
+def fingerprint_state(passages: DataFrame, current: str) -> DataFrame:
+    """(filename, passages, old, fingerprints, stale): passages made under other settings than current, or under none that was told."""
+    old = ~F.col("fingerprint").eqNullSafe(current)
+    return passages.groupBy("filename").agg(F.count("*").alias("passages"), F.count_if(old).alias("old"), F.count_distinct("fingerprint").alias("fingerprints")).withColumn("stale", F.col("old") > 0)
+
+
+#: What an index was built with; another value of any makes its vectors unlike new ones.
+BUILT_WITH = ("model", "dimension", "language", "prefix")
+
+
+def index_compatibility(indexes: DataFrame, wanted: dict[str, object]) -> DataFrame:
+    """(index_id, verdict, differs) of indexes (index_id, points, and the columns of BUILT_WITH) against what is wanted.
+
+    fits; refused with the names that differ where it holds points; rebuilt where it holds none. An index that tells nothing
+    of a name (null) is from before that was written down: it differs, except in language and prefix, which had one value then.
+    """
+    tells = lambda c: F.col(c).isNotNull() if c in ("language", "prefix") else F.lit(True)
+    differs = F.array_compact(F.array(*[F.when(tells(c) & ~F.col(c).eqNullSafe(F.lit(wanted[c])), F.lit(c)) for c in BUILT_WITH]))
+    rows = indexes.select("index_id", "points", differs.alias("d"))
+    verdict = F.when(F.size("d") == 0, "fits").when(F.coalesce("points", F.lit(0)) > 0, "refused").otherwise("rebuilt")
+    return rows.select("index_id", verdict.alias("verdict"), F.array_join("d", ",").alias("differs"))

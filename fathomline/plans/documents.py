@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from fathomline.functions import text as T
 from fathomline.operators import corpus as C
+from fathomline.operators import maintenance as I
 from fathomline.operators import passages as P
 from fathomline.operators import retrieval as R
+from fathomline.settings import DEFAULT, chunking, fingerprint
 from fathomline.sources.tables import read
 
 
@@ -68,6 +70,24 @@ def catalogue(spark: SparkSession, d: str) -> DataFrame:
     return C.catalogue(passages(spark, d))
 
 
+#: The model of made indexes.
+MODEL = "model-a"
+
+
+def fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """Stored passages of documents chunked under settings by their number; older ones tell none."""
+    p = passages(spark, d)
+    settings = {k: F.lit(v) for k, v in chunking(DEFAULT, MODEL).items()} | {"chunk_size_tokens": F.when(F.col("n") % 4 == 1, 256).otherwise(DEFAULT.chunk_size), "dense_embedding_model": F.when((F.col("n") % 6 == 2) & (F.col("ordinal") % 2 == 0), "model-b").otherwise(MODEL)}
+    return I.fingerprint_state(p.select("filename", F.when(F.col("n") % 5 != 3, I.fingerprint_column(settings)).alias("fingerprint")), fingerprint(chunking(DEFAULT, MODEL)))
+
+
+def index_fits(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of a source and language as indexes with a model, dimension, language and prefix by their smallest id."""
+    g = read(spark, d, "documents").groupBy("source", "lang").agg(F.min("doc_id").alias("k"), F.count(F.when(F.col("doc_id") % 3 > 0, 1)).alias("n"))
+    rows = g.select(F.concat_ws("/", "source", "lang").alias("index_id"), F.when(F.col("k") % 2 == 0, F.col("n")).otherwise(0).alias("points"), F.when(F.col("k") % 5 > 0, MODEL).alias("model"), F.when(F.col("k") % 4 == 1, 32).otherwise(64).alias("dimension"), F.when(F.col("k") % 3 > 0, "en").alias("language"), F.when(F.col("k") % 7 == 0, "passage: ").alias("prefix"))
+    return I.index_compatibility(rows, {"model": MODEL, "dimension": 64, "language": "en", "prefix": ""})
+
+
 def tag_facet(spark: SparkSession, d: str) -> DataFrame:
     return passages(spark, d).groupBy("tag").agg(F.count_distinct("filename").alias("documents"), F.count(F.lit(1)).alias("chunks"))
 
@@ -190,7 +210,7 @@ stored AS (
 
 QUERIES = {
     f.__name__: f
-    for f in (document_tokens, paragraph_sections, chunk_ids, excerpts, chunks, csv_rows, html_parts, url_parts, sitemap_select, catalogue, tag_facet, index_size, duplicates, missing_documents, consistency, listing_page, outline, around, neighbours, passage_labels, source_catalogue, sentence_stats, overlaps, name_problems, front_matter, round_robin_sample, upserted, url_redaction)
+    for f in (document_tokens, paragraph_sections, chunk_ids, excerpts, chunks, csv_rows, html_parts, url_parts, sitemap_select, catalogue, tag_facet, index_size, duplicates, missing_documents, consistency, listing_page, outline, around, neighbours, passage_labels, source_catalogue, fingerprints, index_fits, sentence_stats, overlaps, name_problems, front_matter, round_robin_sample, upserted, url_redaction)
 }
 
 CJK = T.CJK
@@ -260,4 +280,9 @@ b AS (SELECT doc_id, i - 1 AS ordinal, l[i] AS body, l[i - 1] AS before, regexp_
 p AS (SELECT *, CASE ordinal % 4 WHEN 0 THEN before || ' ' WHEN 1 THEN half || ' ' WHEN 2 THEN half || 'x' ELSE '' END || '= ' || body AS after FROM b),
 f AS (SELECT *, list_filter(range(20, least(length(before), length(after), 1000) + 1), lambda n: right(before, n) = left(after, n) AND (n = length(after) OR regexp_matches(after[n + 1], '\s')) AND (n = length(before) OR regexp_matches(before[length(before) - n], '\s'))) AS c FROM p)
 SELECT doc_id, ordinal, length(after) AS n_chars, CASE WHEN len(c) > 0 THEN length(ltrim(substr(after, c[1] + 1))) ELSE length(after) END AS new_chars FROM f""",
+    "fingerprints": f"""WITH {LINES}, {STORED}, f AS (SELECT filename, CASE WHEN n % 5 <> 3 THEN left(sha256('{{"chunk_overlap_tokens": {DEFAULT.chunk_overlap}, "chunk_size_tokens": ' || CASE WHEN n % 4 = 1 THEN 256 ELSE {DEFAULT.chunk_size} END || ', "chunker_version": {DEFAULT.chunker_version}, "csv_rows_per_section": {DEFAULT.rows_per_section}, "dense_embedding_model": "' || CASE WHEN n % 6 = 2 AND ordinal % 2 = 0 THEN 'model-b' ELSE '{MODEL}' END || '", "min_section_words": {DEFAULT.min_section_words}}}'), 12) END AS f FROM stored)
+SELECT filename, count(*) AS passages, count(*) FILTER (f IS DISTINCT FROM '{fingerprint(chunking(DEFAULT, MODEL))}') AS old, count(DISTINCT f) AS fingerprints, bool_or(f IS DISTINCT FROM '{fingerprint(chunking(DEFAULT, MODEL))}') AS stale FROM f GROUP BY 1""",
+    "index_fits": f"""WITH g AS (SELECT source, lang, min(doc_id) AS k, count(*) FILTER (doc_id % 3 > 0) AS n FROM documents GROUP BY ALL),
+x AS (SELECT concat_ws('/', source, lang) AS index_id, CASE WHEN k % 2 = 0 THEN n ELSE 0 END AS points, list_filter([CASE WHEN k % 5 = 0 THEN 'model' END, CASE WHEN k % 4 = 1 THEN 'dimension' END, NULL, CASE WHEN k % 7 = 0 THEN 'prefix' END], lambda v: v IS NOT NULL) AS d FROM g)
+SELECT index_id, CASE WHEN len(d) = 0 THEN 'fits' WHEN points > 0 THEN 'refused' ELSE 'rebuilt' END AS verdict, coalesce(array_to_string(d, ','), '') AS differs FROM x""",
 }

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+import json
+from dataclasses import asdict, dataclass
 
 
 @dataclass(frozen=True)
@@ -37,3 +39,21 @@ class Settings:
 
 
 DEFAULT = Settings()
+
+#: What decides a document's passages, besides the embedding model, by the names that are written down.
+CHUNKING = {"chunker_version": "chunker_version", "chunk_size_tokens": "chunk_size", "chunk_overlap_tokens": "chunk_overlap", "min_section_words": "min_section_words", "csv_rows_per_section": "rows_per_section"}
+
+
+def chunking(settings: Settings, model: str) -> dict[str, int | str]:
+    """What decides a document's passages, by name."""
+    return {name: getattr(settings, field) for name, field in CHUNKING.items()} | {"dense_embedding_model": model}
+
+
+def fingerprint(decided_by: dict) -> str:
+    """A short digest of settings: of their JSON text, names in order."""
+    return hashlib.sha256(json.dumps(decided_by, sort_keys=True).encode()).hexdigest()[:12]
+
+
+def measured_with(settings: Settings, arm: str, **more: object) -> dict[str, object]:
+    """What a run was measured with, to say later what changed: all settings, the arm, and whatever models it used."""
+    return {**asdict(settings), **more, "arm": arm}
