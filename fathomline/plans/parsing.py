@@ -17,6 +17,13 @@ def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
     return files.markdown(texts).select("name", "ordinal", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def setext_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose every fifth line is underlined; one in three lines below is fenced and underlined in vain."""
+    mark = lambda x, k: F.when((k % 5 == 2) & x.rlike(r"\S"), F.concat(F.trim(x), F.lit("\n==="))).when(k % 15 == 4, F.concat(F.lit("```\n"), F.trim(x), F.lit("\n===\n```"))).otherwise(x)
+    texts = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("name"), F.array_join(F.transform(F.split("text", "\n"), mark), "\n").alias("text"))
+    return files.markdown(texts).select("name", "ordinal", "section", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def subtitle_minutes(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as subtitles, a turn every 25 seconds; words by minute."""
     c = read(spark, d, "conversations")
@@ -97,12 +104,16 @@ def generation_changes(spark: SparkSession, d: str) -> DataFrame:
 
 LINES = r"SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents"
 
-QUERIES = {f.__name__: f for f in (markdown_sections, subtitle_minutes, json_records, delimited_rows, mail_sections, restore_outcomes, kept_versions, reindex_outcomes, repair_outcomes, sync_deletes, payload_patch, stale_points, generation_changes)}
+QUERIES = {f.__name__: f for f in (markdown_sections, setext_sections, subtitle_minutes, json_records, delimited_rows, mail_sections, restore_outcomes, kept_versions, reindex_outcomes, repair_outcomes, sync_deletes, payload_patch, stale_points, generation_changes)}
 
 ORACLE = {
     "markdown_sections": rf"""WITH l AS ({LINES}), m AS (SELECT doc_id, pos, pos % 5 = 2 AND regexp_matches(line, '\S') AS head, CASE WHEN pos % 5 = 2 AND regexp_matches(line, '\S') THEN '## ' || trim(line) ELSE line END AS line FROM l),
 s AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS ordinal FROM m), j AS (SELECT doc_id, ordinal, string_agg(line, chr(10) ORDER BY pos) AS text FROM s GROUP BY ALL)
 SELECT doc_id::VARCHAR AS name, ordinal::BIGINT AS ordinal, length(text) AS n_chars FROM j WHERE regexp_matches(text, '\S')""",
+    "setext_sections": rf"""WITH l AS ({LINES}), m AS (SELECT doc_id, pos, pos % 5 = 2 AND regexp_matches(line, '\S') AS head, trim(line) AS t,
+  CASE WHEN pos % 5 = 2 AND regexp_matches(line, '\S') THEN trim(line) || chr(10) || '===' WHEN pos % 15 = 4 THEN '```' || chr(10) || trim(line) || chr(10) || '===' || chr(10) || '```' ELSE line END AS line FROM l),
+s AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS ordinal FROM m), j AS (SELECT doc_id, ordinal, string_agg(line, chr(10) ORDER BY pos) AS text, max(CASE WHEN head THEN left(trim(regexp_replace(t, '\s+', ' ', 'g')), 120) END) AS section FROM s GROUP BY ALL)
+SELECT doc_id::VARCHAR AS name, ordinal::BIGINT AS ordinal, coalesce(section, '') AS section, length(text) AS n_chars FROM j WHERE regexp_matches(text, '\S')""",
     "subtitle_minutes": r"SELECT conv_id::VARCHAR AS name, turn * 25 // 60 + 1 AS page, count(*) AS cues FROM conversations WHERE regexp_matches(text, '\S') GROUP BY 1, 2",
     "json_records": "SELECT user_id::VARCHAR AS name, 'k: ' || (props->>'$.k') AS text, count(*) AS records FROM events GROUP BY 1, 2",
     "delimited_rows": """WITH n AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS pos FROM supplier)

@@ -57,12 +57,19 @@ def _joined(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def markdown(texts: DataFrame) -> DataFrame:
-    """Sections begin at headings outside fences; the heading line stays in its section and is its label."""
+    """Sections begin at headings outside fences; the heading line stays in its section and is its label.
+
+    A heading begins with #, or is a line over a line of equals signs. A line of dashes makes none: it may be a rule.
+    """
     w = Window.partitionBy("name").orderBy("pos")
     fence = F.sum(F.col("line").rlike(r"^\s*(```|~~~)").cast("int")).over(w)
     lines = _lines(texts).withColumn("open", fence % 2 == 1)
-    starts = ~F.col("open") & F.col("line").rlike(r"^#{1,6}\s+\S")
-    lines = lines.withColumn("ordinal", F.sum(starts.cast("int")).over(w)).withColumn("head", F.when(starts, T.label(F.regexp_replace("line", r"^#+\s+|\s+#*\s*$", ""))))
+    under = r"^\s{0,3}=+\s*$"
+    above, below = F.coalesce(F.lag("line").over(w), F.lit("")), F.coalesce(F.lead("line").over(w), F.lit(""))
+    titled = F.col("line").rlike(r"\S") & below.rlike(under) & ~(F.col("line").rlike(under) & above.rlike(r"\S"))
+    lines = lines.withColumn("titled", titled)
+    starts = ~F.col("open") & (F.col("line").rlike(r"^\s{0,3}#{1,6}\s+\S") | F.col("titled"))
+    lines = lines.withColumn("ordinal", F.sum(starts.cast("int")).over(w)).withColumn("head", F.when(starts, T.label(F.regexp_replace("line", r"^\s*#+\s+|\s+#*\s*$", ""))))
     labels = lines.groupBy("name", "ordinal").agg(F.max("head").alias("section"))
     out = _joined(lines, ["ordinal"]).join(labels, ["name", "ordinal"]).filter(F.col("text").rlike(r"\S"))
     return out.select("name", F.lit(1).cast("long").alias("page"), "ordinal", F.coalesce("section", F.lit("")).alias("section"), "text")

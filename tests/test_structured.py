@@ -57,3 +57,11 @@ def test_notebooks(spark):
     got = {r.doc_id: r.text for r in S.notebook_markdown(docs(spark, texts)).collect()}
     assert got[0] == "# T\ntext\n\n````R\na = 1\n```\n````" and got[1] == got[0].replace("R", "") and len(got[6]) == 100_000 and set(got) == {0, 1, 6}
     assert [r[0] for r in docs(spark, texts).select(S.problem(F.col("text"), "ipynb")).collect()] == [None, None, "no cells", "no cells", "no cells", None, None]
+
+
+def test_underlined_headings(spark):
+    from fathomline.sources import files
+
+    text = "intro\nTitle\n=====\nbody\n```\nno\n===\n```\nRule\n---\n\n===\nLast\n=\n# ATX #\nend"
+    got = [(r.section, r.text.split("\n")[0]) for r in files.markdown(spark.createDataFrame([("f", text)], "name string, text string")).orderBy("ordinal").collect()]
+    assert got == [("", "intro"), ("Title", "Title"), ("Last", "Last"), ("ATX", "# ATX #")]
