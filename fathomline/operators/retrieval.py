@@ -32,37 +32,44 @@ def dense_top(vectors: DataFrame, queries: DataFrame, limit: int = DEFAULT.leg_l
 
     queries: query_id, vector. Each task multiplies its vectors with a block of queries and keeps the best of each, so
     the shuffle carries limit rows for a query and task. where narrows the corpus before the limit. Scores are rounded
-    to six places, and the rounded score ranks.
+    to six places, and the rounded score ranks. Vectors meet those of their own length; null ones, and ones with a null or
+    NaN component, take no part on either side.
     """
-    corpus = (vectors if where is None else vectors.filter(where)).filter(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    told = lambda c: F.coalesce(~F.exists(F.col(c), lambda x: x.isNull() | F.isnan(x)), F.lit(False))
+    corpus = (vectors if where is None else vectors.filter(where)).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(told("v"))
+    queries = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).filter(told("vector") & (F.size("vector") > 0))
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     found = None
     for k in range(blocks):
         rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).collect()
-        if not rows:
-            continue
-        q_ids, q = np.array([r["query_id"] for r in rows]), np.array([r["vector"] for r in rows], dtype=float)
-
-        def run(batches: Iterator[pa.RecordBatch], q_ids: np.ndarray = q_ids, q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
-            best_ids, best = np.empty((len(q), 0), dtype=np.int64), np.empty((len(q), 0))
-            for b in batches:
-                ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-                score = np.round(q @ v.T, 6) + 0.0
-                score[q_ids[:, None] == ids[None, :]] = -np.inf
-                all_ids, every = np.hstack([best_ids, np.broadcast_to(ids, score.shape)]), np.hstack([best, score])
-                order = np.lexsort((all_ids, -every), axis=1)[:, :limit]
-                best_ids, best = np.take_along_axis(all_ids, order, 1), np.take_along_axis(every, order, 1)
-            keep = np.isfinite(best)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, keep.sum(1)).astype(np.int64)), pa.array(best_ids[keep]), pa.array(best[keep])], names=["query_id", "id", "score"])
-
-        part = corpus.mapInArrow(run, "query_id long, id long, score double")
-        found = part if found is None else found.unionByName(part)
+        for width in sorted({len(r["vector"]) for r in rows}):
+            part = _dense_block(corpus, [r for r in rows if len(r["vector"]) == width], width, limit)
+            found = part if found is None else found.unionByName(part)
     if found is None:
         found = corpus.sparkSession.createDataFrame([], "query_id long, id long, score double")
     return ranked(found, "query_id", "score", "id", limit)
 
 
+def _dense_block(corpus: DataFrame, rows: list, width: int, limit: int) -> DataFrame:
+    """(query_id, id, score): each task's best rows for a block of queries of one length."""
+    q_ids, q = np.array([r["query_id"] for r in rows]), np.array([r["vector"] for r in rows], dtype=float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best_ids, best = np.empty((len(q), 0), dtype=np.int64), np.empty((len(q), 0))
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            score = np.round(q @ v.T, 6) + 0.0
+            score[q_ids[:, None] == ids[None, :]] = -np.inf
+            all_ids, every = np.hstack([best_ids, np.broadcast_to(ids, score.shape)]), np.hstack([best, score])
+            order = np.lexsort((all_ids, -every), axis=1)[:, :limit]
+            best_ids, best = np.take_along_axis(all_ids, order, 1), np.take_along_axis(every, order, 1)
+        keep = np.isfinite(best)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, keep.sum(1)).astype(np.int64)), pa.array(best_ids[keep]), pa.array(best[keep])], names=["query_id", "id", "score"])
+
+    return corpus.filter(F.size("v") == width).mapInArrow(run, "query_id long, id long, score double")
+
+
 def term_statistics(docs: DataFrame, terms: set[str]) -> tuple[int, float, dict[str, int]]:
     """The number of documents, their mean length in words, and how many hold each of the given terms.
 

@@ -149,3 +149,12 @@ def test_citation_markers(spark):
     cases = {"a [1] b [3, 5]": [1, 3, 5], "[2-4] [9-7] [0]": [2, 3, 4], "[1–2], [99]": [1, 2], "[x] [] 5": [], "[1-100000]": list(range(1, 7))}
     df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", T.cited_numbers(F.col("t"), F.lit(6)).alias("n"))
     assert {r.t: r.n for r in df.collect()} == cases
+
+
+def test_dense_vectors_meet_those_of_their_length(spark):
+    v = [(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [1.0, 0.0, 0.0]), (4, None), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (7, []), (8, [0.0, 1.0])]
+    vectors = spark.createDataFrame(v, "vec_id long, embedding array<float>")
+    queries = vectors.selectExpr("vec_id + 100 AS query_id", "embedding AS vector")
+    got = R.dense_top(vectors, queries, 2)
+    assert rows(got, "query_id", "rank", "id") == [(101, 1, 1), (101, 2, 2), (102, 1, 2), (102, 2, 8), (103, 1, 3), (108, 1, 8), (108, 2, 2)]
+    assert R.dense_top(vectors, queries.filter("query_id = 104"), 2).count() == 0
