@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import small_batches, written
+from fathomline.llm.common import settled, small_batches, written
 from fathomline.llm.simhash import FAN, SEED, components, edges, from_hashes
 
 #: Words of a shingle; the least similarity of a link is ABOVE / BELOW.
@@ -30,8 +30,11 @@ WORDS, ABOVE, BELOW = 5, 4, 5
 FAMILIES, LIMIT = 2, 4
 #: Nodes of one hash that are all compared at once; orders in which the nodes of larger groups are linked first.
 SMALL, ORDERS = 8, 3
-#: Buckets of hashes whose sizes bound what two sets share; sizes are told up to 255.
-BUCKETS = 64
+#: Buckets of hashes whose sizes bound what two sets share: so many at least, one to two hashes in each; sizes are told
+#: up to FULL, two to a byte.
+BUCKETS, FULL = 64, 15
+#: Bytes of unpacked sketches, and pairs, that a task holds at once.
+SKETCHES, PAIRS = 4 << 20, 1 << 14
 #: Documents whose hashes are counted to tell common ones, and how many of these are kept. Both bear on speed alone.
 SAMPLE, COMMON = 10_000, 1 << 16
 #: Rows whose groups are paired in one go, at least; a group is never cut.
@@ -90,6 +93,40 @@ def name(x: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(x.tobytes(), SEED)).view(np.int64))
 
 
+def sketch(x: np.ndarray) -> bytes:
+    """How many of a set's hashes are in each bucket. Buckets grow with the set, else large sets all look alike."""
+    buckets = max(BUCKETS, 1 << max(0, len(x).bit_length() - 1))
+    count = np.minimum(np.bincount(x & (buckets - 1), minlength=buckets), FULL).astype(np.uint8)
+    return (count[::2] | count[1::2] << np.uint8(4)).tobytes()
+
+
+def counts(sketches: np.ndarray) -> np.ndarray:
+    """The bucket sizes of sketches of one length, a row for each."""
+    packed = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+    return np.stack((packed & FULL, packed >> 4), axis=2).reshape(len(packed), -1)
+
+
+def room(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether two sets of these sketches and this sum of sizes can be similar: they share no more of a bucket than the smaller has there."""
+    out = np.zeros(len(a), dtype=bool)
+    if not len(a):
+        return out
+    lengths = np.stack([np.fromiter(map(len, x), dtype=np.int64, count=len(x)) for x in (a, b)])
+    shapes, of = np.unique(lengths, axis=1, return_inverse=True)
+    for k in range(shapes.shape[1]):
+        which = np.flatnonzero(of.ravel() == k)
+        step = max(1, SKETCHES // int(shapes[:, k].max()) // 2)
+        for at in (which[n : n + step] for n in range(0, len(which), step)):
+            x, y = counts(a[at]), counts(b[at])
+            if x.shape[1] < y.shape[1]:
+                x, y = y, x
+            while x.shape[1] > y.shape[1]:  # fewer buckets: each takes in two
+                x = np.minimum(x[:, : x.shape[1] // 2] + x[:, x.shape[1] // 2 :], FULL).astype(np.uint8)
+            least = np.minimum(x, y)
+            out[at] = (least.sum(axis=1, dtype=np.int64) * (ABOVE + BELOW) >= ABOVE * size[at]) | (least == FULL).any(axis=1)
+    return out
+
+
 def starts(rows: DataFrame, words: int) -> DataFrame:
     """(uid, id, node, size, sketch binary, tokens array<long>, fp array<long>) of each row of (id, text).
 
@@ -102,20 +139,20 @@ def starts(rows: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 40
         for b in batches:
-            node, size, sketch, tokens, fp = [], [], [], [], []
+            node, size, sketches, tokens, fp = [], [], [], [], []
             for t in b.column(1).to_pylist():
                 h = every_shingle(t, words)
                 x = np.unique(h.view(np.int64))
                 node.append(name(x))
                 size.append(len(x))
-                sketch.append(np.minimum(np.bincount(x & (BUCKETS - 1), minlength=BUCKETS), 255).astype(np.uint8).tobytes())
+                sketches.append(sketch(x))
                 fp.append(np.array(from_hashes(h, FAMILIES), dtype=np.uint64).view(np.int64))
                 if len(known):
                     k = np.minimum(np.searchsorted(known, x), len(known) - 1)
                     x = x[np.lexsort((x, np.where(known[k] == x, rank[k], 0)))]
                 tokens.append(x[: len(x) + (-len(x) * ABOVE // BELOW) + 1])
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.arange(uid, uid + len(node))), b.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(sketch, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(fp, pa.list_(pa.int64())),
+                pa.array(np.arange(uid, uid + len(node))), b.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(sketches, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(fp, pa.list_(pa.int64())),
             ], names=["uid", "id", "node", "size", "sketch", "tokens", "fp"])
             uid += len(node)
 
@@ -133,7 +170,7 @@ def whole(rows: DataFrame, asked: DataFrame, words: int) -> DataFrame:
             ], names=["node", "size", "tokens"])
 
     made = rows.join(asked, "id").select("node", "text").mapInArrow(run, "node long, size long, tokens array<long>")
-    return written(made.groupBy("node").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens")))
+    return made.groupBy("node").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"))
 
 
 def proposed(nodes: DataFrame) -> DataFrame:
@@ -147,7 +184,7 @@ def proposed(nodes: DataFrame) -> DataFrame:
     return written(alike.union(edges(heads.select("family", "fp", F.col("head").alias("node")), LIMIT)).distinct())
 
 
-def grouped(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.ndarray]]:
+def grouped(batches: Iterator[pa.RecordBatch], columns: int, at_once: int = AT_ONCE) -> Iterator[list[np.ndarray]]:
     """The columns of rows that come in the order of the first, whole groups of it at a time."""
     held: list[list[np.ndarray]] = []
     waiting = 0
@@ -156,7 +193,7 @@ def grouped(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np
         if not len(cols[0]):
             continue
         cut = int(np.searchsorted(cols[0], cols[0][-1], side="left"))
-        if cut and waiting + cut >= AT_ONCE:
+        if cut and waiting + cut >= at_once:
             yield [np.concatenate(x) for x in zip(*held, [c[:cut] for c in cols], strict=True)]
             held, waiting, cols = [], 0, [c[cut:] for c in cols]
         held.append(cols)
@@ -214,23 +251,40 @@ def met(nodes: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(run, "key long, a long, b long, size long, at long"))
 
 
-def apart(large: DataFrame, label: DataFrame) -> DataFrame:
-    """(a, b): the pairs of a group that are not connected yet and may be similar."""
-    rows = large.join(label.withColumnRenamed("component", "label"), "node", "left").select("key", "node", "size", "at", F.coalesce("label", "node").alias("label"))
-    rows = rows.repartition("key").sortWithinPartitions("key")
+def apart(large: DataFrame, label: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): the pairs of a group that are not connected yet and whose sketches leave room for a similarity.
+
+    Sketches come with the rows, so that pairs without room are left where they are met.
+    """
+    rows = large.join(label.withColumnRenamed("component", "label"), "node", "left").join(nodes.select("node", "sketch"), "node")
+    rows = rows.select("key", "node", "size", "at", F.coalesce("label", "node").alias("label"), "sketch").repartition("key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, size, at, label in grouped(batches, 5):
+        held: list[np.ndarray] = []
+
+        def told() -> pa.RecordBatch:
+            pairs = np.unique(np.concatenate(held, axis=1), axis=1)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+        for key, node, size, at, label, sketches in grouped(batches, 6, AT_ONCE >> 4):
             cut = np.append(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), len(key))
             for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 names, of, count = np.unique(label[lo:hi], return_inverse=True, return_counts=True)
                 if len(names) == 1:
                     continue
                 # of two nodes that are apart, one at least is outside the largest connected part
-                for i in (np.flatnonzero(of != count.argmax()) + lo).tolist():
-                    j = np.flatnonzero((label[lo:hi] != label[i]) & fits(size[i], at[i], size[lo:hi], at[lo:hi])) + lo
+                outside = of != count.argmax()
+                for i in (np.flatnonzero(outside) + lo).tolist():
+                    # a pair of two such nodes is met at the first of them
+                    j = np.flatnonzero((label[lo:hi] != label[i]) & (~outside | (np.arange(lo, hi) > i)) & fits(size[i], at[i], size[lo:hi], at[lo:hi])) + lo
+                    j = j[room(np.repeat(sketches[i : i + 1], len(j)), sketches[j], size[i] + size[j])]
                     if len(j):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
+                        held.append(np.stack((np.minimum(node[i], node[j]), np.maximum(node[i], node[j]))))
+                        if sum(x.shape[1] for x in held) >= PAIRS:
+                            yield told()
+        if held:
+            yield told()
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -243,30 +297,32 @@ def named(links: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sketches leave room for a similarity at the bound: sets share no more of a bucket than the smaller has there."""
+    """The pairs (a, b) whose sketches leave room for a similarity at the bound."""
     for end in ("a", "b"):
         pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("sketch").alias(f"sketch_{end}")), end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, BUCKETS) for k in (4, 5))
-            size = b.column(2).to_numpy() + b.column(3).to_numpy()
-            least = np.minimum(x, y)
-            room = (least.sum(axis=1, dtype=np.int64) * (ABOVE + BELOW) >= ABOVE * size) | (least == 255).any(axis=1)
-            yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(room)) for k in (0, 1)], names=["a", "b"])
+            x, y = (b.column(k).to_numpy(zero_copy_only=False) for k in (4, 5))
+            can = pa.array(room(x, y, b.column(2).to_numpy() + b.column(3).to_numpy()))
+            yield pa.RecordBatch.from_arrays([b.column(k).filter(can) for k in (0, 1)], names=["a", "b"])
 
     return pairs.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
 def similar(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     """The distinct pairs (a, b) of nodes whose sets are similar, by exact comparison of whole sets."""
-    pairs = written(possible(pairs.distinct(), nodes))
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    held = whole(rows, written(nodes.select("id", "node").join(ends, "node")), words)
-    a = held.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("tokens").alias("tokens_a"))
-    b = held.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("tokens").alias("tokens_b"))
-    both = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    return written(pairs.join(a, "a").join(b, "b").filter(both * (ABOVE + BELOW) >= ABOVE * (F.col("size_a") + F.col("size_b"))).select("a", "b"))
+
+    def compared() -> DataFrame:
+        asked = written(pairs.distinct())
+        ends = asked.select(F.col("a").alias("node")).union(asked.select("b")).distinct()
+        held = whole(rows, written(nodes.select("id", "node").join(ends, "node")), words)
+        a = held.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("tokens").alias("tokens_a"))
+        b = held.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("tokens").alias("tokens_b"))
+        both = F.size(F.array_intersect("tokens_a", "tokens_b"))
+        return asked.join(a, "a").join(b, "b").filter(both * (ABOVE + BELOW) >= ABOVE * (F.col("size_a") + F.col("size_b"))).select("a", "b")
+
+    return settled(rows.sparkSession, compared)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -280,7 +336,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     nodes = made.join(written(repeated), "uid", "left_anti")
     found = met(nodes)
     slim = written(nodes.select("id", "node", "size", "sketch"))
-    links = similar(proposed(nodes).union(found.filter("b is not null").select("a", "b")), slim, rows, words)
+    near = proposed(nodes).union(found.filter("b is not null").select("a", "b")).distinct()
+    links = similar(possible(near, slim), slim, rows, words)
     large = found.filter("key is not null").select("key", F.col("a").alias("node"), "size", "at")
     own = made.select("id", "node").distinct()
     own = own.join(own.groupBy("id").agg(F.min("node").alias("b")), "id").select(F.col("node").alias("a"), "b").filter("a <> b")
@@ -288,7 +345,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     label = components(links)
     if not large.isEmpty():
         # what the other pairs of large groups add joins whole parts, so only parts are labelled anew
-        over = named(similar(apart(large, label), slim, rows, words), label)
+        over = named(similar(apart(large, label, slim), slim, rows, words), label)
         further = components(over).select(F.col("node").alias("part"), F.col("component").alias("whole"))
     else:
         further = None
@@ -309,5 +366,5 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows that share an id stay or go together.
     """
-    dropped = classes(docs, id_col, text_col, words).filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("gone"))
-    return docs.alias("d").join(written(dropped).alias("x"), F.col(f"d.{id_col}") == F.col("x.gone"), "left_anti")
+    dropped = settled(docs.sparkSession, lambda: classes(docs, id_col, text_col, words).filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("gone")))
+    return docs.alias("d").join(dropped.alias("x"), F.col(f"d.{id_col}") == F.col("x.gone"), "left_anti")

@@ -32,7 +32,7 @@ AT_ONCE = 1 << 16
 #: Into how many parts the links of a node are dealt, and the label that many nodes have.
 FAN = 64
 #: (query, node) pairs that a search holds at once; queries between two looks at which nodes are one label by now.
-FRONT, CROWD = 1 << 20, 1 << 13
+FRONT, CROWD = 1 << 18, 1 << 13
 
 
 def mixed(x: np.ndarray, family: int) -> np.ndarray:
@@ -94,7 +94,7 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def rising(group: np.ndarray, fp: np.ndarray, limit: int, label: np.ndarray | None = None, at_once: int = FRONT // 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def rising(group: np.ndarray, fp: np.ndarray, limit: int, label: np.ndarray | None = None, at_once: int = FRONT // 4) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i < j) of rows of one group whose fingerprints differ in at most limit bits, some queries at a time.
 
     Rows must be sorted by group and Gray rank. One tree for each group, all of the same height, built bottom up. With

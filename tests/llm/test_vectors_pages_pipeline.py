@@ -1,14 +1,16 @@
 import html
+import os
 import re
 import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
-from fathomline.llm import near_copies, permutation_index, wrappers
+from fathomline.llm import common, near_copies, permutation_index, wrappers
 from fathomline.llm.common import table
-from tests.llm.helpers import ODD, docs
+from tests.llm.helpers import ODD, docs, prose
 
 VECTORS = "vec_id long, embedding array<float>, label int, id long, v string, shard int, block int"
 
@@ -195,6 +197,47 @@ def test_near_copies_link_at_the_bound(spark, monkeypatch):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(i for i, *_ in rows if i is None or want[i] == i)
 
 
+def test_sketches_tell_large_sets_apart_and_lose_none():
+    """Sets of any size: half-shared ones are told apart, and no pair at the bound is."""
+    rng = np.random.default_rng(5)
+    for size in (1, 7, 100, 1500, 20000):
+        x = rng.integers(-(2**62), 2**62, 2 * size)
+        for less in (0, size // 9, size // 5):  # similarities 1, 0.8 and more, and 0.8 of sets of unlike size
+            a, b = x[:size], x[less : size + less] if less < size // 5 else x[: size - less]
+            sketches = [np.array([near_copies.sketch(y)], dtype=object) for y in (a, b)]
+            assert 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))
+            assert near_copies.room(*sketches, np.array([len(a) + len(b)])).all()
+            assert near_copies.room(*sketches[::-1], np.array([len(a) + len(b)])).all()
+        if size >= 1500:
+            a, b = (np.array([near_copies.sketch(y)], dtype=object) for y in (x[:size], x[size // 2 : size + size // 2]))
+            assert not near_copies.room(a, b, np.array([2 * size])).any()
+
+
+def test_pairs_without_room_are_left_in_their_group(spark):
+    """Texts that share a common opening and else nothing: their group gives no row to compare."""
+    nodes, large = [], []
+    rng = np.random.default_rng(6)
+    for k in range(60):
+        x = np.append(rng.integers(-(2**62), 2**62, 299), 5)
+        nodes.append((k, bytearray(near_copies.sketch(x))))
+        large.append((5, k, 300, 10))
+    label = spark.createDataFrame([], "node long, component long")
+    found = near_copies.apart(spark.createDataFrame(large, "key long, node long, size long, at long"), label, spark.createDataFrame(nodes, "node long, sketch binary"))
+    assert found.count() == 0
+
+
+def test_near_copies_leave_one_table_and_lean_workers(spark):
+    """The stage's steps are deleted when it ends; workers give back what they free."""
+    folder = common.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    rows = [(k, prose(k // 2, 60), "en", "a") for k in range(20)]
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs(spark, rows), "")
+    assert len(set(os.listdir(folder)) - before) == 1
+    assert [r.doc_id for r in kept.orderBy("doc_id").collect()] == list(range(0, 20, 2))
+    seen = spark.range(1).mapInArrow(lambda batches: ((lambda b: b)(pa.RecordBatch.from_arrays([pa.array([os.environ.get("MALLOC_MMAP_THRESHOLD_")])], names=["v"])) for _ in batches), "v string").first().v
+    assert seen == common.LEAN["MALLOC_MMAP_THRESHOLD_"]
+
+
 def test_pipeline_stages(spark, sf):
     d = table(spark, sf, "documents")
     n = d.count()
