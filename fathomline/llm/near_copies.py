@@ -35,6 +35,8 @@ SMALL, ORDERS = 8, 3
 BUCKETS, FULL = 64, 15
 #: Bytes of unpacked sketches, and pairs, that a task holds at once.
 SKETCHES, PAIRS = 4 << 20, 1 << 14
+#: A pair is told in the first large group that it shares, if that is among so many first ones of each; else again.
+FIRST = 32
 #: Documents whose hashes are counted to tell common ones, and how many of these are kept. Both bear on speed alone.
 SAMPLE, COMMON = 10_000, 1 << 16
 #: Rows whose groups are paired in one go, at least; a group is never cut.
@@ -254,10 +256,13 @@ def met(nodes: DataFrame) -> DataFrame:
 def apart(large: DataFrame, label: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b): the pairs of a group that are not connected yet and whose sketches leave room for a similarity.
 
-    Sketches come with the rows, so that pairs without room are left where they are met.
+    Sketches and the groups in which a node stands earlier come with the rows, so that pairs without room, and pairs
+    that another group tells (earlier places fit all the more), are left where they are met.
     """
-    rows = large.join(label.withColumnRenamed("component", "label"), "node", "left").join(nodes.select("node", "sketch"), "node")
-    rows = rows.select("key", "node", "size", "at", F.coalesce("label", "node").alias("label"), "sketch").repartition("key").sortWithinPartitions("key")
+    first = large.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("at", "key"))), 1, FIRST).alias("first"))
+    rows = large.join(label.withColumnRenamed("component", "label"), "node", "left").join(nodes.select("node", "sketch"), "node").join(first, "node")
+    earlier = F.transform(F.filter("first", lambda x: x["at"] < F.col("at")), lambda x: x["key"]).alias("earlier")
+    rows = rows.select("key", "node", "size", "at", F.coalesce("label", "node").alias("label"), "sketch", earlier).repartition("key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -267,7 +272,7 @@ def apart(large: DataFrame, label: DataFrame, nodes: DataFrame) -> DataFrame:
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
-        for key, node, size, at, label, sketches in grouped(batches, 6, AT_ONCE >> 4):
+        for key, node, size, at, label, sketches, earlier in grouped(batches, 7, AT_ONCE >> 4):
             cut = np.append(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), len(key))
             for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 names, of, count = np.unique(label[lo:hi], return_inverse=True, return_counts=True)
@@ -279,6 +284,9 @@ def apart(large: DataFrame, label: DataFrame, nodes: DataFrame) -> DataFrame:
                     # a pair of two such nodes is met at the first of them
                     j = np.flatnonzero((label[lo:hi] != label[i]) & (~outside | (np.arange(lo, hi) > i)) & fits(size[i], at[i], size[lo:hi], at[lo:hi])) + lo
                     j = j[room(np.repeat(sketches[i : i + 1], len(j)), sketches[j], size[i] + size[j])]
+                    if len(j) and len(earlier[i]):
+                        whose = np.repeat(np.arange(len(j)), list(map(len, earlier[j])))
+                        j = np.delete(j, whose[np.isin(np.concatenate(earlier[j]), earlier[i])])
                     if len(j):
                         held.append(np.stack((np.minimum(node[i], node[j]), np.maximum(node[i], node[j]))))
                         if sum(x.shape[1] for x in held) >= PAIRS:
