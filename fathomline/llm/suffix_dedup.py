@@ -355,27 +355,36 @@ def judge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     begin = np.cumsum(size + 1) - size - 1
     pos, lcp = induced.suffix_order(text)
     strings = size - LENGTH + 1
-    valid = np.zeros(len(text) + 1, dtype=np.int32)
+    # a task's memory is what these arrays take, so each is narrow and goes when it has served
+    valid = np.zeros(len(text) + 1, dtype=np.int8)
     valid[begin] += 1
     np.add.at(valid, begin + strings, -1)
-    valid = np.cumsum(valid[:-1]) > 0
-    of_text = np.repeat(np.arange(len(size)), size + 1)
+    valid = np.cumsum(valid[:-1], dtype=np.int8) > 0
     mine = np.flatnonzero(valid[pos])
+    del valid
     # suffixes after the last string are none of its business
-    least = np.minimum.reduceat(lcp[: mine[-1] + 1], np.concatenate(([0], mine[:-1] + 1)))
+    since = np.zeros_like(mine)
+    np.add(mine[:-1], 1, out=since[1:])
+    least = np.minimum.reduceat(lcp[: mine[-1] + 1], since)
     pos = pos[mine]
+    del lcp, mine, since
     head = np.flatnonzero(np.concatenate(([True], least[1:] < LENGTH)))
-    smallest = np.minimum.reduceat(low[of_text[pos]], head)
-    best = np.full(len(text), NO_ID)
+    del least
+    ids, rank = np.unique(low, return_inverse=True)
+    of_text = np.repeat(rank.astype(np.int32), size + 1)
+    smallest = np.minimum.reduceat(of_text[pos], head)
+    del of_text
+    best = np.full(len(text), len(ids), dtype=np.int32)
     best[pos] = np.repeat(smallest, np.diff(np.append(head, len(pos))))
-    del pos, lcp, mine, least
+    ids = np.append(ids, NO_ID)
+    del pos, head, smallest
     told = []
     for no, raw in zip(own, pdf["high"], strict=True):
         high = np.frombuffer(raw, "<i8")
         count = strings[no]
         which = np.repeat(np.arange(len(no)), count)
         offset = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-        found = best[begin[no[which]] + offset]
+        found = ids[best[begin[no[which]] + offset]]
         use = np.flatnonzero(found < high[which])
         which, offset, found = which[use], offset[use], found[use]
         fresh = np.concatenate(([True], (which[1:] != which[:-1]) | (offset[1:] != offset[:-1] + 1) | (found[1:] != found[:-1])))[: len(which)]

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -230,6 +231,22 @@ def slow_removals(rows):
     return out
 
 
+def test_a_shard_is_judged_in_narrow_arrays():
+    """At most 50 bytes of memory for each byte of a shard's texts."""
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(97, 123, 4000, dtype=np.uint8).tobytes() for _ in range(300)]
+    rows = []
+    for k in range(0, 300, 100):
+        ids = np.arange(k, k + 100).astype("<i8").tobytes()
+        rows.append({"batch": k, "texts": suffix_dedup.squeeze(b"".join(texts[k : k + 100])), "sizes": np.full(100, 4000, "<i4").tobytes(), "low": ids, "high": ids})
+    tracemalloc.start()
+    told = suffix_dedup.judge((0,), pd.DataFrame(rows)).told
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 * 300 * 4000
+    assert not any(suffix_dedup.expand(x) for x in told)
+
+
 def test_passages_of_earlier_documents_go(spark, sf, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PER_SHARD", 60_000)
     real = [tuple(r) for r in table(spark, sf, "documents").select("doc_id", "text", "lang", "source").collect()]
