@@ -88,13 +88,14 @@ def around(chunks: DataFrame, centre: Column, radius: int) -> DataFrame:
     return chunks.filter(F.col("ordinal").between(centre - radius, centre + radius))
 
 
-def label_passages(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(item_id, doc_id): documents that contain a label's text, both lower-cased with white space collapsed.
+def label_passages(docs: DataFrame, labels: DataFrame, exact: bool = False) -> DataFrame:
+    """(item_id, doc_id): documents that contain a label's text, both lower-cased with white space collapsed, or exact as they are.
 
     docs: doc_id, text; labels: item_id, text. One scan of the documents finds all labels at once in an automaton;
     labels beyond a checked size take further scans.
     """
-    flat = lambda c: F.lower(T.collapse(F.coalesce(F.col(c), F.lit(""))))
+    whole = lambda c: F.coalesce(F.col(c), F.lit(""))
+    flat = whole if exact else lambda c: F.lower(T.collapse(whole(c)))
     wanted = labels.select("item_id", flat("text").alias("t")).filter("t <> ''")
     size = wanted.agg(F.sum(F.char_length("t"))).first()[0] or 0
     passes = max(1, -(-size // LABEL_CHARS))

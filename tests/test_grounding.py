@@ -1,6 +1,7 @@
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ from fathomline.functions import numerals as N
 from fathomline.functions import offsets as O
 from fathomline.functions import refusals as R
 from fathomline.operators import grounding as G
+from fathomline.plans import grounding as plans
 
 
 def column(spark, texts, *columns):
@@ -103,6 +105,24 @@ def test_query_spans_take_later_of_equals(spark):
     assert [r.start for r in got[:2]] == [m.start() for m in re.finditer("Hotels", SOURCE)]
 
 
+def same_as_sql(spark, folder, name, **tables):
+    """Rows of a query and of its statement on tables made for it."""
+    con = duckdb.connect()
+    for table, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{table}.parquet")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    got = plans.QUERIES[name](spark, str(folder))
+    return sorted(map(str, map(tuple, got.collect()))), sorted(map(str, con.sql(plans.ORACLE[name]).fetchall()))
+
+
+def test_query_spans_of_documents_that_hold_a_text_as_it_is(spark, tmp_path):
+    text = "Hotels cost 120 euros a night"
+    docs = [(1, SOURCE, 0), (2, SOURCE.upper(), 0), (3, SOURCE.replace("cost 120", "cost  120"), 0), (4, None, 0), (5, "", 0), (1, SOURCE, 0), (6, f"ΟΔΟΣ {text}. ΟΔΟΣΑ", 0)]
+    items = [(1, text), (1, text), (2, "no such text"), (3, None), (4, ""), (5, text.upper()), (6, f"{text}. ΟΔΟΣ")]
+    got, sql = same_as_sql(spark, tmp_path, "query_spans", documents=(docs, "doc_id long, text string, n_chars long"), benchmark=(items, "item_id long, text string"))
+    assert got == sql and len(got) == 6
+
+
 def test_unsupported_numbers(spark):
     answers = spark.createDataFrame([(1, "It costs 45 euros [1]. Later 50 [1][2]. [2] 1. It was 0 in all two documents [1] and 7 [9].\nThe documents do not specify 99 [1]."), (2, "none"), (3, None)], "answer_id long, answer string")
     sources = spark.createDataFrame([(1, 1, "forty-five cents", "a_50.md"), (1, 2, "five hundred", "b.md")], "answer_id long, source_number int, text string, filename string")
