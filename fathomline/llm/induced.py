@@ -25,12 +25,14 @@ class Queue:
     def __init__(self, limit: int = IN_MEMORY):
         self.parts: list[list] = [[] for _ in range(256)]
         self.held = [0] * 256
+        self.total = 0
         self.limit = limit
 
     def put(self, symbol: int, pos: np.ndarray, lcp: np.ndarray) -> None:
         self.parts[symbol].append((pos, lcp))
         self.held[symbol] += pos.nbytes + lcp.nbytes
-        while sum(self.held) > self.limit:
+        self.total += pos.nbytes + lcp.nbytes
+        while self.total > self.limit:
             self.spill(int(np.argmax(self.held)))
 
     def spill(self, symbol: int) -> None:
@@ -41,6 +43,7 @@ class Queue:
         np.save(f, pos)
         np.save(f, lcp)
         self.parts[symbol] = [*kept, f]
+        self.total -= self.held[symbol]
         self.held[symbol] = 0
 
     def take(self, symbol: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,6 +56,7 @@ class Queue:
                 p.close()
             else:
                 out.append(p)
+        self.total -= self.held[symbol]
         self.parts[symbol], self.held[symbol] = [], 0
         if not out:
             return np.empty(0, np.int32), np.empty(0, np.int16)
@@ -75,12 +79,10 @@ def seeds_sorted(text: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndar
     lcp = np.zeros(len(pos), dtype=np.int16)
     group = np.zeros(len(pos), dtype=np.int64)
     open_ = np.arange(len(pos))  # places in the order that are still tied with a neighbour
+    eight = np.lib.stride_tricks.sliding_window_view(text, 8)
     for t in range(0, DEPTH, 8):
-        at = pos[order[open_]].astype(np.int64) + t
-        word = np.zeros(len(at), dtype=np.uint64)
-        for k in range(8):
-            word = word << np.uint64(8) | text[at + k].astype(np.uint64)
-        by = np.lexsort((word, group[open_]))
+        word = eight[pos[order[open_]] + np.int32(t)].view(">u8")[:, 0].astype(np.uint64)
+        by = np.lexsort((word, group[open_])) if t else np.argsort(word, kind="stable")
         order[open_] = order[open_][by]
         word = word[by]
         # places of a tie are neighbours, so sorting inside ties keeps open_ aligned

@@ -12,12 +12,12 @@ batch, whatever the number of its copies there.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -31,20 +31,27 @@ LENGTH, GRAM = 50, 20
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of text of a batch (more only for a single longer text) and of text for each shard.
 BATCH, PER_SHARD = 4 << 20, 8 << 20
-#: Strings whose hashes are made at once.
+#: Batches of a corpus from which they grow with it instead, up to so many bytes: each batch has a message for each shard.
+BATCHES, LARGEST = 256, 16 << 20
+#: Strings whose hashes are made, and that are told to batches, at once.
 AT_ONCE = 1 << 18
-#: Pieces of one hash beyond which its strings are dealt out one by one: a small part of a shard.
-CROWD = 4096
+#: Pieces of one hash beyond which its strings, each 50 bytes then, are dealt out one by one: about 1 MB, a small part of a shard.
+CROWD = 16384
 #: Stands for a null id, which comes last; a document of that id is taken for one without.
 NO_ID = np.iinfo(np.int64).max
 
 
+@functools.cache
+def _codec() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+
 def squeeze(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(raw)
+    return _codec()[0].compress(raw)
 
 
 def expand(raw: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(raw)
+    return _codec()[1].decompress(raw)
 
 
 def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -66,9 +73,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def least_hashes(text: np.ndarray) -> np.ndarray:
     """For each string of LENGTH bytes of text, the least hash of its parts of GRAM bytes."""
     n = len(text) - GRAM + 1
-    word = np.zeros(n + GRAM - 8, dtype=np.uint64)
-    for k in range(8):
-        word |= text[k : k + len(word)].astype(np.uint64) << np.uint64(8 * k)
+    word = np.empty(n + GRAM - 8, dtype=np.uint64)
+    for k in range(min(8, len(word))):
+        word[k::8] = text[k : k + len(word[k::8]) * 8].view("<u8")
     # parts are words of eight bytes; GRAM is no multiple of eight, so the last two overlap
     h = word[:n] * np.uint64(0x9E3779B97F4A7C15)
     for o in (8, GRAM - 8):
@@ -136,7 +143,7 @@ class Batch:
             yield int(shard[a]), value[a:b].tobytes(), np.packbits(several[a:b]).tobytes(), np.stack((many, size[a:b][many])).astype("<i4").tobytes()
 
     def shared(self, flags: list[tuple[int, bytes, bytes]]) -> None:
-        """Keep the pieces whose hashes are shared, and number their distinct texts within each shard.
+        """Keep the pieces whose hashes are shared, and number their distinct texts.
 
         Pieces of crowded hashes become single strings, each in the shard that all its bytes tell.
         """
@@ -148,53 +155,98 @@ class Batch:
             crowded[a + np.frombuffer(crowds, "<i4")] = True
         kept = np.flatnonzero(keep[self.group]) if len(self.heads) else np.empty(0, np.int64)
         single = crowded[self.group[kept]] if len(kept) else np.empty(0, dtype=bool)
-        self.at, self.count, self.doc, self.shard = self.at[kept], self.count[kept], self.doc[kept], self.shard[kept]
+        at, count, doc, shard = (x[kept] for x in (self.at, self.count, self.doc, self.shard))
+        label, first = self.labels(at[~single], count[~single], shard[~single])
         if single.any():
-            count = self.count[single]
-            at = np.repeat(self.at[single] - np.cumsum(count) + count, count) + np.arange(count.sum())
-            own = np.fromiter((xxhash.xxh64_intdigest(self.raw[k : k + LENGTH]) for k in at.tolist()), dtype=np.uint64, count=len(at))
-            self.at, self.count = np.concatenate((self.at[~single], at)), np.concatenate((self.count[~single], np.ones(len(at), dtype=np.int64)))
-            self.doc = np.concatenate((self.doc[~single], np.repeat(self.doc[single], count)))
-            self.shard = np.concatenate((self.shard[~single], (own % np.uint64(self.shards)).astype(np.int64)))
-            by = np.argsort(self.shard, kind="stable")
-            self.at, self.count, self.doc, self.shard = self.at[by], self.count[by], self.doc[by], self.shard[by]
-        self.number = np.empty(len(self.at), dtype=np.int64)
-        self.texts: dict[int, list[bytes]] = {}
-        raw, numbers = self.raw, {}
-        last, here = -1, []
-        for k, (a, c, s) in enumerate(zip(self.at.tolist(), self.count.tolist(), self.shard.tolist(), strict=True)):
+            each = count[single]
+            lone = np.repeat(at[single] - np.cumsum(each) + each, each) + np.arange(each.sum())
+            own, same, begun = self.strings(lone)
+            label, first = np.concatenate((label, same + len(first))), np.concatenate((first, begun + len(label)))
+            doc = np.concatenate((doc[~single], np.repeat(doc[single], each)))
+            shard = np.concatenate((shard[~single], (own % np.uint64(self.shards)).astype(np.int64)))
+            at, count = np.concatenate((at[~single], lone)), np.concatenate((count[~single], np.ones(len(lone), dtype=np.int64)))
+        # numbers run on through the shards: first has the first piece of each distinct text, begin where a shard's texts begin
+        by = np.argsort(shard[first], kind="stable")
+        number = np.empty(len(first), dtype=np.int64)
+        number[by] = np.arange(len(first))
+        self.at, self.count, self.doc, self.number, self.first = at, count, doc, number[label], first[by]
+        self.shards_here, begin = np.unique(shard[self.first], return_index=True)
+        self.begin = np.append(begin, len(first))
+
+    def labels(self, at: np.ndarray, count: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which distinct text each piece has, and the first piece of each. Equal texts are of one shard, and pieces in the order of shards."""
+        label, first = [], []
+        raw, seen, last = self.raw, {}, -1
+        for k, (a, c, s) in enumerate(zip(at.tolist(), count.tolist(), shard.tolist(), strict=True)):
             if s != last:
-                numbers, here, last = {}, self.texts.setdefault(s, []), s
-            t = raw[a : a + c + LENGTH - 1]
-            n = numbers.setdefault(t, len(here))
-            if n == len(here):
-                here.append(t)
-            self.number[k] = n
+                seen, last = {}, s
+            n = seen.setdefault(raw[a : a + c + LENGTH - 1], len(first))
+            if n == len(first):
+                first.append(k)
+            label.append(n)
+        return np.array(label, dtype=np.int64), np.array(first, dtype=np.int64)
+
+    def strings(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A hash of all bytes of the string at each place, which distinct string it is, and the first place of each."""
+        eight = np.lib.stride_tricks.sliding_window_view(np.frombuffer(self.raw, np.uint8), 8)
+        word = lambda k, o: eight[k + o].view("<u8")[:, 0]
+        offsets = (*range(0, LENGTH - 8, 8), LENGTH - 8)
+        own = np.zeros(len(at), dtype=np.uint64)
+        for k in range(0, len(at), AT_ONCE):
+            for o in offsets:
+                own[k : k + AT_ONCE] = mixed(own[k : k + AT_ONCE] ^ word(at[k : k + AT_ONCE], o))
+        by = np.argsort(own, kind="stable")
+        fresh = np.concatenate(([True], own[by[1:]] != own[by[:-1]]))
+        again = np.flatnonzero(~fresh)
+        for k in range(0, len(again), AT_ONCE):
+            x, y = at[by[again[k : k + AT_ONCE]]], at[by[again[k : k + AT_ONCE] - 1]]
+            if not all(np.array_equal(word(x, o), word(y, o)) for o in offsets):  # different strings of one hash
+                return own, *self.labels(at, np.ones_like(at), np.zeros_like(at))
+        label = np.empty(len(at), dtype=np.int64)
+        label[by] = np.cumsum(fresh) - 1
+        return own, label, by[fresh]
+
+    def of_shards(self) -> Iterator[tuple[int, int, int, list[bytes]]]:
+        """(shard, its first number, the number after its last, its distinct texts)."""
+        at, stop = self.at[self.first], self.at[self.first] + self.count[self.first] + LENGTH - 1
+        for s, a, b in zip(self.shards_here.tolist(), self.begin[:-1].tolist(), self.begin[1:].tolist(), strict=True):
+            yield s, a, b, [self.raw[x:y] for x, y in zip(at[a:b].tolist(), stop[a:b].tolist(), strict=True)]
+
+    @property
+    def texts(self) -> dict[int, list[bytes]]:
+        """The distinct texts of each shard."""
+        return {s: texts for s, _, _, texts in self.of_shards()}
 
     def outgoing(self) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
         """(shard, texts, their lengths, their smallest and largest document ids) for each shard."""
         id_ = self.ids[self.doc]
-        for s, texts in self.texts.items():
-            a, b = np.searchsorted(self.shard, [s, s + 1])
-            low, high = np.full(len(texts), NO_ID), np.full(len(texts), np.iinfo(np.int64).min)
-            np.minimum.at(low, self.number[a:b], id_[a:b])
-            np.maximum.at(high, self.number[a:b], id_[a:b])
-            yield s, squeeze(b"".join(texts)), np.array(list(map(len, texts)), "<i4").tobytes(), low.tobytes(), high.tobytes()
+        low, high = np.full(len(self.first), NO_ID), np.full(len(self.first), np.iinfo(np.int64).min)
+        np.minimum.at(low, self.number, id_)
+        np.maximum.at(high, self.number, id_)
+        sizes = (self.count[self.first] + LENGTH - 1).astype("<i4")
+        for s, a, b, texts in self.of_shards():
+            yield s, squeeze(b"".join(texts)), sizes[a:b].tobytes(), low[a:b].tobytes(), high[a:b].tobytes()
 
     def covered(self, replies: list[tuple[int, bytes]]) -> np.ndarray:
         """Which bytes a string of an earlier document covers."""
         change = np.zeros(len(self.raw) + 1, dtype=np.int32)
+        if not replies:
+            return np.zeros(len(self.raw), dtype=bool)
+        begin = dict(zip(self.shards_here.tolist(), self.begin.tolist(), strict=False))
+        told = [np.frombuffer(expand(packed), "<i8").reshape(4, -1) for _, packed in replies]
+        text_no, offset, count, low = np.concatenate(told, axis=1)
+        text_no = text_no + np.repeat([begin[s] for s, _ in replies], [x.shape[1] for x in told])
+        del told
         id_ = self.ids[self.doc]
-        for s, packed in replies:
-            told = np.frombuffer(expand(packed), "<i8").reshape(4, -1)
-            text_no, offset, count, low = told
-            a, b = np.searchsorted(self.shard, [s, s + 1])
-            by = np.argsort(self.number[a:b], kind="stable") + a
-            own = self.number[by]
-            lo, hi = np.searchsorted(own, text_no), np.searchsorted(own, text_no, side="right")
-            each = hi - lo
-            which = np.repeat(np.arange(len(text_no)), each)
-            place = by[np.repeat(lo, each) + np.arange(len(which)) - np.repeat(np.cumsum(each) - each, each)]
+        by = np.argsort(self.number, kind="stable")
+        own = self.number[by]
+        lo = np.searchsorted(own, text_no)
+        each = np.searchsorted(own, text_no, side="right") - lo
+        cut = np.searchsorted(np.cumsum(each), np.arange(AT_ONCE, each.sum(), AT_ONCE))
+        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(text_no)], strict=True):
+            some = each[a:b]
+            which = np.repeat(np.arange(a, b), some)
+            place = by[np.repeat(lo[a:b], some) + np.arange(len(which)) - np.repeat(np.cumsum(some) - some, some)]
             later = id_[place] > low[which]
             start = self.at[place[later]] + offset[which[later]]
             np.add.at(change, start, 1)
@@ -256,7 +308,7 @@ def batches(docs: DataFrame, id_col: str, text_col: str, carry: list[str], limit
     return bucketed(rows.mapInArrow(run, "batch long, n long, bytes long, ids binary, lengths binary, text binary, rows binary"), "batch")
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), batch_bytes: int = BATCH) -> DataFrame:
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), batch_bytes: int | None = None) -> DataFrame:
     """(id, n_bytes, spans array<start, end>, kept binary, row) of every row: the removed byte spans and what is left.
 
     row: a struct of the columns named in carry.
@@ -265,10 +317,9 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     other. Texts shorter than LENGTH bytes stay whole. Columns not carried are left out.
     """
     spark = docs.sparkSession
-    packed = batches(docs, id_col, text_col, list(carry), batch_bytes)
-    total = packed.agg(F.sum("bytes")).first()[0] or 0
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     shards = max(1, -(-total // PER_SHARD))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # rows are whole batches of documents
+    packed = batches(docs, id_col, text_col, list(carry), batch_bytes or min(LARGEST, max(BATCH, total // BATCHES)))
 
     def hashes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
@@ -335,6 +386,18 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     return out.withColumnRenamed("id", id_col)
 
 
+def together(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours whose sizes add up to AT_ONCE at most, or of single larger ones."""
+    begin, held = 0, 0
+    for k, n in enumerate(sizes):
+        if held + n > AT_ONCE and k > begin:
+            yield begin, k
+            begin, held = k, 0
+        held += n
+    if sizes:
+        yield begin, len(sizes)
+
+
 def judge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """For each batch of a shard: which strings of its texts an earlier document has, and the smallest id that has them."""
     numbers: dict[bytes, int] = {}
@@ -378,9 +441,9 @@ def judge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     best[pos] = np.repeat(smallest, np.diff(np.append(head, len(pos))))
     ids = np.append(ids, NO_ID)
     del pos, head, smallest
-    told = []
-    for no, raw in zip(own, pdf["high"], strict=True):
-        high = np.frombuffer(raw, "<i8")
+    told: list[bytes] = []
+    for a, b in together([int(strings[no].sum()) for no in own]):
+        no, high = np.concatenate(own[a:b]), np.frombuffer(b"".join(pdf["high"].iloc[a:b]), "<i8")
         count = strings[no]
         which = np.repeat(np.arange(len(no)), count)
         offset = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
@@ -390,7 +453,12 @@ def judge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         fresh = np.concatenate(([True], (which[1:] != which[:-1]) | (offset[1:] != offset[:-1] + 1) | (found[1:] != found[:-1])))[: len(which)]
         at = np.flatnonzero(fresh)
         length = np.diff(np.append(at, len(which)))
-        told.append(squeeze(np.stack((which[at], offset[at], length, found[at])).astype("<i8").tobytes()))
+        runs = np.stack((which[at], offset[at], length, found[at])).astype("<i8")
+        # numbers count on through the messages; each is told its own
+        first = np.cumsum([0, *map(len, own[a:b])])
+        cut = np.searchsorted(runs[0], first)
+        for x, y, n in zip(cut[:-1].tolist(), cut[1:].tolist(), first.tolist(), strict=False):
+            told.append(squeeze((runs[:, x:y] - np.array([[n], [0], [0], [0]])).tobytes()))
     return pd.DataFrame({"batch": pdf["batch"], "shard": key[0], "told": told})
 
 

@@ -283,6 +283,41 @@ def test_a_common_line_loads_no_shard(monkeypatch):
         assert max(load) > 3 * np.median(load)
 
 
+def test_batches_grow_with_the_corpus(spark, monkeypatch):
+    """Each batch has a message for each shard, so their number must not grow with the square of the corpus."""
+    limits, pack = [], suffix_dedup.batches
+    monkeypatch.setattr(suffix_dedup, "batches", lambda *a: limits.append(a[-1]) or pack(*a))
+    for name, value in (("BATCH", 1000), ("BATCHES", 4), ("LARGEST", 20_000), ("PER_SHARD", 5000)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    for n, least, most in ((1, 1000, 1000), (60, 1001, 19_999), (400, 20_000, 20_000)):
+        rows = [(k, prose(k % 50, 40), "en", "a") for k in range(n)]
+        out = suffix_dedup.removals(docs(spark, rows))
+        got = Counter((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in out.collect())
+        assert got == slow_removals([(i, t) for i, t, *_ in rows]) and least <= limits[-1] <= most
+
+
+def test_messages_of_a_shard_are_told_together(monkeypatch):
+    texts = [[(prose(k % 4, 30) + prose(k + j, 20)).encode() for j in range(6)] for k in range(30)] + [[], [b"x" * 5000]]
+    rows = [{"batch": k, "texts": suffix_dedup.squeeze(b"".join(t)), "sizes": np.array(list(map(len, t)), "<i4").tobytes(), "low": (np.arange(len(t)) + 9 * k).astype("<i8").tobytes(), "high": (np.arange(len(t)) + 9 * k + 3).astype("<i8").tobytes()} for k, t in enumerate(texts)]
+    found = []
+    for n in (1, 3000, 1 << 20):
+        monkeypatch.setattr(suffix_dedup, "AT_ONCE", n)
+        found.append([suffix_dedup.expand(x) for x in suffix_dedup.judge((0,), pd.DataFrame(rows)).told])
+    assert found[0] == found[1] == found[2] and any(found[0]) and list(suffix_dedup.together([5, 1 << 21, 3, 4])) == [(0, 1), (1, 2), (2, 4)]
+
+
+def test_strings_of_one_hash_are_held_apart(monkeypatch):
+    text = (prose(1, 60) + prose(2, 40) + prose(1, 60)).encode()
+    batch = suffix_dedup.Batch(np.zeros(1, "<i8").tobytes(), np.array([len(text)], "<i8").tobytes(), suffix_dedup.squeeze(text), 3)
+    at = np.random.default_rng(1).permutation(len(text) - 49)
+    for hashed in (suffix_dedup.mixed, lambda x: x & np.uint64(3)):
+        monkeypatch.setattr(suffix_dedup, "mixed", hashed)
+        own, label, first = batch.strings(at)
+        strings = [text[k : k + 50] for k in at.tolist()]
+        assert len(first) == len(set(strings)) < len(at) and [strings[k] for k in first[label]] == strings
+        assert len(set(zip(own.tolist(), strings, strict=True))) == len(set(strings))
+
+
 def test_largest_string_of_a_shard_meets_its_equals(spark):
     """The largest string ends two different pieces, and a larger suffix that is too short to be a string follows it."""
     largest = "z" + "".join(chr(97 + k * 7 % 25) for k in range(47)) + "zz"
