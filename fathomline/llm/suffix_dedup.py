@@ -33,6 +33,8 @@ WINDOW = LENGTH - GRAM + 1
 BATCH, PER_SHARD = 4 << 20, 8 << 20
 #: Batches of a corpus from which they grow with it instead, up to so many bytes: each batch has a message for each shard.
 BATCHES, LARGEST = 256, 16 << 20
+#: Bytes of an Arrow batch: of messages, or a single batch of documents.
+MESSAGES = 2 << 20
 #: Strings whose hashes are made, and that are told to batches, at once.
 AT_ONCE = 1 << 18
 #: Pieces of one hash beyond which its strings, each 50 bytes then, are dealt out one by one: about 1 MB, a small part of a shard.
@@ -320,6 +322,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     shards = max(1, -(-total // PER_SHARD))
     packed = batches(docs, id_col, text_col, list(carry), batch_bytes or min(LARGEST, max(BATCH, total // BATCHES)))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(MESSAGES))  # rows are whole batches of documents, or messages
 
     def hashes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
